@@ -158,7 +158,7 @@ def _trace(model):
             for k, (row, state) in enumerate(zip(rows, reversed(path))):
                 opens = state != last
                 head = ("" if last is None else "<|end|>\n") + f"<|{ROLES[state]}|>\n" if opens else "\n"
-                tail = "\n<|end|>\n" if closes and k == len(rows) - 1 else ""
+                tail = "<|end|>\n" if closes and k == len(rows) - 1 else ""
                 yield conv, row[2], ROLES[state], opens, head + row[5] + tail
                 last = state
 

@@ -153,14 +153,15 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray, rank:
     return shared
 
 
-def _marked(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For strings laid end to end: where each begins, and for each place whether a string of that length stands elsewhere too."""
+def _marked(raws: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For strings laid end to end: where each begins, for each place whether the string of that length there stands
+    elsewhere too, and whether the place is the first of those in suffix order."""
     sizes = np.array([len(x) for x in raws])
     data = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
     ends = np.cumsum(sizes + 1) - 1
     order, rank = suffix_array(data, ends)
     reach = np.r_[common_prefixes(data, ends, order, rank), 0]
-    return ends - sizes, (np.maximum(reach[:-1], reach[1:]) >= length)[rank]
+    return ends - sizes, (np.maximum(reach[:-1], reach[1:]) >= length)[rank], (reach[:-1] < length)[rank]
 
 
 def _runs(flags: np.ndarray):
@@ -173,14 +174,14 @@ _FOUND = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64
 
 def _solve(rows: list[tuple], length: int) -> pa.RecordBatch:
     """Spans of a shard's segments (owner, salt, salts, copies, row, start, bytes)."""
-    at, marked = _marked([x[6] for x in rows], length)
+    at, marked, first = _marked([x[6] for x in rows], length)
     out = []
     for (_, _, salts, copies, row, start, raw), i in zip(rows, at.tolist()):
         flags = marked[i : i + len(raw) - length + 1]
         if copies == 1 and flags.any():
             out += [(row, start + a, start + b + length - 1, None, None) for a, b in _runs(flags)]
-        if salts > 1:  # its owner has other shards: hand on the hashes of its starts
-            for k in range(len(flags)):
+        if salts > 1:  # its owner has other shards: hand on the hashes of its distinct starts
+            for k in np.flatnonzero(first[i : i + len(flags)]).tolist():
                 high, low = np.frombuffer(xxhash.xxh3_128_digest(raw[k : k + length]), np.int64).tolist()
                 out.append((row, start + k, start + k + length, high, low))
     columns = zip(*out) if out else [[]] * 5
