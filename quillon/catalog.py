@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import catalog as own
+from .plans import graph, observability, retrieval
+from .plans.dialect import duck_text, spark_frame, tables_of
+
+_TEXTS = observability.QUERIES | retrieval.QUERIES | graph.QUERIES
+
+
+def _planned(text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark_frame(spark, text, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(text)})
+
+    return run
+
 
 def queries() -> dict:
-    return {}
+    return {name: _planned(text) for name, text in _TEXTS.items()} | own.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: duck_text(text) for name, text in _TEXTS.items()} | own.ORACLES
