@@ -15,7 +15,7 @@ def with_path_metadata(files: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, root: str, least_chars: int = 20) -> DataFrame:
     """Every *.md under root: path, text, mtime, checksum; texts under least_chars are skipped."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("text"))
     return with_path_metadata(files.where(F.length("text") >= least_chars).withColumn("checksum", F.sha2("text", 256)))
 
