@@ -5,10 +5,10 @@ shingles' 64-bit hashes keeps both its minimum and its maximum, so 64 evaluation
 extreme is equal in two documents with a probability of their Jaccard similarity, hence the estimate is unbiased. 25
 bands of five values miss a pair at similarity 0.85 with a probability of 4e-7.
 
-Copies with the same words are one class before any banding. In each bucket members are held against one leader; what
-then still lies in another component of the bucket is held against other leaders in turn and at last against each member
-of the other components, so that no link between classes of a bucket is dropped, and groups of copies of any size
-cost rows in proportion to their members.
+Copies with the same words are one class before any banding. In each bucket, documents are compared by signature with
+the bucket's leaders, and become leaders if they are core to none. Leaders joined by core documents are one group, with
+all that is in reach of any of them. Within a group full sets are intersected, block by block, and only links that
+connect what is not connected yet are handed on: linearly many rows, yet no link is lost between parts.
 
 Defined results: null, empty or wordless text has no shingles and links with nothing; a text of under five words is one
 shingle; repeated rows are one document and each keeps its row; where one doc_id has several texts the least stands for it
@@ -18,6 +18,7 @@ in confirmation; a null doc_id links with nothing and is kept; an empty table gi
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,12 @@ from pyspark.sql import functions as F
 from .common import Rolling, components, forget, map_arrow, mix64, scratch
 
 WIDTH, PERMUTATIONS, BANDS, ROWS = 5, 64, 25, 5
-#: Pairs whose 128 signature values agree less than this aren't confirmed: at a similarity of 0.85 that is over seven standard deviations off.
-LEAST_ALIKE = 0.58
+#: Share of equal signature values with which a document is core to a leader, and within its reach. Two documents at a
+#: similarity of 0.85 differ by 0.15, so what is linked to a core document has 0.43 or more with the leader: the reach
+#: lies over two standard deviations of an estimate below that, in each bucket that the two share.
+CORE, REACH = 0.58, 0.34
+#: Documents of a group whose sets are intersected at a time; larger groups go by pairs of blocks.
+BLOCK = 2048
 #: Words hashed at a time, so that memory for a very long text is bounded by its distinct shingles.
 CHUNK = 1 << 16
 
@@ -86,82 +91,97 @@ def _sign(batches):
         yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))]))
 
 
-def _alike(batches):
-    """Pairs whose signatures agree enough to be worth a confirmation."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, 2 * PERMUTATIONS) for k in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(1) >= LEAST_ALIKE))
+def _rows(batches, key: int):
+    rows = (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
+    return groupby(rows, lambda x: x[:key])
+
+
+_EDGE = pa.schema([("leader", pa.int64()), ("member", pa.int64()), ("core", pa.bool_())])
+
+
+def _lead(batches):
+    """Leaders of each bucket: a member that is core to no leader so far becomes one; edges go to all leaders within reach."""
+    out = []
+    for _, rows in _rows(batches, 1):
+        leaders, prints = [], np.zeros((4, 2 * PERMUTATIONS), np.uint16)
+        for _, rep, sig in rows:
+            own = np.frombuffer(sig, np.uint16)
+            alike = (prints[: len(leaders)] == own).mean(1)
+            out += [(leaders[k], rep, bool(alike[k] >= CORE)) for k in np.flatnonzero(alike >= REACH)]
+            if not (alike >= CORE).any():
+                if len(leaders) == len(prints):
+                    prints = np.concatenate([prints, np.zeros_like(prints)])
+                prints[len(leaders)] = own
+                leaders.append(rep)
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=_EDGE)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=_EDGE)
+
+
+def spanning_links(sets: list[np.ndarray], percent: int):
+    """Pairs (i, j) at the threshold, as many as connect all that is connected; intersections are counted on full sets."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    held, part = np.zeros(len(values), np.int32), np.arange(len(sets))
+    for i in range(len(sets)):
+        if (part == part[0]).all():
+            return
+        own = place[starts[i] : starts[i] + sizes[i]]
+        held[own] = 1
+        both = np.add.reduceat(held[place], starts)
+        held[own] = 0
+        for j in np.flatnonzero((100 * both >= percent * (sizes[i] + sizes - both)) & (part != part[i])):
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                yield i, int(j)
 
 
 def _confirm(percent: int):
     def run(batches):
-        last, held = None, None
-        for batch in batches:
-            keep = []
-            for text_a, text_b in zip(batch.column("text_a"), batch.column("text_b")):
-                text_a = text_a.as_py() or ""
-                if text_a != last:
-                    last, held = text_a, shingles(words(text_a))
-                other = shingles(words(text_b.as_py() or ""))
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(held) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for _, group in _rows(batches, 3):
+            reps, texts = zip(*(x[3:] for x in group))  # two blocks at most
+            pairs = list(spanning_links([shingles(words(t)) for t in texts], percent)) if len(reps) > 1 else []
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([reps[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives that reach the threshold on full sets."""
-    sig = classes.select("rep", "sig")
-    near = map_arrow(pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b"), _alike, "a long, b long")
-    near = scratch(near, "near")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = scratch(docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    full = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) of representatives that connect all pairs at the threshold which share a bucket."""
+    signed = banded.join(classes.select("rep", "sig"), "rep").select("band", "rep", "sig")
+    edges = map_arrow(signed.repartition("band").sortWithinPartitions("band", "rep"), _lead, "leader long, member long, core boolean")
+    edges = scratch(edges.groupBy("leader", "member").agg(F.max("core").alias("core")), "edges")
+    cores = components(edges.where("core"), "leader", "member").toDF("leader", "core_id")
+    ids = edges.select("leader").distinct().join(cores, "leader", "left").select("leader", F.coalesce("core_id", "leader").alias("group"))
+    members = edges.join(ids, "leader").select("group", F.explode(F.array("leader", "member")).alias("rep")).distinct()
+    members = scratch(members, "groups")
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = members.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))  # a group of one block stays as it is
+    placed = placed.withColumn("other", other).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
+    full = placed.join(docs.toDF("rep", "text"), "rep").select("group", "i", "j", "rep", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "rep")
     out = scratch(map_arrow(full, _confirm(percent), "a long, b long"), "links")
-    forget(near, texts)
+    forget(edges, members)
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text); links at 100 * common >= percent * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch(map_arrow(docs, _sign, "doc_id long, n_shingles long, key binary, sig binary, bands array<long>"), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = scratch(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    banded = scratch(banded.join(shared, "band"), "banded")  # only buckets of two or more
-    found = _links(banded.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), classes, docs, percent)
-    tried, links, spare = None, found, [found]
-    for turn in range(star_rounds + 1):
-        parts = scratch(components(links), "parts")
-        open_ = banded.select("band", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("part"))
-        mixed = open_.groupBy("band", "part").agg(F.count("*").alias("n"), F.min("rep").alias("first")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.min(F.struct(F.xxhash64("first", F.lit(turn)), "part", "first")).alias("lead"))
-        mixed = scratch(mixed.where("parts > 1"), "mixed")
-        pairs_left, members = mixed.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        if not pairs_left:
-            break
-        open_ = open_.join(mixed.select("band", F.col("lead.part").alias("lead_part"), F.col("lead.first").alias("lead")), "band")
-        last = turn == star_rounds or pairs_left <= 4 * members
-        if last:  # few are left: each member against every member of the bucket's other components
-            other = open_.select("band", F.col("rep").alias("b"), F.col("part").alias("part_b"))
-            pairs = open_.select("band", F.col("rep").alias("a"), F.col("part").alias("part_a")).join(other, "band").where("a < b and part_a != part_b").select("a", "b")
-        else:
-            pairs = open_.where("part != lead_part").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
-        more = _links(pairs.distinct(), classes, docs, percent)
-        links = links.union(more)
-        spare.append(more)
-        if last:
-            forget(parts)
-            parts = scratch(components(links), "parts")
-        forget(mixed)
-        if last:
-            break
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    links = _links(banded.join(shared, "band"), classes, docs, percent, block)
+    parts = scratch(components(links), "parts")
     reps = classes.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     reps = scratch(reps, "membership")
-    forget(classes, banded, parts, *spare)
+    forget(classes, links, parts)
     out = signed.select("doc_id", "n_shingles", "key").join(reps, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -79,7 +79,7 @@ def test_large_groups_of_near_copies(spark):
     for k in range(120):
         rows.append((k, " ".join(words)))
         words[(k * 37) % 300] = f"edit{k}"
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), star_rounds=1).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
     assert {g.component_id for g in got} == {0}
 
 
