@@ -19,7 +19,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +30,6 @@ LEAST_DOCS, LEAST_SHARE, MOST_SHARE = 2, 0.0001, 0.05
 REPLICAS, SCALES, FEW = 20, 10, 12
 #: Ranges of doc_id in which neighbours are found; each needs a row on the driver.
 MOST_RANGES, RANGE_ROWS = 10_000, 5_000
-_EMPTY = "----"
 _HASH = Rolling(41)
 _SEEDS = np.random.default_rng(42).integers(0, 2**64, REPLICAS, dtype=np.uint64)
 
@@ -102,24 +100,26 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def fingerprint(text: str, lexicon: np.ndarray) -> np.ndarray:
-    """REPLICAS x SCALES hashes as strings of four hex digits, or _EMPTY where the subset holds none of the terms."""
+    """REPLICAS x SCALES hashes of 16 bits, 0 where the subset holds none of the terms. A subset's hash is a mixed sum over
+    its distinct terms."""
     found = terms(text)
     kept = found[lexicon[_bucket(found)]]
     found = kept if len(kept) >= FEW else found
-    out = np.full((REPLICAS, SCALES), _EMPTY)
-    if len(found):
-        for k, seed in enumerate(_SEEDS):
-            draw = mix64(found ^ seed)
-            for scale in range(SCALES):
-                members = found[draw < np.uint64((1 << (64 - scale)) - 1)]
-                if not len(members):
-                    break
-                out[k, scale] = f"{xxhash.xxh3_64_intdigest(members.tobytes(), scale) & 0xFFFF:04x}"
-    return out
+    sums, some = np.zeros((REPLICAS, SCALES), np.uint64), np.zeros((REPLICAS, SCALES), bool)
+    for k in range(0, len(found), 4096):
+        draw, value = mix64(found[k : k + 4096] ^ _SEEDS[:, None]), mix64(~found[k : k + 4096])
+        for scale in range(SCALES):
+            members = draw < np.uint64((1 << (64 - scale)) - 1)
+            held = members.any(1)
+            if not held.any():
+                break
+            sums[:, scale] += (members * value).sum(1, dtype=np.uint64)
+            some[:, scale] |= held
+    return np.where(some, mix64(sums) % np.uint64(65535) + np.uint64(1), 0).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    held = (a != _EMPTY) | (b != _EMPTY)
+    held = (a != 0) | (b != 0)
     if not held.any():
         return 1.0
     full = np.flatnonzero(held.all(0))
@@ -143,7 +143,7 @@ def _compare(lexicon):
                     n = len(old) // 2
                     edited = old[: len(old) - n] + text[:n]
                     other = fingerprint(edited, kept) if edited != old else print_
-                    out.append((id_, len(old), hashlib.sha256(edited.encode()).hexdigest(), "".join(print_.ravel()), "".join(other.ravel()), likeness(print_, other), likeness(print_, own)))
+                    out.append((id_, len(old), hashlib.sha256(edited.encode()).hexdigest(), print_.astype(">u2").tobytes().hex(), other.astype(">u2").tobytes().hex(), likeness(print_, other), likeness(print_, own)))
                 last = part, copy, doc, text, own
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 7, schema)], schema=schema)
 
