@@ -157,7 +157,7 @@ def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
     edges = scratch(edges.groupBy("leader", "member").agg(F.max("core").alias("core")), "edges")
     cores = components(edges.where("core"), "leader", "member").toDF("leader", "core_id")
     ids = edges.select("leader").distinct().join(cores, "leader", "left").select("leader", F.coalesce("core_id", "leader").alias("group"))
-    members = edges.join(ids, "leader").select("group", F.explode(F.array("leader", "member")).alias("rep")).distinct()
+    members = edges.join(ids, "leader").select("group", F.col("member").alias("rep")).union(ids.select("group", "leader")).distinct()
     members = scratch(members, "groups")
     sizes = members.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"))
     placed = members.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
