@@ -7,7 +7,7 @@ bands of five values miss a pair at similarity 0.85 with a probability of 4e-7.
 
 Copies with the same words are one class before any banding. In each bucket, documents are compared by signature with
 the bucket's leaders, and become leaders if they are core to none. Leaders joined by core documents are one group, with
-all that is in reach of any of them. Within a group full sets are intersected, block by block, and only links that
+all that is in reach of any of them; the first bands form groups, the others add only what leads out of them. Within a group full sets are intersected, block by block, and only links that
 connect what is not connected yet are handed on: linearly many rows, yet no link is lost between parts.
 
 Defined results: null, empty or wordless text has no shingles and links with nothing; a text of under five words is one
@@ -32,6 +32,8 @@ WIDTH, PERMUTATIONS, BANDS, ROWS = 5, 64, 25, 5
 #: similarity of 0.85 differ by 0.15, so what is linked to a core document has 0.43 or more with the leader: the reach
 #: lies over two standard deviations of an estimate below that, in each bucket that the two share.
 CORE, REACH = 0.58, 0.34
+#: Bands whose edges form groups before the others are looked at, where buckets within one group need no edges any more.
+FIRST_BANDS = 5
 #: Documents of a group whose sets are intersected at a time; larger groups go by pairs of blocks.
 BLOCK = 2048
 #: Words hashed at a time, so that memory for a very long text is bounded by its distinct shingles.
@@ -96,23 +98,24 @@ def _rows(batches, key: int):
     return groupby(rows, lambda x: x[:key])
 
 
-_EDGE = pa.schema([("leader", pa.int64()), ("member", pa.int64()), ("core", pa.bool_())])
+_EDGE = pa.schema([("leader", pa.int64()), ("leader_home", pa.int64()), ("member", pa.int64()), ("member_home", pa.int64()), ("core", pa.bool_())])
 
 
 def _lead(batches):
-    """Leaders of each bucket: a member that is core to no leader so far becomes one; edges go to all leaders within reach."""
+    """Leaders of each bucket: a member that is core to no leader so far becomes one; edges go to all leaders within reach that
+    are not yet in the member's group."""
     out = []
     for _, rows in _rows(batches, 1):
         leaders, prints = [], np.zeros((4, 2 * PERMUTATIONS), np.uint16)
-        for _, rep, sig in rows:
+        for _, rep, home, sig in rows:
             own = np.frombuffer(sig, np.uint16)
             alike = (prints[: len(leaders)] == own).mean(1)
-            out += [(leaders[k], rep, bool(alike[k] >= CORE)) for k in np.flatnonzero(alike >= REACH)]
+            out += [(*leaders[k], rep, home, bool(alike[k] >= CORE)) for k in np.flatnonzero(alike >= REACH) if leaders[k][1] != home]
             if not (alike >= CORE).any():
                 if len(leaders) == len(prints):
                     prints = np.concatenate([prints, np.zeros_like(prints)])
                 prints[len(leaders)] = own
-                leaders.append(rep)
+                leaders.append((rep, home))
         if len(out) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=_EDGE)
             out = []
@@ -120,6 +123,22 @@ def _lead(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=_EDGE)
 
 
+def _edges(classes: DataFrame, homes: DataFrame, first: int, n: int) -> DataFrame:
+    """Edges in the buckets of n bands from the first on. A bucket whose documents are all of one group says nothing new: it is
+    left out before signatures are shuffled."""
+    banded = classes.select("rep", F.explode(F.slice("bands", first + 1, n)).alias("band")).join(homes, "rep")
+    shared = banded.groupBy("band").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low != high").select("band")
+    signed = banded.join(shared, "band").join(classes.select("rep", "sig"), "rep").select("band", "rep", "home", "sig")
+    kinds = "leader long, leader_home long, member long, member_home long, core boolean"
+    return scratch(map_arrow(signed.repartition("band").sortWithinPartitions("band", "rep"), _lead, kinds), "edges")
+
+
+def _merged(homes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rep, home) after groups with a core edge between them have become one."""
+    parts = components(edges.where("core"), "leader_home", "member_home").toDF("home", "merged")
+    return scratch(homes.join(parts, "home", "left").select("rep", F.coalesce("merged", "home").alias("home")), "homes")
+
+
 def spanning_links(sets: list[np.ndarray], percent: int):
     """Pairs (i, j) at the threshold, as many as connect all that is connected; intersections are counted on full sets."""
     sizes = np.array([len(x) for x in sets])
@@ -150,22 +169,23 @@ def _confirm(percent: int):
     return run
 
 
-def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, block: int) -> DataFrame:
+def _links(classes: DataFrame, docs: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) of representatives that connect all pairs at the threshold which share a bucket."""
-    signed = banded.join(classes.select("rep", "sig"), "rep").select("band", "rep", "sig")
-    edges = map_arrow(signed.repartition("band").sortWithinPartitions("band", "rep"), _lead, "leader long, member long, core boolean")
-    edges = scratch(edges.groupBy("leader", "member").agg(F.max("core").alias("core")), "edges")
-    cores = components(edges.where("core"), "leader", "member").toDF("leader", "core_id")
-    ids = edges.select("leader").distinct().join(cores, "leader", "left").select("leader", F.coalesce("core_id", "leader").alias("group"))
-    members = edges.join(ids, "leader").select("group", F.col("member").alias("rep")).union(ids.select("group", "leader")).distinct()
+    alone = classes.select("rep", F.col("rep").alias("home")).distinct()
+    early = _edges(classes, alone, 0, FIRST_BANDS)
+    homes = _merged(alone, early)
+    late = _edges(classes, homes, FIRST_BANDS, BANDS - FIRST_BANDS)
+    groups = _merged(homes, late)
+    within = early.union(late).where("not core").select(F.col("leader").alias("rep"), "member").distinct()  # core edges have merged groups
+    members = groups.select(F.col("home").alias("group"), "rep").union(within.join(groups, "rep").select("home", "member")).distinct()
     members = scratch(members, "groups")
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    sizes = members.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group", F.ceil(F.col("n") / block).alias("blocks"))
     placed = members.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))  # a group of one block stays as it is
     placed = placed.withColumn("other", other).select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
     full = placed.join(docs.toDF("rep", "text"), "rep").select("group", "i", "j", "rep", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "rep")
     out = scratch(map_arrow(full, _confirm(percent), "a long, b long"), "links")
-    forget(edges, members)
+    forget(early, homes, late, groups, members)
     return out
 
 
@@ -175,9 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = BLOCK) -> D
     signed = scratch(map_arrow(docs, _sign, "doc_id long, n_shingles long, key binary, sig binary, bands array<long>"), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = scratch(classes, "classes")
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    links = _links(banded.join(shared, "band"), classes, docs, percent, block)
+    links = _links(classes, docs, percent, block)
     parts = scratch(components(links), "parts")
     reps = classes.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     reps = scratch(reps, "membership")
