@@ -25,6 +25,9 @@ _SPARK = {
     "SORTED": "array_sort(collect_set({0}))",
     "JOINED": "array_join({0}, {1})",
     "LISTED": "array_join(transform(array_sort(collect_list(named_struct('a', {0}, 'b', {1}))), x -> x.b), {2})",
+    "WORDS": "filter(split({0}, '[^a-z0-9_]+'), x -> length(x) > 2)",
+    "SORTEDSET": "array_sort(array_distinct({0}))",
+    "REDACTED": "regexp_replace({0}, '(?i)\\\\b(api[_-]?key|token|password|secret|bearer|authorization)\\\\b[ \t\n]*[:=][ \t\n]*[^ \t\n]+', '$1=[REDACTED]')",
     "DAYS": "make_interval(0, 0, 0, cast({0} as int))",
 }
 _DUCK = {
@@ -43,6 +46,9 @@ _DUCK = {
     "SORTED": "list_sort(list(distinct {0}))",
     "JOINED": "array_to_string({0}, {1})",
     "LISTED": "string_agg({1}, {2} order by {0}, {1})",
+    "WORDS": "list_filter(regexp_split_to_array({0}, '[^a-z0-9_]+'), lambda x: length(x) > 2)",
+    "SORTEDSET": "list_sort(list_distinct({0}))",
+    "REDACTED": "regexp_replace({0}, '(?i)\\b(api[_-]?key|token|password|secret|bearer|authorization)\\b[ \t\n]*[:=][ \t\n]*[^ \t\n]+', '\\1=[REDACTED]', 'g')",
     "DAYS": "to_days(cast({0} as int))",
 }
 

@@ -2,19 +2,19 @@
 
 QUERIES = {
     "j1_entity_relationships": """select s.s_name as source, p.p_name as target, count(*) as mentions, round(least(0.9 + 0.1 * count(*), 1.0), 2) as confidence
-      from {lineitem} join {supplier} s on l_suppkey = s.s_suppkey join {part} p on l_partkey = p.p_partkey where l_suppkey <= 20 group by s.s_name, p.p_name""",
+      from {lineitem} join {supplier} s on l_suppkey = s.s_suppkey join {part} p on l_partkey = p.p_partkey group by s.s_name, p.p_name""",
     "j3_namespace_entities": """select distinct c_custkey, c_name from {customer} join {orders} on c_custkey = o_custkey where o_orderstatus = 'O' order by c_custkey limit 10""",
     "j4_entities_with_facts": "select c_custkey, c_name from {customer} where c_custkey in (select o_custkey from {orders} where o_totalprice > 100000)",
-    "j7_hotness_left": """with h as (select JSON_K(props) as memory_id, count(*) as n from {events} group by 1) select d.doc_id, coalesce(h.n, 0) as n, case when h.n is null then 0.5 else least(1.0, h.n / 100.0) end as importance from {documents} d left join h on d.doc_id = h.memory_id""",
+    "j7_hotness_left": """with h as (select JSON_K(props) as memory_id, count(*) as n from {events} group by 1) select d.doc_id, coalesce(h.n, 0) as n, case when h.n is null then cast(0.5 as double) else least(cast(1 as double), cast(h.n as double) / 100) end as importance from {documents} d left join h on d.doc_id = h.memory_id""",
     "j11_durable_semi": "select l_orderkey, l_linenumber from {lineitem} where l_suppkey in (select s_suppkey from {supplier} where s_acctbal > 9000) or l_partkey in (select p_partkey from {part} where p_size > 49)",
     "j13_orphans_anti": "select d.doc_id from {documents} d left join {embeddings} e on d.doc_id = e.vec_id where e.vec_id is null",
-    "j18_conflict_pairs": """with w as (select doc_id, lang, source, TOKENS(substr(text, 1, 200)) as words from {documents} where n_chars < 1500), k as (select doc_id, lang, source, words, substr(JOINED(words, ' '), 1, 24) as head from w)
+    "j18_conflict_pairs": """with w as (select doc_id, lang, source, TOKENS(text) as words from {documents}), k as (select doc_id, lang, source, words, substr(JOINED(words, ' '), 1, 24) as head from w)
       select a.doc_id as a, b.doc_id as b, round(cast(COMMON(a.words, b.words) as double) / EITHER(a.words, b.words), 4) as jaccard from k a join k b on a.head = b.head and a.lang = b.lang and a.doc_id < b.doc_id
       where a.source <> b.source and length(a.head) > 0 and COMMON(a.words, b.words) >= 0.7 * EITHER(a.words, b.words)""",
-    "j19_supersede_overlap": """with f as (select o_custkey, o_orderkey, TOKENS(o_orderpriority) as words from {orders} where o_custkey <= 2000) select a.o_custkey as entity_id, a.o_orderkey as old_fact, min(b.o_orderkey) as superseded_by
+    "j19_supersede_overlap": """with f as (select o_custkey, o_orderkey, TOKENS(o_orderpriority) as words from {orders}) select a.o_custkey as entity_id, a.o_orderkey as old_fact, min(b.o_orderkey) as superseded_by
       from f a join f b on a.o_custkey = b.o_custkey and b.o_orderkey > a.o_orderkey where COMMON(a.words, b.words) >= 0.6 * ITEMS(a.words) group by a.o_custkey, a.o_orderkey""",
     "j24_two_hop": """with edges as (select distinct l_suppkey as s, l_partkey as p from {lineitem}), hop1 as (select p from edges where s = 1), hop2 as (select distinct e.s from edges e join hop1 on e.p = hop1.p where e.s <> 1) select s, s_name from hop2 join {supplier} on s = s_suppkey""",
-    "j25_ngram_entities": """with q as (select item_id, TOKENS(substr(text, 1, 200)) as w from {benchmark}), g as (select distinct item_id, EXPLODE(w) as gram from q), e as (select p_partkey, EXPLODE(TOKENS(p_name)) as gram from {part})
+    "j25_ngram_entities": """with q as (select item_id, TOKENS(text) as w from {benchmark}), g as (select distinct item_id, EXPLODE(w) as gram from q), e as (select p_partkey, EXPLODE(TOKENS(p_name)) as gram from {part})
       select g.item_id, count(distinct e.p_partkey) as entities from g join e on g.gram = e.gram group by g.item_id""",
     "j29_lineage": """with v as (select JSON_K(props) as memory_id, 'version' as edge, count(*) as n from {events} where event_type in ('signup', 'purchase') group by 1), a as (select JSON_K(props) as memory_id, 'audit' as edge, count(*) as n from {events} where event_type in ('error', 'click') group by 1),
       r as (select JSON_K(props) as memory_id, 'retrieval' as edge, count(*) as n from {events} where event_type = 'view' group by 1) select * from v union all select * from a union all select * from r""",

@@ -1,7 +1,7 @@
 """Ranking: postings and BM25, cosine, reciprocal-rank fusion, thresholds, caps, visibility."""
 
 #: Query terms of each benchmark passage: its first six different words of three letters or more.
-TERMS = """q0 as (select item_id, EXPLODE(TOKENS(substr(text, 1, 120))) as term from {benchmark}), q1 as (select distinct item_id, term from q0 where length(term) >= 3),
+TERMS = """q0 as (select item_id, EXPLODE(TOKENS(text)) as term from {benchmark}), q1 as (select distinct item_id, term from q0 where length(term) >= 3),
   q as (select item_id, term from (select *, row_number() over (partition by item_id order by term) as rn from q1) x where rn <= 6)"""
 POSTINGS = """p0 as (select doc_id, EXPLODE(TOKENS(text)) as term from {documents}), lens as (select doc_id, count(*) as len from p0 group by doc_id),
   stats as (select count(*) as n, avg(len) as avgdl from lens), wanted as (select distinct term from q),
@@ -13,7 +13,7 @@ BM25 = f"""{TERMS}, {POSTINGS}, bm25 as (select q.item_id, tf.doc_id, sum(ln(1 +
 COSINE = """qv as (select item_id, embedding as e from {benchmark} join {embeddings} on item_id = vec_id), cos as (select item_id, vec_id as doc_id, COSINE(e, embedding) as score from {embeddings} cross join qv where vec_id <> item_id),
   vectors as (select item_id, doc_id, score, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rn from cos)"""
 FUSED = f"""{BM25}, {COSINE}, lists as (select item_id, doc_id, rn from lexical where rn <= 20 union all select item_id, doc_id, rn from vectors where rn <= 20),
-  rrf as (select item_id, doc_id, sum(1.0 / (20 + rn)) as score, count(*) as lists from lists group by item_id, doc_id)"""
+  rrf as (select item_id, doc_id, sum(cast(1 as double) / (20 + rn)) as score, count(*) as lists from lists group by item_id, doc_id)"""
 
 QUERIES = {
     "r_bm25_topk": f"with {BM25} select item_id, doc_id, round(score, 4) as score, rn from lexical where rn <= 10",
