@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Blanks around titles and bodies of sections.
+BLANK = " \t\r\n"
+
 
 def with_path_metadata(files: DataFrame) -> DataFrame:
     """files(path, text) with agent_id, date and file_type read from the path."""
@@ -28,5 +31,5 @@ def changed(files: DataFrame, seen: DataFrame) -> DataFrame:
 def sections(docs: DataFrame) -> DataFrame:
     """docs(id, text) split on headings: id, section, title, body."""
     parts = F.split("text", r"(?m)^(?=#{1,6} )")
-    out = docs.select("id", F.posexplode(F.filter(parts, lambda x: F.length(F.trim(x)) > 0)).alias("section", "part"))
-    return out.select("id", "section", F.trim(F.regexp_extract("part", r"^#{1,6} ([^\n]*)", 1)).alias("title"), F.trim(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", "")).alias("body"))
+    out = docs.select("id", F.posexplode(F.filter(parts, lambda x: F.length(F.trim(x, F.lit(BLANK))) > 0)).alias("section", "part"))
+    return out.select("id", "section", F.trim(F.regexp_extract("part", r"^#{1,6} ([^\n]*)", 1), F.lit(BLANK)).alias("title"), F.trim(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", ""), F.lit(BLANK)).alias("body"))
