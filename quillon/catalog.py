@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import catalog as own
-from .plans import graph, observability, records, retrieval
+from .plans import graph, lifecycle, observability, records, retrieval
 from .plans.dialect import duck_text, spark_frame, tables_of
 
-_TEXTS = observability.QUERIES | retrieval.QUERIES | graph.QUERIES | records.QUERIES
+_TEXTS = observability.QUERIES | retrieval.QUERIES | graph.QUERIES | records.QUERIES | lifecycle.QUERIES
 
 
 def _planned(text: str):

@@ -28,19 +28,19 @@ def _words(text: str, words) -> str:
 
 
 _OPPOSED = " ".join(f"when (contains(a, '{x}') and contains(b, '{y}')) or (contains(a, '{y}') and contains(b, '{x}')) then '{x}/{y}'" for x, y in OPPOSING)
-_FACTS = "f as (select o_orderkey as fact_id, o_custkey as entity_id, o_orderpriority as topic, o_orderdate as valid_from, case o_orderpriority when '1-URGENT' then 'permanent' when '2-HIGH' then 'durable' else 'standard' end as retention, o_totalprice as weight from {orders})"
+FACTS = "f as (select o_orderkey as fact_id, o_custkey as entity_id, o_orderpriority as topic, o_orderdate as valid_from, case o_orderpriority when '1-URGENT' then 'permanent' when '2-HIGH' then 'durable' else 'standard' end as retention, o_totalprice as weight from {orders})"
 
 QUERIES = {
     "p1_payload_filter": "select doc_id from {documents} where lang = 'en' and source in ('src0', 'src1', 'src2') and not coalesce(doc_id % 13 = 0, false) and not coalesce(doc_id % 17 = 0, false)",
-    "p2_date_range": f"with {_FACTS}, r as (select *, row_number() over (partition by entity_id order by weight desc, fact_id) as place from f where valid_from >= timestamp '1995-01-01 00:00:00' and valid_from <= timestamp '1996-12-31 00:00:00') select entity_id, fact_id, place from r where place <= 3",
+    "p2_date_range": f"with {FACTS}, r as (select *, row_number() over (partition by entity_id order by weight desc, fact_id) as place from f where valid_from >= timestamp '1995-01-01 00:00:00' and valid_from <= timestamp '1996-12-31 00:00:00') select entity_id, fact_id, place from r where place <= 3",
     "p17_like_literal": "select event_id from {events} where contains(props, '\"k\"') and contains(props, '7')",
     "p18_entity_search": "select c_custkey, c_name from {customer} where contains(lower(c_name), '12') or contains(lower(c_mktsegment), 'build') order by c_acctbal desc, c_custkey limit 20",
-    "p22_protected": f"with {_FACTS} select fact_id, (weight >= 250000 or retention in ('durable', 'permanent')) as protected from f",
+    "p22_protected": f"with {FACTS} select fact_id, (weight >= 250000 or retention in ('durable', 'permanent')) as protected from f",
     "j2_entity_either_side": "select s.s_name as source, p.p_name as target, count(*) as mentions from {lineitem} join {supplier} s on l_suppkey = s.s_suppkey join {part} p on l_partkey = p.p_partkey where l_suppkey = 7 or l_partkey = 7 group by s.s_name, p.p_name",
-    "j10_superseded_anti": f"with {_FACTS} select fact_id from f where not exists (select 1 from f n where n.entity_id = f.entity_id and n.topic = f.topic and n.valid_from > f.valid_from)",
+    "j10_superseded_anti": f"with {FACTS} select fact_id from f where not exists (select 1 from f n where n.entity_id = f.entity_id and n.topic = f.topic and n.valid_from > f.valid_from)",
     "j14_hit_metadata_left": "select d.doc_id, coalesce(l.quality, 0) as quality, coalesce(l.toxic, 0) as toxic from {documents} d left join {labels} l on d.doc_id = l.doc_id",
     "j20_vector_conflicts": "with n as (select vec_id, label, embedding as e from {embeddings} where vec_id % 100 = 0), s as (select n.vec_id as new_id, o.vec_id as old_id, COSINE(e, o.embedding) as score from n join {embeddings} o on n.label = o.label and n.vec_id <> o.vec_id) select new_id, old_id, round(score, 5) as score from s where score >= 0.5",
-    "j22_facts_at_dates": f"with {_FACTS}, v as (select *, lead(valid_from) over (partition by entity_id order by valid_from, fact_id) as valid_until from f), q as (select * from (values (1994), (1995), (1996), (1997)) t(year)) select year, count(*) as facts, count(distinct entity_id) as entities from v join q on year(valid_from) < q.year and (valid_until is null or year(valid_until) >= q.year) group by year",
+    "j22_facts_at_dates": f"with {FACTS}, v as (select *, lead(valid_from) over (partition by entity_id order by valid_from, fact_id) as valid_until from f), q as (select * from (values (1994), (1995), (1996), (1997)) t(year)) select year, count(*) as facts, count(distinct entity_id) as entities from v join q on year(valid_from) < q.year and (valid_until is null or year(valid_until) >= q.year) group by year",
     "j23_token_lookup": f"with {TERMS}, p as (select doc_id, EXPLODE(TOKENS(text)) as term from {{documents}}) select q.item_id, q.term, min(doc_id) as first_doc, count(distinct doc_id) as docs from q join p on q.term = p.term group by q.item_id, q.term",
     "a5_dashboard_stats": f"with {LOGS} select count(*) as n, cast(sum(cache_hit) as bigint) as hits, round(avg(duration_ms), 2) as avg_ms, round(cast(sum(cache_hit) as double) / count(*), 3) as hit_rate from logs",
     "a13_queue_counts": "select event_type as status, count(*) as n from {events} group by event_type",
