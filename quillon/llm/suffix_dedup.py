@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ CHUNK = 1 << 20
 SHARD = 1 << 20
 #: Segments of one owner that go to the same shard.
 HOT = 1024
+#: Starts of divided owners that are merged at a time.
+PART = 500_000
 
 _HASH = Rolling(31)
 _U = np.uint64
@@ -169,26 +172,34 @@ def _runs(flags: np.ndarray):
     return zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())
 
 
-_FOUND = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+_FOUND = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("part", pa.int64()), ("run", pa.binary())])
+_START = np.dtype([("high", np.int64), ("low", np.int64), ("row", np.int64), ("start", np.int64)])
 
 
-def _solve(rows: list[tuple], length: int) -> pa.RecordBatch:
-    """Spans of a shard's segments (owner, salt, salts, copies, row, start, bytes)."""
+def _solve(rows: list[tuple], length: int, parts: int) -> pa.RecordBatch:
+    """Spans of a shard's segments (owner, salt, salts, copies, row, start, bytes), and what it hands on: one sorted run of
+    starts for each part of the hashes."""
     at, marked, first = _marked([x[6] for x in rows], length)
-    out = []
+    out, digests, places = [], [], []
     for (_, _, salts, copies, row, start, raw), i in zip(rows, at.tolist()):
         flags = marked[i : i + len(raw) - length + 1]
         if copies == 1 and flags.any():
             out += [(row, start + a, start + b + length - 1, None, None) for a, b in _runs(flags)]
-        if salts > 1:  # its owner has other shards: hand on the hashes of its distinct starts
+        if salts > 1:  # its owner has other shards: hand on its distinct starts
             for k in np.flatnonzero(first[i : i + len(flags)]).tolist():
-                high, low = np.frombuffer(xxhash.xxh3_128_digest(raw[k : k + length]), np.int64).tolist()
-                out.append((row, start + k, start + k + length, high, low))
-    columns = zip(*out) if out else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=_FOUND)
-
-
-def _sort_shards(length: int, shard_bytes: int):
+                digests.append(xxhash.xxh3_128_digest(raw[k : k + length]))
+                places.append((row, start + k))
+    if digests:
+        starts = np.empty(len(digests), _START)
+        starts["high"], starts["low"] = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+        starts["row"], starts["start"] = np.array(places, np.int64).T
+        starts = starts[np.lexsort((starts["low"], starts["high"]))]
+        part = starts["low"] % parts
+        out += [(None, None, None, k, starts[part == k].tobytes()) for k in np.unique(part).tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 5, _FOUND)], schema=_FOUND)
+
+
+def _sort_shards(length: int, shard_bytes: int, parts: int):
     """A shard is filled with whole groups as they arrive; a group is what shares owner and salt."""
 
     def run(batches):
@@ -200,20 +211,27 @@ def _sort_shards(length: int, shard_bytes: int):
                 held.append(x)
                 size += len(x[6]) + 1
                 if size > shard_bytes and cut:
-                    yield _solve(held[:cut], length)
+                    yield _solve(held[:cut], length, parts)
                     held, size, cut, cut_size = held[cut:], size - cut_size, 0, 0
         if held:
-            yield _solve(held, length)
+            yield _solve(held, length, parts)
 
     return run
 
 
-def _merge(frame):
-    """Starts handed on by the shards of divided owners, for one range of hashes: each is sought among all by binary search."""
-    keys = frame[["high", "low"]].to_records(index=False)
-    order = np.sort(keys)
-    alone = np.searchsorted(order, keys, "right") - np.searchsorted(order, keys, "left") < 2
-    return frame[~alone][["row", "start", "end"]]
+def _merge(length: int):
+    """Runs handed on by the shards of divided owners, for one part of the hashes: each start is sought among all by binary search."""
+
+    def run(frame):
+        starts = np.concatenate([np.frombuffer(x, _START) for x in frame["run"]])
+        keys = np.empty(len(starts), [("high", np.int64), ("low", np.int64)])
+        keys["high"], keys["low"] = starts["high"], starts["low"]
+        order = np.sort(keys, kind="stable")
+        alone = np.searchsorted(order, keys, "right") - np.searchsorted(order, keys, "left") < 2
+        found = starts[~alone]
+        return pd.DataFrame({"row": found["row"], "start": found["start"], "end": found["start"] + length})
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD) -> DataFrame:
@@ -226,18 +244,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     spans = scratch(spans, "spans")
     forget(segments)
     several = kinds.groupBy("owner").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1")
+    several = scratch(several, "several")
+    handed = (several.where(F.col("kinds") > hot).agg(F.sum("kinds")).first()[0] or 0) * (length - gram + 1)  # starts at most
     salts = F.ceil(F.col("kinds") / hot)
     wanted = kinds.join(several, "owner").select("owner", F.pmod("high", salts).alias("salt"), salts.alias("salts"), "copies", "first.row", "first.start", "first.n")
     cut = docs.select("row", F.encode("text", "utf-8").alias("bytes")).join(wanted, "row")
     cut = cut.select("owner", "salt", "salts", "copies", "row", "start", F.expr(f"substring(bytes, int(start + 1), int(n + {length - 1}))").alias("bytes"))
     shards = cut.repartition("owner", "salt").sortWithinPartitions("owner", "salt")
-    found = scratch(map_arrow(shards, _sort_shards(length, shard_bytes), "row long, start long, end long, high long, low long"), "found")
-    forget(kinds)
-    runs = found.where("high is not null")
-    if hashes := runs.count():
-        keyed = runs.withColumn("part", F.pmod("low", F.lit(hashes // 500_000 + 1)))
-        spans = spans.union(keyed.groupBy("part").applyInPandas(_merge, "row long, start long, end long"))
-    return spans.union(found.where("high is null").select("row", "start", "end"))
+    found = scratch(map_arrow(shards, _sort_shards(length, shard_bytes, handed // PART + 1), "row long, start long, end long, part long, run binary"), "found")
+    forget(kinds, several)
+    if handed:
+        spans = spans.union(found.where("part is not null").groupBy("part").applyInPandas(_merge(length), "row long, start long, end long"))
+    return spans.union(found.where("part is null").select("row", "start", "end"))
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
