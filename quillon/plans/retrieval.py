@@ -1,8 +1,7 @@
 """Ranking: postings and BM25, cosine, reciprocal-rank fusion, thresholds, caps, visibility."""
 
-#: Query terms of each benchmark passage: its first six different words of three letters or more.
-TERMS = """q0 as (select item_id, EXPLODE(TOKENS(text)) as term from {benchmark}), q1 as (select distinct item_id, term from q0 where length(term) >= 3),
-  q as (select item_id, term from (select *, row_number() over (partition by item_id order by term) as rn from q1) x where rn <= 6)"""
+#: Query terms of each benchmark passage: all its different words.
+TERMS = """q0 as (select item_id, EXPLODE(TOKENS(text)) as term from {benchmark}), q as (select distinct item_id, term from q0)"""
 POSTINGS = """p0 as (select doc_id, EXPLODE(TOKENS(text)) as term from {documents}), lens as (select doc_id, count(*) as len from p0 group by doc_id),
   stats as (select count(*) as n, avg(len) as avgdl from lens), wanted as (select distinct term from q),
   tf as (select p0.doc_id, p0.term, count(*) as tf from p0 join wanted on p0.term = wanted.term group by p0.doc_id, p0.term), df as (select term, count(*) as df from tf group by term)"""
