@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_text(text) for name, text in _TEXTS.items()} | own.ORACLES
+    return {name: duck_text(text) for name, text in (_TEXTS | graph.ORACLES).items()} | own.ORACLES
