@@ -312,6 +312,20 @@ def test_shards(docs):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_groups_up_to_a_mean_shard_stay_whole(spark):
+    rows = [f"text {k} " + "x" * 80 for k in range(4000)] + ["copied " + "y" * 80] * 60 + ["hot " + "z" * 80] * 900
+    rows = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sharding.shard(rows).collect()
+    mean = sum(g.size for g in got) / 40
+    places, sums = collections.defaultdict(collections.Counter), collections.Counter()
+    for g in got:
+        places[g.text_crc32][g.shard] += g.size
+        sums[g.shard] += g.size
+    whole, hot = (places[zlib.crc32(x.encode())] for x in ("copied " + "y" * 80, "hot " + "z" * 80))
+    assert len(whole) == 1 and len(hot) == -(-sum(hot.values()) // mean)
+    assert max(sums.values()) < 1.05 * mean and len({(g.shard, g.slot) for g in got}) == len(got) == 4960
+
+
 def test_differencing_balances():
     sizes = np.random.default_rng(1).integers(1, 1000, 400).tolist()
     sums = np.bincount(sharding.differencing(sizes, 8), sizes, 8)
