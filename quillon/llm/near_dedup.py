@@ -3,7 +3,7 @@
 A document is its set of distinct five-word shingles over words lower-cased in A-Z. Each of 64 permutations of the
 shingles' 64-bit hashes keeps both its minimum and its maximum, so 64 evaluations give 128 signature values; either
 extreme is equal in two documents with a probability of their Jaccard similarity, hence the estimate is unbiased. 25
-bands of five values miss a pair at similarity 0.85 with a probability of 4e-7.
+bands of five values miss a pair at similarity 0.85 with a probability of 4e-7, and one at 0.80 with 5e-5.
 
 Copies with the same words are one class before any banding. In each bucket, documents are compared by signature with
 the bucket's leaders, and become leaders if they are core to none. Leaders joined by core documents are one group, with
@@ -28,10 +28,8 @@ from pyspark.sql import functions as F
 from .common import Rolling, components, forget, map_arrow, mix64, scratch
 
 WIDTH, PERMUTATIONS, BANDS, ROWS = 5, 64, 25, 5
-#: Share of equal signature values with which a document is core to a leader, and within its reach. Two documents at a
-#: similarity of 0.85 differ by 0.15, so what is linked to a core document has 0.43 or more with the leader: the reach
-#: lies over two standard deviations of an estimate below that, in each bucket that the two share.
-CORE, REACH = 0.58, 0.34
+#: Share of equal signature values with which a document is core to a leader. Its reach follows from the threshold.
+CORE = 0.58
 #: Bands whose edges form groups before the others are looked at, where buckets within one group need no edges any more.
 FIRST_BANDS = 5
 #: Documents of a group whose sets are intersected at a time; larger groups go by pairs of blocks.
@@ -45,6 +43,14 @@ _BAND = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) +
 _HASH = Rolling(21)
 
 
+def reach_at(percent: int) -> float:
+    """Share of equal signature values with which a document is within a leader's reach. Two documents at a similarity of 0.85
+    differ by 0.15, so what is linked to a core document has 0.43 or more with the leader (0.38 at 0.80): the reach lies
+    two standard deviations of an estimate below that, in each bucket that the two share."""
+    least = CORE - (1 - percent / 100)
+    return least - 2 * (least * (1 - least) / (2 * PERMUTATIONS)) ** 0.5
+
+
 def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
@@ -101,36 +107,40 @@ def _rows(batches, key: int):
 _EDGE = pa.schema([("leader", pa.int64()), ("leader_home", pa.int64()), ("member", pa.int64()), ("member_home", pa.int64()), ("core", pa.bool_())])
 
 
-def _lead(batches):
+def _lead(reach: float):
     """Leaders of each bucket: a member that is core to no leader so far becomes one; edges go to all leaders within reach that
     are not yet in the member's group."""
-    out = []
-    for _, rows in _rows(batches, 1):
-        leaders, prints = [], np.zeros((4, 2 * PERMUTATIONS), np.uint16)
-        for _, rep, home, sig in rows:
-            own = np.frombuffer(sig, np.uint16)
-            alike = (prints[: len(leaders)] == own).mean(1)
-            out += [(*leaders[k], rep, home, bool(alike[k] >= CORE)) for k in np.flatnonzero(alike >= REACH) if leaders[k][1] != home]
-            if not (alike >= CORE).any():
-                if len(leaders) == len(prints):
-                    prints = np.concatenate([prints, np.zeros_like(prints)])
-                prints[len(leaders)] = own
-                leaders.append((rep, home))
-        if len(out) > 10_000:
+
+    def run(batches):
+        out = []
+        for _, rows in _rows(batches, 1):
+            leaders, prints = [], np.zeros((4, 2 * PERMUTATIONS), np.uint16)
+            for _, rep, home, sig in rows:
+                own = np.frombuffer(sig, np.uint16)
+                alike = (prints[: len(leaders)] == own).mean(1)
+                out += [(*leaders[k], rep, home, bool(alike[k] >= CORE)) for k in np.flatnonzero(alike >= reach) if leaders[k][1] != home]
+                if not (alike >= CORE).any():
+                    if len(leaders) == len(prints):
+                        prints = np.concatenate([prints, np.zeros_like(prints)])
+                    prints[len(leaders)] = own
+                    leaders.append((rep, home))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=_EDGE)
+                out = []
+        if out:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=_EDGE)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=_EDGE)
+
+    return run
 
 
-def _edges(classes: DataFrame, homes: DataFrame, first: int, n: int) -> DataFrame:
+def _edges(classes: DataFrame, homes: DataFrame, first: int, n: int, reach: float) -> DataFrame:
     """Edges in the buckets of n bands from the first on. A bucket whose documents are all of one group says nothing new: it is
     left out before signatures are shuffled."""
     banded = classes.select("rep", F.explode(F.slice("bands", first + 1, n)).alias("band")).join(homes, "rep")
     shared = banded.groupBy("band").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low != high").select("band")
     signed = banded.join(shared, "band").join(classes.select("rep", "sig"), "rep").select("band", "rep", "home", "sig")
     kinds = "leader long, leader_home long, member long, member_home long, core boolean"
-    return scratch(map_arrow(signed.repartition("band").sortWithinPartitions("band", "rep"), _lead, kinds), "edges")
+    return scratch(map_arrow(signed.repartition("band").sortWithinPartitions("band", "rep"), _lead(reach), kinds), "edges")
 
 
 def _merged(homes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -172,9 +182,9 @@ def _confirm(percent: int):
 def _links(classes: DataFrame, docs: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) of representatives that connect all pairs at the threshold which share a bucket."""
     alone = classes.select("rep", F.col("rep").alias("home")).distinct()
-    early = _edges(classes, alone, 0, FIRST_BANDS)
+    early = _edges(classes, alone, 0, FIRST_BANDS, reach_at(percent))
     homes = _merged(alone, early)
-    late = _edges(classes, homes, FIRST_BANDS, BANDS - FIRST_BANDS)
+    late = _edges(classes, homes, FIRST_BANDS, BANDS - FIRST_BANDS, reach_at(percent))
     groups = _merged(homes, late)
     within = early.union(late).where("not core").select(F.col("leader").alias("rep"), "member").distinct()  # core edges have merged groups
     members = groups.select(F.col("home").alias("group"), "rep").union(within.join(groups, "rep").select("home", "member")).distinct()

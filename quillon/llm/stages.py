@@ -9,6 +9,10 @@ from . import mixing, near_dedup, packing, secret_scan, toxicity
 from .common import map_arrow, scratch
 
 
+#: Similarity in percent from which documents are near copies in the pipeline; op2 has a stricter one of its own.
+NEAR = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier of the folder's labels scores under 0.5; scored in the same pass, without an exchange.
     A row without an id or text is scored by its text, as any other."""
@@ -21,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the least doc_id of each component of near copies; of repeated rows one, and of rows without an id all."""
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near_dedup.near_duplicates(docs, percent=NEAR).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     kept = scratch(kept, "kept")
     one = docs.join(kept, docs.doc_id.cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))

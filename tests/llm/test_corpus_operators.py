@@ -72,6 +72,30 @@ def test_near_duplicates(docs):
     assert all((g.n_shingles, g.component_id, g.kept) == (len(sets[g.doc_id]), root.get(g.doc_id), g.doc_id is None or root[g.doc_id] == g.doc_id) for g in got)
 
 
+def test_pipeline_links_near_copies_from_080(spark):
+    from quillon.llm import stages
+
+    rng, rows = np.random.default_rng(8), []
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        rows.append((len(rows), " ".join(words)))
+        for edits in (6, 8, 12):  # each takes five shingles away: 0.86, 0.82 and 0.74
+            own = list(words)
+            for at in rng.choice(80, edits, replace=False):
+                own[at * 5] = f"edit{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    part = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and part[a] != part[b]:
+                part = [part[b] if x == part[a] else x for x in part]
+    want = {min(i for i, x in enumerate(part) if x == p) for p in set(part)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in stages.drop_near_copies(spark, docs, "").collect()} == want
+    assert near_dedup.near_duplicates(docs).where("kept").count() > len(want)
+
+
 def test_large_groups_of_near_copies(spark):
     """Chains of edits: neighbours are near, ends are not; all are one component, found without pairing all."""
     words = [f"w{k}" for k in range(300)]
