@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import mixing, near_dedup, packing, secret_scan, toxicity
@@ -24,11 +24,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the least doc_id of each component of near copies; of repeated rows one, and of rows without an id all."""
-    kept = near_dedup.near_duplicates(docs, percent=NEAR).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    kept = scratch(kept, "kept")
-    one = docs.join(kept, docs.doc_id.cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """The text with the least doc_id of each component of near copies, where each text is judged by itself, also beside others of its
+    doc_id; of rows equal in doc_id and text the least in the other columns; and of rows without an id all."""
+    names = docs.columns
+    text = F.xxhash64(F.col("text").cast("string"))
+    rows = docs.where("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", text)
+    texts = docs.where("doc_id is not null").select(text.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = near_dedup.near_duplicates(texts, percent=NEAR).select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_part"), (F.col("n_shingles") > 0).alias("_wordy")).distinct()
+    alone = F.when(~F.col("_wordy"), F.col("_id"))  # a wordless text links with nothing, not even under another doc_id
+    judged = rows.select("_id", "_text").join(parts, "_text").groupBy("_part", alone.alias("_alone")).agg(F.min(F.struct("_id", "_text")).alias("_kept"))
+    kept = scratch(judged.select("_kept.*"), "kept")
+    others = [F.col(c) for c in names if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(*others, "doc_id"))
+    one = rows.join(kept, ["_id", "_text"], "left_semi").withColumn("_first", first).where("_first = 1")
+    return one.select(*names).unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

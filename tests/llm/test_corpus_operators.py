@@ -96,6 +96,17 @@ def test_pipeline_links_near_copies_from_080(spark):
     assert near_dedup.near_duplicates(docs).where("kept").count() > len(want)
 
 
+def test_pipeline_judges_each_text_of_a_doc_id(spark):
+    from quillon.llm import stages
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(100)) for x in "abc")
+    rows = [(3, b, "s"), (9, a, "s"), (9, b + " more", "s"), (9, a, "r"), (9, a, "s"), (12, a + " more", "s"), (20, c, "s"), (20, c + " more", "s"), (21, "", "s"), (22, None, "s"), (22, "", "s"), (None, a, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in stages.drop_near_copies(spark, docs, "").collect()]
+    assert collections.Counter(r for r in got if r[0] not in (20, 22)) == collections.Counter([(3, b, "s"), (9, a, "r"), (21, "", "s"), (None, a, "s")])
+    assert sum(r[0] == 20 for r in got) == 1 and sum(r[0] == 22 for r in got) == 2
+
+
 def test_large_groups_of_near_copies(spark):
     """Chains of edits: neighbours are near, ends are not; all are one component, found without pairing all."""
     words = [f"w{k}" for k in range(300)]
