@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, with DataFrame functions only.
 
 A document's own measures come from one pass. Then each host's normalised lines are hashed and counted by the number of
-different documents (by content: exact copies count once) that hold them; lines in more than a limit of the host's
-documents are removed, and a document is rejected if too few of its words are left. The host is the source.
+different documents (doc_ids, exact copies too; a row without an id is one of its own) that hold them; lines in more
+documents than a limit, the same for every host, are removed, and a document is rejected if too few of its words are left. The host is the source.
 
 Defined results: null text is empty and fails; a document of under eight words has no repeated windows; repeated rows
 each get their measures; null sources are one host; an empty table gives no rows; other columns are ignored.
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import WORD, scratch
 
 WINDOW, FEWEST_WORDS, MOST_REPEATED = 8, 20, 30
-#: A line is removed in a host where more documents than both hold it: a number, and a share of the host's documents.
-LINE_DOCS, LINE_SHARE = 30, 0.01
+#: A line is removed in a host where more documents than this hold it, however large the host is.
+LINE_DOCS = 30
 #: A document is depleted if fewer words than FEWEST_WORDS or a smaller share than this are left.
 LEFT_SHARE = 0.2
 
@@ -64,14 +64,14 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def quality(docs: DataFrame, line_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and n_left (words outside removed
     lines) of each row of docs(doc_id, text, source)."""
     rows = scratch(measures(docs), "measures")
     texts = scratch(rows.groupBy("host", "content").agg(F.first("lines").alias("lines")), "lines")  # lines have equal contents
-    hosts = texts.groupBy("host").agg(F.count("*").alias("docs"))
-    held = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
-    common = held.join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "h")
+    held = rows.select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).groupBy("host", "h")
+    docs_of = F.count_distinct("doc_id") + F.sum(F.col("doc_id").isNull().cast("long"))
+    common = held.agg(docs_of.alias("n")).where(F.col("n") > line_docs).select("host", "h")
     gone = texts.select("host", "content", F.explode("lines").alias("line")).select("host", "content", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
     gone = gone.join(common, ["host", "h"]).groupBy("host", "content").agg(F.sum("n").alias("gone"))
     out = rows.drop("lines").join(gone, ["host", "content"], "left").withColumn("n_left", (F.col("n_words") - F.coalesce("gone", F.lit(0))).cast("long"))

@@ -272,6 +272,16 @@ def test_common_lines_deplete_documents(spark):
     assert not any(got[k].kept for k in range(40)) and got[99].kept and got[100].kept and got[0].n_left == 2
 
 
+def test_lines_of_a_large_host_and_of_copies(spark):
+    line = "a line of boilerplate with some words of no use to anyone at all that stands in many pages of this host here"
+    rows = [(k, line + f"\nonly {k}", "large") for k in range(40)] + [(k, f"page {k} " + " ".join(f"w{k}x{j}" for j in range(25)), "large") for k in range(40, 5000)]
+    rows += [(k, line + " copied", "copies") for k in range(6000, 6031)] + [(7000, line, "few")] * 40 + [(None, line + " without an id", "none")] * 31
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    left = {g.doc_id: g.n_left for g in got}
+    assert {left[k] for k in range(40)} == {2} and {left[k] for k in range(40, 5000)} == {27}
+    assert {left[k] for k in range(6000, 6031)} == {0} and left[7000] > 20 and left[None] == 0
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
