@@ -1,7 +1,7 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
-The lexicon is what lies within a band of inverse document frequency, counted over all documents in a table of BUCKETS
-counters (a fixed 4 MB, whatever the corpus). A document keeps its distinct lexicon terms in sorted order; each of
+The lexicon is what lies within a band of inverse document frequency, counted for each term over all documents; LEAST_SHARE and
+LEAST_DOCS bound its size by 10,000 times the mean number of a document's terms. A document keeps its distinct lexicon terms in sorted order; each of
 REPLICAS x SCALES random subsets of the lexicon, nested within a replica and halving from scale to scale, hashes the terms
 that it holds. Likeness is the share of equal hashes among subsets that hold a term of either document, from the
 sparsest subsets up to the first scale at which no subset is empty, where edits still leave some hashes alone.
@@ -15,7 +15,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, map_arrow, mix64
 
-BUCKETS, BLOCKS = 1 << 20, 64
+#: Terms counted at a time in a task before their counts are handed on.
+COUNTED = 1 << 20
 #: The band: terms in at least this many documents and this share of them, and at most this share.
 LEAST_DOCS, LEAST_SHARE, MOST_SHARE = 2, 0.0001, 0.05
 REPLICAS, SCALES, FEW = 20, 10, 12
@@ -49,61 +49,40 @@ def terms(text: str) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
+_PART = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 
 
-_PART = pa.schema([("block", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
-
-
-def _blocks(table: np.ndarray, task: int) -> pa.RecordBatch:
-    parts = [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in table.reshape(BLOCKS, -1)]
-    return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int32()), pa.array(parts, pa.binary())], schema=_PART)
+def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+    found, n = np.unique(np.concatenate(sets), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], schema=_PART)
 
 
 def _count(batches):
-    from pyspark import TaskContext
-
-    table = np.zeros(BUCKETS, np.int64)
+    held, size = [], 0
     for batch in batches:
         for text in batch.column(0):
-            np.add.at(table, np.unique(_bucket(terms(text.as_py() or ""))), 1)
-    yield _blocks(table, TaskContext.get().partitionId() % 256)
+            held.append(terms(text.as_py() or ""))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield _counted(held)
+                held, size = [], 0
+    if held:
+        yield _counted(held)
 
 
-def _add(batches):
-    """Sums of the parts of each block, one part in memory at a time; sorted input."""
-    last, total = None, None
-    for batch in batches:
-        for block, task, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            part = np.frombuffer(zlib.decompress(counts), np.int64)
-            if last == (block, task):
-                total = total + part
-                continue
-            if last:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last, zlib.compress(total.tobytes(), 1)), _PART.types)], schema=_PART)
-            last, total = (block, task), part
-    if last:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*last, zlib.compress(total.tobytes(), 1)), _PART.types)], schema=_PART)
-
-
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """For each bucket of terms, in how many documents one of them occurs; all documents, summed in two rounds."""
-    schema = "block int, task int, counts binary"
-    parts = map_arrow(docs.select("text"), _count, schema)
-    parts = map_arrow(parts.repartition("block", "task").sortWithinPartitions("block", "task"), _add, schema)
-    parts = map_arrow(parts.withColumn("task", F.lit(0)).repartition("block").sortWithinPartitions("block"), _add, schema)
-    out = np.zeros((BLOCKS, BUCKETS // BLOCKS), np.int64)
-    for row in parts.collect():  # BLOCKS rows
-        out[row.block] = np.frombuffer(zlib.decompress(row.counts), np.int64)
-    return out.ravel()
+def lexicon_of(docs: DataFrame) -> np.ndarray:
+    """Sorted hashes of the terms within the band, each counted in all documents."""
+    n = docs.count()
+    counts = map_arrow(docs.select("text"), _count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    band = counts.where((F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * n)) & (F.col("n") <= max(LEAST_DOCS, MOST_SHARE * n)))
+    return np.sort(band.select("term").toArrow()["term"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def fingerprint(text: str, lexicon: np.ndarray) -> np.ndarray:
     """REPLICAS x SCALES hashes of 16 bits, 0 where the subset holds none of the terms. A subset's hash is a mixed sum over
     its distinct terms."""
     found = terms(text)
-    kept = found[lexicon[_bucket(found)]]
+    kept = found[lexicon[np.minimum(np.searchsorted(lexicon, found), len(lexicon) - 1)] == found] if len(lexicon) else found[:0]
     found = kept if len(kept) >= FEW else found
     sums, some = np.zeros((REPLICAS, SCALES), np.uint64), np.zeros((REPLICAS, SCALES), bool)
     for k in range(0, len(found), 4096):
@@ -131,7 +110,7 @@ def _compare(lexicon):
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches):
-        kept = np.unpackbits(np.frombuffer(lexicon.value, np.uint8)).astype(bool)
+        kept = np.frombuffer(lexicon.value, np.uint64)
         last = None  # (range, is a copy, doc_id, text, fingerprint)
         for batch in batches:
             out = []
@@ -178,7 +157,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each row of docs(doc_id, text), of its edited text (its last half replaced by the next document's
     first as many code points), and their likeness."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts, n = document_frequencies(docs), docs.count()
-    lexicon = (counts >= max(LEAST_DOCS, LEAST_SHARE * n)) & (counts <= max(LEAST_DOCS, MOST_SHARE * n))
-    lexicon = docs.sparkSession.sparkContext.broadcast(np.packbits(lexicon).tobytes())  # BUCKETS bits
+    lexicon = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs).tobytes())
     return map_arrow(neighbours(docs), _compare(lexicon), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

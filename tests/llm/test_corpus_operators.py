@@ -171,6 +171,13 @@ def test_fingerprints(docs):
         assert sum(g.near_edited > g.near_next for g in got) > 0.85 * len(got)
 
 
+def test_lexicon_counts_each_term(docs):
+    df, rows = docs
+    count = collections.Counter(x for _, t, _ in rows for x in imatch.terms(t).tolist())
+    least, most = (max(imatch.LEAST_DOCS, share * len(rows)) for share in (imatch.LEAST_SHARE, imatch.MOST_SHARE))
+    assert imatch.lexicon_of(df).tolist() == sorted(x for x, n in count.items() if least <= n <= most)
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
