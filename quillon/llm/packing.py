@@ -6,7 +6,7 @@ program over patterns of classes finds the fewest sequences, its columns priced
 dual values. Pattern counts are rounded down, what remains is filled first-fit by decreasing length, and each class's
 documents, ranked within and across shards, are assigned to the patterns' places.
 
-Token ids never leave the tokenising task: each piece carries a checksum of its ids, and only piece lengths are planned.
+Only piece lengths and checksums are planned; if ids are wanted, they are joined to the placed pieces in one exchange.
 
 Defined results: null text is empty and is the end token alone; repeated rows are packed each; a null doc_id is packed
 too; an empty table gives no rows; other columns are ignored.
@@ -199,9 +199,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     and, unless with_ids is off, ids."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = map_arrow(docs, _cut(path, capacity, end, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    pieces = scratch(pieces if with_ids else pieces.drop("ids"), "pieces")
+    pieces = scratch((pieces if with_ids else pieces.drop("ids")).withColumn("piece", F.monotonically_increasing_id()), "pieces")  # fixed once written
     shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(1024))
-    sized = pieces.withColumn("class", F.ceil(F.col("length") / step).cast("int")).withColumn("shard", shard)
+    sized = pieces.drop("ids").withColumn("class", F.ceil(F.col("length") / step).cast("int")).withColumn("shard", shard)
     sized = sized.withColumn("class", F.when(F.col("length") == capacity, F.lit(0)).otherwise(F.col("class")))
     counts = scratch(sized.groupBy("class", "shard").agg(F.count("*").alias("n")), "histogram")
     # each shard's pieces of a class take the ranks after those of the shards before it: at most 1024 counts for a class
@@ -222,7 +222,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     offset = F.coalesce(F.sum("length").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     used = F.sum("length").over(Window.partitionBy("sequence_id"))
     forms = F.when(F.array_contains(F.array(*[F.lit(1 << k).cast("long") for k in range(capacity.bit_length())]), used), used).otherwise(capacity)
-    return placed.withColumn("offset", offset).withColumn("padded_to", forms.cast("long")).drop("slot")
+    placed = placed.withColumn("offset", offset).withColumn("padded_to", forms.cast("long")).drop("slot")
+    return placed.join(pieces.select("piece", "ids"), "piece").drop("piece") if with_ids else placed.drop("piece")
 
 
 def _place(places: list[tuple[int, int, int, int]]):

@@ -28,33 +28,38 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     doc_id; of rows equal in doc_id and text the least in the other columns; and of rows without an id all."""
     names = docs.columns
     text = F.xxhash64(F.col("text").cast("string"))
-    rows = docs.where("doc_id is not null").withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", text)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), text.alias("_text"), F.struct(*names).alias("_doc"))
     texts = docs.where("doc_id is not null").select(text.alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = near_dedup.near_duplicates(texts, percent=NEAR).select(F.col("doc_id").alias("_text"), F.col("component_id").alias("_part"), (F.col("n_shingles") > 0).alias("_wordy")).distinct()
     alone = F.when(~F.col("_wordy"), F.col("_id"))  # a wordless text links with nothing, not even under another doc_id
     judged = rows.select("_id", "_text").join(parts, "_text").groupBy("_part", alone.alias("_alone")).agg(F.min(F.struct("_id", "_text")).alias("_kept"))
     kept = scratch(judged.select("_kept.*"), "kept")
-    others = [F.col(c) for c in names if c not in ("doc_id", "text")]
-    first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(*others, "doc_id"))
-    one = rows.join(kept, ["_id", "_text"], "left_semi").withColumn("_first", first).where("_first = 1")
-    return one.select(*names).unionByName(docs.where("doc_id is null"))
+    # a struct's least value, not a window: rows repeated any number of times are combined before they are shuffled
+    others = F.struct(*[F.col("_doc")[c].alias(c) for c in names if c not in ("doc_id", "text")], F.col("_doc")["doc_id"].alias("doc_id"))
+    one = rows.join(kept, ["_id", "_text"], "left_semi").withColumn("_others", others).groupBy("_id", "_text").agg(F.min("_others").alias("_others"), F.first("_doc.text").alias("_body"))
+    values = [(F.col("_body") if c == "text" else F.col("_others")[c]).alias(c) for c in names]
+    return one.select(*values).unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, found secrets masked in their texts."""
-    found, _ = secret_scan.scan(docs)
-    text = secret_scan.masked(F.col("text"), F.col("spans"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """All rows, found secrets masked in their texts. Null text stays null; repeated rows stay; columns of any name are kept as they are."""
+    names = docs.columns
+    found, _ = secret_scan.scan(docs.select(F.struct(*names).alias("doc"), F.col("text").cast("string").alias("text")))
+    hit = F.size("spans") > 0
+    values = {"text": secret_scan.masked(F.col("text"), F.col("spans"))}
+    if "n_chars" in names:
+        values["n_chars"] = F.when(hit, F.char_length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc")["n_chars"])
+    out = found.withColumn("masked", values.pop("text"))
+    values["text"] = F.when(hit, F.col("masked").cast(docs.schema["text"].dataType)).otherwise(F.col("doc")["text"])
+    return out.select(*((values[c] if c in values else F.col("doc")[c]).alias(c) for c in names))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: rows as often as taken."""
+    """The mix: rows as often as taken, the last one cut to the words taken. Rows without words are in no mix; a null source is one source."""
     return mixing.mixed_texts(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences."""
-    return packing.pack(docs, with_ids=False)
+    """Pieces with their places in sequences and their token ids (little-endian unsigned 32-bit): sorted by sequence_id and
+    offset they are the training sequences. Null text is the end token alone; rows repeated by the mix are packed each."""
+    return packing.pack(docs)
