@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import retrieval
-from ..plans.dialect import duck_text, spark_frame
+from ..plans.dialect import duck_text
 from ..sources import ndjson
 from ..streaming import outbox
 from . import ordered
@@ -21,7 +21,9 @@ def _read(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = spark_frame(spark, _HITS, _read(spark, sf_dir, "benchmark", "documents"))
+    from ..catalog import framed
+
+    hits = framed(spark, sf_dir, _HITS)
     return hits.select(F.col("query").cast("long"), F.col("rank").cast("long"), F.col("id").cast("long"), F.col("tokens").cast("long"))
 
 
@@ -39,11 +41,6 @@ def j21_greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.greedy_clusters(vectors.select(F.col("label").cast("long").alias("topic"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
 
 
-def f1_chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")["documents"]
-    return ordered.chunks(docs.select(F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", "\n\n").alias("text")))
-
-
 def s13_ndjson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")["documents"]
     return ndjson.parsed(ndjson.lines(docs.select("doc_id", "lang", "source", "n_chars")), "doc_id long, lang string, source string, n_chars long").drop("_corrupt_record")
@@ -53,7 +50,7 @@ def t1_outbox_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.settled(outbox.from_events(_read(spark, sf_dir, "events")["events"]))
 
 
-QUERIES = {f.__name__: f for f in (w6_pack_greedy, w7_pack_adaptive, j21_greedy_clusters, f1_chunk_text, s13_ndjson_round_trip, t1_outbox_drain)}
+QUERIES = {f.__name__: f for f in (w6_pack_greedy, w7_pack_adaptive, j21_greedy_clusters, s13_ndjson_round_trip, t1_outbox_drain)}
 
 _FOLD = f"""with recursive hits as ({_HITS}), walk as (select query, cast(1 as bigint) as rank, id, tokens, true as packed, tokens as used from hits where rank = 1
   union all select h.query, h.rank, h.id, h.tokens, used + h.tokens <= {BUDGET} or h.rank <= {ordered.MIN_FULL}, used + case when used + h.tokens <= {BUDGET} or h.rank <= {ordered.MIN_FULL} then h.tokens else 0 end

@@ -1,6 +1,6 @@
-"""Operators whose result depends on a running state: token-budget packing, greedy clusters, chunking.
+"""Operators whose result depends on a running state: token-budget packing and greedy clusters.
 
-Each group (a query's hits, a topic's vectors, a document) is walked on its own, so a task holds one group at a time.
+Each group (a query's hits, a topic's vectors) is walked on its own, so a task holds one group at a time.
 """
 
 from __future__ import annotations
@@ -71,26 +71,3 @@ def greedy_clusters(vectors: DataFrame, least: float = 0.85) -> DataFrame:
 
     ship(vectors.sparkSession)
     return vectors.groupBy("topic").applyInPandas(walk, "topic long, id long, seed long")
-
-
-def chunks(docs: DataFrame, size: int = 800, overlap: int = 100) -> DataFrame:
-    """(id, chunk, text) of docs(id, text): paragraphs are gathered up to `size` characters, and each chunk begins with the last
-    overlap // 4 words of the one before."""
-
-    def split(text: str | None) -> list[str]:
-        out, held = [], ""
-        for part in (text or "").split("\n\n"):
-            if held and len(held) + len(part) + 2 > size:
-                out.append(held.strip())
-                held = " ".join(held.split()[-(overlap // 4) :]) + "\n\n" + part
-            else:
-                held = f"{held}\n\n{part}" if held else part
-        return [*out, held.strip()] if held.strip() else out
-
-    def run(batches):
-        for batch in batches:
-            rows = [(i, k, c) for i, text in zip(batch["id"], batch["text"]) for k, c in enumerate(split(text))]
-            yield pd.DataFrame(rows, columns=["id", "chunk", "text"])
-
-    ship(docs.sparkSession)
-    return docs.select("id", "text").mapInPandas(run, "id long, chunk long, text string")

@@ -87,5 +87,12 @@ def spark_frame(spark: SparkSession, text: str, frames: dict[str, DataFrame]) ->
     return spark.sql(said(text, _SPARK), **{k: frames[k] for k in tables_of(text)})
 
 
+def with_frames(text: str, shared: dict[str, str]) -> str:
+    """The text with each shared part that it holds said over frames: shared names parts and what stands for them."""
+    for part, other in shared.items():
+        text = text.replace(part, other)
+    return text
+
+
 def duck_text(text: str) -> str:
     return said(re.sub(r"\{(\w+)\}", r"\1", text), _DUCK)

@@ -24,13 +24,6 @@ def test_clusters_follow_the_first_seed(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
-def test_chunks_overlap(spark):
-    text = "\n\n".join(f"p{k} " + "word " * 20 for k in range(10))
-    rows = sorted(ordered.chunks(spark.createDataFrame([(1, text), (2, None)], "id long, text string"), 300, 16).collect(), key=lambda r: r.chunk)
-    assert len(rows) > 3 and {r.id for r in rows} == {1}
-    assert rows[1].text.split()[:4] == rows[0].text.split()[-4:]
-
-
 def test_ndjson_sets_malformed_lines_apart(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.ndjson").write_text('{"id": 1, "v": [1.0]}\n{"id": \n{"_table": "facts"}\n{"v": [2.0]}\n')
