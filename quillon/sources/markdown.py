@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import chunking
+
 #: Blanks around titles and bodies of sections.
 BLANK = " \t\r\n"
 
@@ -23,9 +25,17 @@ def scan(spark: SparkSession, root: str, least_chars: int = 20) -> DataFrame:
     return with_path_metadata(files.where(F.length("text") >= least_chars).withColumn("checksum", F.sha2("text", 256)))
 
 
-def changed(files: DataFrame, seen: DataFrame) -> DataFrame:
-    """Files that are new or whose checksum isn't the one in seen(path, checksum)."""
-    return files.join(seen.select("path", "checksum"), ["path", "checksum"], "left_anti")
+def changed(files: DataFrame, seen: DataFrame, since: Column | None = None, least_chars: int = 0) -> DataFrame:
+    """Files of least_chars or more, written after `since` if it is given, whose checksum isn't the one in seen(path, checksum)."""
+    files = files.where(F.length("text") >= least_chars)
+    return (files if since is None else files.where(F.col("mtime") > since)).join(seen.select("path", "checksum"), ["path", "checksum"], "left_anti")
+
+
+def reindexed(chunks: DataFrame, files: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """chunks(id, place, chunk_id, parent_id, kind, content), id being the path, after files(path, text) were indexed anew and removed(path) were deleted."""
+    gone = files.select("path") if removed is None else files.select("path").union(removed.select("path"))
+    kept = chunks.join(gone.select(F.col("path").alias("id")), "id", "left_anti")
+    return kept.unionByName(chunking.level_chunks(files.select(F.col("path").alias("id"), "text")).select(*chunks.columns))
 
 
 def sections(docs: DataFrame) -> DataFrame:

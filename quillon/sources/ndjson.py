@@ -25,7 +25,7 @@ def export(rows: DataFrame, path: str) -> None:
 def load(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows, skipped texts): malformed rows and those without a required column are skipped, and so are rows tagged with _table."""
     texts = spark.read.text(path)
-    bad = F.col("_corrupt_record").isNotNull() | F.col("value").contains('"_table"')
+    bad = F.col("_corrupt_record").isNotNull() | F.coalesce(F.get_json_object("value", "$._table").isNotNull(), F.lit(False))
     for name in required:
         bad |= F.col(name).isNull()
     row = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import memory
+
 ATTEMPTS = 5
 
 SETTLED_SQL = """with o as (select JSON_K(props) as point_id, event_id, event_type, case event_type when 'error' then 'delete' when 'purchase' then 'set_payload' else 'upsert' end as op from {events}),
@@ -29,15 +33,38 @@ def outcome(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("status", status).withColumn("delay_s", F.when(status == "pending", F.pow(F.lit(2.0), "tries")))
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str):
-    """Apply a stream of changes batch by batch; a batch is written under its number, so that a batch run twice counts once."""
+def drain(stream: DataFrame, path: str, checkpoint: str, fails: Callable[[DataFrame], DataFrame], now: Callable[[int], Column], batch: int = memory.BATCH):
+    """Apply a stream of changes(id, created_at, ...) in order of time, `batch` of them in each micro-batch, with retries and dead letters.
+
+    State is a table of versions by micro-batch under path/outbox: each run reads the one before and writes its own, so a micro-batch
+    that is run twice writes the same. fails(rows) gives the ids that could not be applied, now(number) the time of a micro-batch.
+    path/applied and path/dead have the ids of each micro-batch."""
+    kinds = "id long, status string, tries int, last_attempt timestamp, created_at timestamp"
 
-    def apply(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["event_id"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def apply(changes: DataFrame, number: int) -> None:
+        spark = changes.sparkSession
+        new = changes.select(F.col("id").cast("long"), F.lit("pending").alias("status"), F.lit(0).alias("tries"), F.lit(None).cast("timestamp").alias("last_attempt"), F.col("created_at").cast("timestamp"))
+        held = spark.read.schema(kinds).parquet(f"{path}/outbox/{number - 1}") if number else spark.createDataFrame([], kinds)
+        rows = held.union(new.join(held.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*held.columns))
+        memory.drain_cycle(rows, fails(rows.where("status = 'pending'")), now(number), batch).write.mode("overwrite").parquet(f"{path}/outbox/{number}")
+        done = spark.read.schema(kinds).parquet(f"{path}/outbox/{number}").join(held.select("id", F.col("status").alias("was")), "id", "left")
+        for status in ("applied", "dead"):
+            done.where((F.col("status") == status) & ~F.col("was").eqNullSafe(F.lit(status))).select("id", "tries").write.mode("overwrite").parquet(f"{path}/{status}/batch={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def sessions(events: DataFrame, now: Column, ttl_seconds: int = 3600, most: int = 512) -> DataFrame:
+    """(key, value, at) that stand after events(key, op, value, at), ops put, get and flush (T10): the last put after a key's last flush, unless
+    ttl_seconds have passed since, the `most` that were put or got last."""
+    flushed = events.where("op = 'flush'").groupBy("key").agg(F.max("at").alias("flushed"))
+    puts = events.where("op = 'put'").groupBy("key").agg(F.max(F.struct("at", "value")).alias("put"))
+    used = events.where("op in ('put', 'get')").groupBy("key").agg(F.max("at").alias("used"))
+    live = puts.join(flushed, "key", "left").join(used, "key").where(F.col("flushed").isNull() | (F.col("put.at") > F.col("flushed")))
+    live = live.where(F.col("put.at") > now - F.make_dt_interval(secs=F.lit(float(ttl_seconds))))
+    return live.orderBy(F.desc("used"), "key").limit(most).select("key", F.col("put.value").alias("value"), F.col("put.at").alias("at"))
+
+
 def action_counts(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts of actions in windows of event time; state older than the watermark is dropped."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("window"), "event_type").agg(F.count("*").alias("n"))

@@ -1,5 +1,9 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.functions import chunking
 from quillon.operators import ordered
-from quillon.sources import markdown, ndjson
+from quillon.sources import archives, markdown, ndjson
 from quillon.streaming import outbox
 
 
@@ -50,8 +54,61 @@ def test_outbox(spark, tmp_path):
     assert [(r.point_id, r.event_id) for r in outbox.settled(changes).collect()] == [(8, 4)]
     tries = outbox.outcome(spark.createDataFrame([(1, 1, False), (2, 2, True), (3, 5, True)], "event_id long, tries int, failed boolean"))
     assert [(r.status, r.delay_s) for r in tries.orderBy("event_id").collect()] == [("applied", None), ("pending", 4.0), ("dead", None)]
-    changes.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "in"))
+
+
+def test_stream_is_drained_in_order_with_retries(spark, tmp_path):
+    """Three files, one a micro-batch, two changes applied in each: 4 fails once, 2 always."""
+    for k, ids in enumerate([(1, 2, 3), (4,), (5, 1), (6,), (7,), (8,), (9,)]):
+        spark.createDataFrame([(i, i) for i in ids], "id long, s long").selectExpr("id", "timestamp_seconds(s) as created_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, created_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    fails = lambda rows: rows.where("id = 2 or (id = 4 and tries = 0)").select("id")
     for _ in range(2):  # the second run finds nothing new
-        outbox.drain(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+        outbox.drain(stream, str(tmp_path / "out"), str(tmp_path / "mark"), fails, lambda n: F.timestamp_seconds(F.lit(1000 * (n + 1))), 3).awaitTermination()
+    state = {r.id: (r.status, r.tries) for r in spark.read.parquet(str(tmp_path / "out/outbox/6")).collect()}
+    assert state[2] == ("dead", 5) and state[4] == ("applied", 1) and all(state[i][0] == "applied" for i in (1, 3, 5, 6, 7))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out/dead")).collect()) == [2]
+    applied = [r.id for r in spark.read.parquet(str(tmp_path / "out/applied")).collect()]
+    assert len(applied) == len(set(applied)) and {1, 3, 4, 5} <= set(applied)
+
+
+def test_sessions_end(spark):
+    rows = [("a", "put", "1", 10), ("a", "put", "2", 20), ("b", "put", "x", 30), ("b", "flush", None, 40), ("c", "put", "y", 50), ("c", "get", None, 5000), ("d", "put", "z", 4990), ("e", "get", None, 1)]
+    events = spark.createDataFrame(rows, "key string, op string, value string, s long").selectExpr("key", "op", "value", "timestamp_seconds(s) as at")
+    of = lambda now, most=512: [(r.key, r.value) for r in outbox.sessions(events, F.timestamp_seconds(F.lit(now)), 3600, most).collect()]
+    assert of(100) == [("c", "y"), ("d", "z"), ("a", "2")] and of(3625) == [("c", "y"), ("d", "z")] and of(100, 1) == [("c", "y")] and of(9000) == []
+
+
+def test_archives_forks_and_snapshots(spark, tmp_path):
+    chunks, vectors = spark.createDataFrame([(1, "a", None), (2, "b", 1)], "id long, text string, parent long"), spark.createDataFrame([(1, [0.5])], "id long, vector array<double>")
+    archives.write_archive(chunks, vectors, str(tmp_path / "one"), label="x", api_key="k", more={"token": 1, "ok": [{"Password": 2, "n": 3}], "my_api_key": 4})
+    manifest, c, v = archives.read_archive(spark, str(tmp_path / "one"), "id long, text string, parent long", "id long, vector array<double>")
+    assert manifest == {"kind": archives.KIND, "manifest_version": 1, "chunk_count": 2, "point_count": 1, "label": "x", "more": {"ok": [{"n": 3}]}}
+    assert sorted(map(tuple, c.collect())) == [(1, "a", None), (2, "b", 1)] and v.first().vector == [0.5]
+    spark.createDataFrame([('{"kind": "other", "manifest_version": 1}',)], "value string").write.mode("overwrite").text(str(tmp_path / "one/manifest"))
+    with pytest.raises(ValueError):
+        archives.read_archive(spark, str(tmp_path / "one"), "id long", "id long")
+    forked = {r.text: r for r in archives.fork(chunks, "new", ("id", "parent")).collect()}
+    assert forked["b"].parent == forked["a"].id != forked["b"].id and forked["a"].parent is None and len(forked["a"].id) == 36 and forked["a"].namespace == "new"
+    root = str(tmp_path / "snaps")
+    for name in ("2024-01", "2024-02", "2024-03"):
+        archives.snapshot({"chunks": chunks}, root, name)
+    chunks.write.parquet(f"{root}/2024-04/chunks")  # broken off
+    assert archives.snapshots(spark, root) == ["2024-01", "2024-02", "2024-03"] and archives.prune(spark, root, 1) == ["2024-01", "2024-02"]
+    assert archives.restore(spark, root, "2024-03", "chunks").count() == 2 and archives.snapshots(spark, root + "x") == []
+    lines = [r.value for r in archives.tagged({"facts": chunks.where("id = 1"), "points": vectors}).collect()]
+    assert sorted(lines) == ['{"_table":"facts","id":1,"text":"a"}', '{"_table":"points","id":1,"vector":[0.5]}']
+    assert [r.id for r in archives.page(chunks, "id", None, 1).collect()] == [1] and [r.id for r in archives.page(chunks, "id", 1, 5).collect()] == [2]
+
+
+def test_files_are_indexed_anew(spark, tmp_path):
+    files = spark.createDataFrame([("a.md", "first text of a file"), ("b.md", "second")], "path string, text string")
+    chunks = markdown.reindexed(chunking.level_chunks(files.selectExpr("path as id", "text").limit(0)), files)
+    again = markdown.reindexed(chunks, spark.createDataFrame([("a.md", "changed text")], "path string, text string"), spark.createDataFrame([("b.md",)], "path string"))
+    assert {r.id: r.content for r in again.where("kind = 'parent'").collect()} == {"a.md": "changed text"}
+
+
+def test_a_value_that_names_a_table_is_no_tag(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.ndjson").write_text('{"id": 1, "t": "the \\"_table\\" of it"}\n{"_table": "facts", "id": 2}\n')
+    rows, skipped = ndjson.load(spark, str(tmp_path / "in"), "id long, t string", ("id",))
+    assert [r.id for r in rows.collect()] == [1] and skipped.count() == 1
