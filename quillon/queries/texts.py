@@ -53,27 +53,27 @@ def _note():
     return F.concat(F.lit("# "), head, F.lit("\n"), marked, body, F.substring("text", 1, 300))
 
 
-_NOTE_SQL = """'# ' || list_extract(['Decisions', 'Lessons learned', 'Constraints', 'Observations', 'Fixes', 'Plain'], doc_id % 6 + 1) || chr(10)
+NOTE_SQL = """'# ' || list_extract(['Decisions', 'Lessons learned', 'Constraints', 'Observations', 'Fixes', 'Plain'], doc_id % 6 + 1) || chr(10)
   || '**Prod-' || source || '** and `db.main` and `' || source || '.yaml` on web-0' || (doc_id % 7) || '-eu at 10.0.' || (doc_id % 9) || '.1, **TODO**, `DB.main`' || chr(10)
   || case when doc_id % 4 = 0 then 'We decided it. Deployed, fixed; turns out it cannot. Actually fixed.' || chr(10) else '' end || substr(text, 1, 300)"""
 
 
-def _notes(spark, sf_dir):
+def notes(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", _note().alias("note"))
 
 
 def f21_thought_type(spark, sf_dir):
-    return _notes(spark, sf_dir).select("doc_id", text.thought_type(F.col("note")).alias("thought_type"))
+    return notes(spark, sf_dir).select("doc_id", text.thought_type(F.col("note")).alias("thought_type"))
 
 
 def f19_entities(spark, sf_dir):
     found = F.explode(text.entities(F.col("note"))).alias("e")
-    return _notes(spark, sf_dir).select("doc_id", found).select("doc_id", "e.name", "e.kind")
+    return notes(spark, sf_dir).select("doc_id", found).select("doc_id", "e.name", "e.kind")
 
 
 def f20_needle_entities(spark, sf_dir):
     found = F.explode(text.needle_entities(F.col("note"))).alias("e")
-    return _notes(spark, sf_dir).select("doc_id", found).select("doc_id", "e.name", "e.kind")
+    return notes(spark, sf_dir).select("doc_id", found).select("doc_id", "e.name", "e.kind")
 
 
 #: Texts of orders as topical notes: the tables' words are invented, so topics are told from fields that vary.
@@ -171,15 +171,15 @@ ORACLES = {
     "f10_exact_tokens": f"select doc_id, regexp_matches(text, '{fixed.EXACT_TOKEN}') as exact from documents",
     "f12_word_sets": """select doc_id, cast(len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2))) as bigint) as n_letter_words,
       cast(len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\x09-\\x0D\\x1C-\\x20]+'), lambda x: length(x) >= 2))) as bigint) as n_blank_words from documents""",
-    "f19_entities": f"""with n as (select doc_id, {_NOTE_SQL} as note from documents), m as (select doc_id, list_concat(regexp_extract_all(note, '{fixed.BOLD_ENTITY}', 1), regexp_extract_all(note, '{fixed.TICKED_ENTITY}', 1)) as found from n),
+    "f19_entities": f"""with n as (select doc_id, {NOTE_SQL} as note from documents), m as (select doc_id, list_concat(regexp_extract_all(note, '{fixed.BOLD_ENTITY}', 1), regexp_extract_all(note, '{fixed.TICKED_ENTITY}', 1)) as found from n),
       e as (select doc_id, unnest(found) as name, generate_subscripts(found, 1) as place from m), f as (select *, row_number() over (partition by doc_id, lower(name) order by place) as again from e where lower(name) not in ({', '.join(f"'{w}'" for w in fixed.NO_ENTITIES)})),
       k as (select *, row_number() over (partition by doc_id order by place) as rank from f where again = 1)
       select doc_id, name, case {' '.join(f"when regexp_matches(name, '{p}') then '{kind}'" for kind, p in fixed.ENTITY_HINTS)} else 'unknown' end as kind from k where rank <= 30""",
-    "f20_needle_entities": f"""with n as (select doc_id, {_NOTE_SQL} as note from documents), e as (select doc_id, 'ip_address' as kind, 1 as rank, unnest(regexp_extract_all(note, '{fixed.NEEDLES["ip"]}')) as name from n
+    "f20_needle_entities": f"""with n as (select doc_id, {NOTE_SQL} as note from documents), e as (select doc_id, 'ip_address' as kind, 1 as rank, unnest(regexp_extract_all(note, '{fixed.NEEDLES["ip"]}')) as name from n
       union all select doc_id, 'uuid', 2, unnest(regexp_extract_all(note, '{fixed.NEEDLES["uuid"]}')) from n union all select doc_id, 'ticket_id', 3, unnest(regexp_extract_all(note, '{fixed.NEEDLES["ticket"]}')) from n
       union all select doc_id, 'hostname', 4, unnest(list_filter(regexp_extract_all(note, '{fixed.HOST}'), lambda x: regexp_matches(x, '[0-9]'))) from n)
       select doc_id, name, arg_min(kind, rank) as kind from e where length(name) >= 3 group by doc_id, name""",
-    "f21_thought_type": f"""with n as (select doc_id, {_NOTE_SQL} as note from documents), h as (select *, list_filter(regexp_split_to_array(lower(array_to_string(regexp_extract_all(note, '{fixed.HEADING}', 1), ' ')), '\\s+'), lambda x: x <> '') as heads from n)
+    "f21_thought_type": f"""with n as (select doc_id, {NOTE_SQL} as note from documents), h as (select *, list_filter(regexp_split_to_array(lower(array_to_string(regexp_extract_all(note, '{fixed.HEADING}', 1), ' ')), '\\s+'), lambda x: x <> '') as heads from n)
       select doc_id, case when greatest({', '.join(n for _, n in _THOUGHTS)}) < 2 then 'general' else {_least('t', _THOUGHTS).removesuffix(' as t')} end as thought_type from h""",
     "f22_topics": f"""with n as (select o_orderkey, {_TOPICAL} as note from orders), v as (select o_orderkey, unnest([{', '.join(f"{{'label': '{t}', 'n': {n}, 'place': {k}}}" for k, (t, n) in enumerate(_TOPIC_HITS))}], recursive := true) from n),
       r as (select *, row_number() over (partition by o_orderkey order by n desc, place) as rank from v) select o_orderkey, coalesce(string_agg(label, ',' order by rank) filter (where n >= 2 and rank <= 2), '') as topics, coalesce(max(label) filter (where rank = 1 and n > 0), '') as query_topic from r group by o_orderkey""",
