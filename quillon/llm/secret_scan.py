@@ -30,6 +30,8 @@ MORE_RULES = (
 )
 RULE_VERSION = "2"
 _SPAN = "array<struct<start:int,place:int,kind:string,end:int>>"
+#: Matches that are folded at a time.
+CHUNK = 256
 
 
 def _let(value: Column, body) -> Column:
@@ -37,21 +39,34 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _spans(text: Column, kind: str, place: int, pattern: str, group: int, least: int) -> Column:
-    none = F.array().cast(_SPAN)
+def _folded(items: Column, start: Column, step, out, kind: str) -> Column:
+    """out(state, item) of each item, as an array of `kind`, with states from start by step(state, item). Items go by chunks: an array
+    grows by appending, which copies it, and by chunks only each chunk's results and the list of chunks are copied."""
+
+    def of_chunk(state: Column, chunk: Column) -> Column:
+        def add(inner: Column, item: Column) -> Column:
+            return F.struct(step(inner["at"], item).alias("at"), F.concat(inner["found"], F.array(out(inner["at"], item))).alias("found"))
+
+        done = F.aggregate(chunk, F.struct(state["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("found")), add)
+        return _let(done, lambda x: F.struct(x["at"].alias("at"), F.concat(state["found"], F.array(x["found"])).alias("found")))
+
+    def of_all(held: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(held) - 1) / CHUNK).cast("int")), lambda k: F.slice(held, k * CHUNK + 1, CHUNK))
+        return F.flatten(F.aggregate(chunks, F.struct(start.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("found")), of_chunk)["found"])
+
+    return _let(items, lambda held: F.when(F.size(held) > 0, of_all(held)).otherwise(F.array().cast(f"array<{kind}>")))
 
-    def found(matches: Column) -> Column:
-        def step(pieces: Column):
-            def add(state: Column, k: Column) -> Column:
-                match = F.get(matches, k)
-                start = state["at"] + F.char_length(F.get(pieces, k))
-                long = F.char_length(F.regexp_extract(match, pattern, group)) >= least if group else F.char_length(match) >= least
-                span = F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), (start + F.char_length(match)).alias("end"))
-                return F.struct((start + F.char_length(match)).alias("at"), F.when(long, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), none.alias("found")), add)["found"]
+def _spans(text: Column, kind: str, place: int, pattern: str, group: int, least: int) -> Column:
+    def found(matches: Column) -> Column:
+        def of(pieces: Column) -> Column:
+            long = lambda m: F.char_length(F.regexp_extract(m, pattern, group) if group else m) >= least
+            items = F.transform(matches, lambda m, k: F.struct(F.char_length(F.get(pieces, k)).alias("gap"), F.char_length(m).alias("size"), long(m).alias("long")))
+            span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), (at + x["gap"] + x["size"]).alias("end"), x["long"].alias("long"))
+            every = _folded(items, F.lit(0), lambda at, x: at + x["gap"] + x["size"], span, "struct<start:int,place:int,kind:string,end:int,long:boolean>")
+            return F.transform(F.filter(every, lambda x: x["long"]), lambda x: F.struct(x["start"].alias("start"), x["place"].alias("place"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-        return F.when(F.size(matches) == 0, none).otherwise(_let(F.split(text, pattern, -1), step))
+        return F.when(F.size(matches) == 0, F.array().cast(_SPAN)).otherwise(_let(F.split(text, pattern, -1), of))
 
     return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
@@ -81,6 +96,25 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULE_V
     return docs.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN))), ledger
 
 
+def scan_history(versions: DataFrame, path: str, version: str = RULE_VERSION) -> DataFrame:
+    """versions(path, text, ...), historical ones too, with blob and spans, over a lasting ledger: the table at `path` gets the pairs of
+    blob and rule version that it lacks, and is made if there is none. A run that was lost half-way leaves the pairs it wrote; a pair
+    written twice says the same twice and is read once."""
+    spark = versions.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = None
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        known = spark.read.schema(f"blob string, spans {_SPAN}, version string").parquet(path).where(F.col("version") == version)
+    versions = versions.withColumn("blob", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    blobs = versions.where(F.length("text") > 0).groupBy("blob").agg(F.first(F.col("text").cast("string")).alias("text"))
+    if known is not None:
+        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
+    scan_unseen(blobs, None, version).select("blob", "spans", "version").write.mode("append").option("compression", "zstd").partitionBy("version").parquet(path)
+    known = spark.read.schema(f"blob string, spans {_SPAN}, version string").parquet(path).where((F.col("version") == version) & (F.size("spans") > 0))
+    found = known.groupBy("blob").agg(F.first("spans").alias("spans"))
+    return versions.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPAN)))
+
+
 def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -95,11 +129,9 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with each span, or run of overlapping spans, replaced by a mask."""
-
-    def add(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        out = F.when(apart, F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    gap = lambda at, x: F.struct(at.alias("start"), x["start"].alias("end"), (x["start"] >= at).alias("apart"))
+    gaps = _folded(F.concat(spans, F.array(F.struct(F.char_length(text).alias("start"), F.lit(0).alias("place"), F.lit("").alias("kind"), F.char_length(text).alias("end")))), F.lit(0), lambda at, x: F.greatest(at, x["end"]), gap, "struct<start:int,end:int,apart:boolean>")
+    # by code points in an array: a substring of a text counts its code points from the first
+    between = lambda letters, x: F.array_join(F.slice(letters, x["start"] + 1, x["end"] - x["start"]), "")
+    done = _let(F.split(text, "", -1), lambda letters: F.array_join(F.transform(F.filter(gaps, lambda x: x["apart"]), lambda x: between(letters, x)), mask))
     return F.when(F.size(spans) > 0, done).otherwise(text)
