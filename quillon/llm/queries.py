@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, imatch, mixing, near_dedup, packing, quality, secret_scan, sharding, suffix_dedup, toxicity
 from .common import documents
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,5 +59,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: each result depends on the method's hashes, models or plans, or on positions of matches; see tests/llm."""
-    return {}
+    """Brute force in SQL for what SQL can say whole; the others depend on the method's hashes, models, plans or positions of bytes, see tests/llm."""
+    return dict(ORACLES)
