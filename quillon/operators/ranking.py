@@ -81,23 +81,34 @@ def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return out
 
 
-def _bm25(terms: dict[str, int], weights: list[tuple[np.ndarray, float]], queries: np.ndarray, mean: float, k: int, k1: float, b: float):
-    """weights: of each term, the queries that hold it and its inverse document frequency."""
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where they come in fewer parts, as a small table in one file does; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() < cores else rows
+
+
+def _bm25(terms: dict[str, int], held: tuple[np.ndarray, np.ndarray], idf: np.ndarray, queries: np.ndarray, mean: float, k: int, k1: float, b: float):
+    """held: the queries that hold a term, laid end to end, and where each term's begin; idf: inverse document frequencies."""
+    of, starts = held
+
+    def scores_of(text: str) -> np.ndarray:
+        found = _TOKEN.findall(text.lower())
+        hit = sorted((terms[t], n) for t, n in Counter(found).items() if t in terms)
+        if not hit:
+            return np.zeros(len(queries))
+        term, n = np.array(hit).T
+        size = starts[term + 1] - starts[term]
+        at = np.repeat(starts[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        worth = idf[term] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(found) / mean))
+        return np.bincount(of[at], np.repeat(worth, size), len(queries))
 
     def run(batches):
         best = _Best(queries, k)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                scores, seen = np.zeros((part.num_rows, len(queries))), np.zeros((part.num_rows, len(queries)), bool)
-                for row, text in enumerate(part.column(1)):
-                    found = _TOKEN.findall((text.as_py() or "").lower())
-                    norm = k1 * (1 - b + b * len(found) / mean)
-                    for term, n in sorted((terms[t], n) for t, n in Counter(found).items() if t in terms):
-                        of, idf = weights[term]
-                        scores[row, of] += idf * n * (k1 + 1) / (n + norm)
-                        seen[row, of] = True
-                best.add(part.column(0).to_numpy(zero_copy_only=False), scores.T, seen.T)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                scores = np.stack([scores_of(text.as_py() or "") for text in part.column(1)], 1)
+                best.add(part.column(0).to_numpy(zero_copy_only=False), scores, scores > 0)
         yield best.batch()
 
     return run
@@ -114,15 +125,16 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: fl
     for block in _blocks(asked.toLocalIterator(), lambda r: len(r.terms), TERMS_AT_A_TIME) if n else ():
         wanted = sorted({t for r in block for t in r.terms})
         place = {t: i for i, t in enumerate(wanted)}
-        held = F.broadcast(spark.createDataFrame([(t,) for t in wanted], "term string"))
-        df = counted.select(F.explode(F.array_distinct("terms")).alias("term")).join(held, "term").groupBy("term").agg(F.count("*").alias("df"))
+        asked_for = F.broadcast(spark.createDataFrame([(t,) for t in wanted], "term string"))
+        df = counted.select(F.explode(F.array_distinct("terms")).alias("term")).join(asked_for, "term").groupBy("term").agg(F.count("*").alias("df"))
         df = {r.term: r.df for r in df.toLocalIterator()}  # a row for each term of the block
-        of = {}
+        of = [[] for _ in wanted]
         for i, r in enumerate(block):
             for t in r.terms:
-                of.setdefault(t, []).append(i)
-        weights = [(np.array(of[t]), float(np.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)))) for t in wanted]
-        found = docs.mapInArrow(_bm25(place, weights, np.array([r.query for r in block], np.int64), mean, k, k1, b), _HIT_KINDS)
+                of[place[t]].append(i)
+        held = np.array([i for x in of for i in x], np.int64), np.cumsum([0, *map(len, of)])
+        idf = np.array([np.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in wanted])
+        found = spread(docs).mapInArrow(_bm25(place, held, idf, np.array([r.query for r in block], np.int64), mean, k, k1, b), _HIT_KINDS)
         parts.append(found)
     return ranked(_union(parts, spark.createDataFrame([], _HIT_KINDS)), k)
 
@@ -155,7 +167,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         matrix = np.array([r.vector for r in block])
         length = np.sqrt((matrix * matrix).sum(1, keepdims=True))
         matrix = matrix / np.where(length > 0, length, np.inf)
-        parts.append(rows.mapInArrow(_cosine(matrix, np.array([r.query for r in block], np.int64), np.array([r.own for r in block], np.int64), k), _HIT_KINDS))
+        parts.append(spread(rows).mapInArrow(_cosine(matrix, np.array([r.query for r in block], np.int64), np.array([r.own for r in block], np.int64), k), _HIT_KINDS))
     return ranked(_union(parts, spark.createDataFrame([], _HIT_KINDS)), k)
 
 
