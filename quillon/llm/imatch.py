@@ -3,10 +3,10 @@
 The lexicon is what lies within a band of inverse document frequency, counted for each term over all documents; LEAST_SHARE and
 LEAST_DOCS bound its size by 10,000 times the mean number of a document's terms. A document keeps its distinct lexicon terms in sorted order; each of
 REPLICAS x SCALES random subsets of the lexicon, nested within a replica and halving from scale to scale, hashes the terms
-that it holds. Likeness is the share of equal hashes among subsets that hold a term of either document, from the
+that it holds, each distinct term once: as a sum of mixed values, so the order is immaterial. Likeness is the share of equal hashes among subsets that hold a term of either document, from the
 sparsest subsets up to the first scale at which no subset is empty, where edits still leave some hashes alone.
 
-Defined results: null text is empty; a document with fewer than FEW lexicon terms keeps all its terms; without terms all
+Defined results: null text is empty; a document without any lexicon term keeps all its terms; without terms all
 hashes are empty, and two such documents have a likeness of 1, else 0; equal texts have equal fingerprints; repeated rows
 are documents of their own, next to each other in order; a null doc_id comes last; an empty table gives no rows; other
 columns are ignored.
@@ -27,9 +27,9 @@ from .common import Rolling, map_arrow, mix64
 COUNTED = 1 << 20
 #: The band: terms in at least this many documents and this share of them, and at most this share.
 LEAST_DOCS, LEAST_SHARE, MOST_SHARE = 2, 0.0001, 0.05
-REPLICAS, SCALES, FEW = 20, 10, 12
+REPLICAS, SCALES = 20, 10
 #: Ranges of doc_id in which neighbours are found; each needs a row on the driver.
-MOST_RANGES, RANGE_ROWS = 10_000, 5_000
+MOST_RANGES, RANGE_ROWS = 10_000, 1_000
 _HASH = Rolling(41)
 _SEEDS = np.random.default_rng(42).integers(0, 2**64, REPLICAS, dtype=np.uint64)
 
@@ -83,7 +83,7 @@ def fingerprint(text: str, lexicon: np.ndarray) -> np.ndarray:
     its distinct terms."""
     found = terms(text)
     kept = found[lexicon[np.minimum(np.searchsorted(lexicon, found), len(lexicon) - 1)] == found] if len(lexicon) else found[:0]
-    found = kept if len(kept) >= FEW else found
+    found = kept if len(kept) else found
     sums, some = np.zeros((REPLICAS, SCALES), np.uint64), np.zeros((REPLICAS, SCALES), bool)
     for k in range(0, len(found), 4096):
         draw, value = mix64(found[k : k + 4096] ^ _SEEDS[:, None]), mix64(~found[k : k + 4096])
