@@ -4,7 +4,8 @@ States are the roles. A line's speaker marker (its role column, or a "Name:" at
 model sees; its tables are counted over all lines with a known marker, so the unmarked ones are recovered from shape and
 order. Viterbi runs on blocks of BLOCK turns at once: a block is reduced to the best log-probability from each state
 before it to each state at its end, a conversation's few block tables are chained, and each block is then traced back
-alone between its fixed ends. No conversation, however long, is held in one task.
+alone between its fixed ends. Where turns are null or repeated, a block of more than BLOCK rows is cut by rank into blocks of
+BLOCK. No conversation, however long, is held in one task.
 
 Rendering: the pieces `rendered`, in order of conversation and turn, are the canonical text. Neighbouring lines of one
 role are one turn.
@@ -20,7 +21,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
@@ -88,8 +89,8 @@ def _stream(batches, key: int):
     return groupby(rows, lambda x: x[:key])
 
 
-_BLOCK = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("start", pa.list_(pa.float64())), ("table", pa.list_(pa.float64()))])
-_ENDS = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("before", pa.int32()), ("end", pa.int32()), ("closes", pa.bool_())])
+_BLOCK = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("sub", pa.int64()), ("start", pa.list_(pa.float64())), ("table", pa.list_(pa.float64()))])
+_ENDS = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("sub", pa.int64()), ("before", pa.int32()), ("end", pa.int32()), ("closes", pa.bool_())])
 _LINE = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("opens", pa.bool_()), ("rendered", pa.string())])
 
 
@@ -109,13 +110,13 @@ def _chunks(rows, schema: pa.Schema):
 
 def _reduce(model):
     def tables(batches):
-        for (conv, block), rows in _stream(batches, 2):
+        for (conv, block, sub), rows in _stream(batches, 3):
             start = table = None
-            for _, _, _, mark, shape, *_ in rows:
+            for _, _, _, _, mark, shape, *_ in rows:
                 seen = _emission(model, mark, shape)
                 start = model[0] + seen if start is None else (start[:, None] + model[1]).max(0) + seen
                 table = model[1] + seen if table is None else (table[:, :, None] + model[1]).max(1) + seen
-            yield conv, block, start.tolist(), table.ravel().tolist()
+            yield conv, block, sub, start.tolist(), table.ravel().tolist()
 
     return lambda batches: _chunks(tables(batches), _BLOCK)
 
@@ -124,15 +125,15 @@ def _chain(batches):
     def ends():
         for (conv,), rows in _stream(batches, 1):
             blocks, best, back = [], None, []
-            for _, block, start, table in rows:
+            for _, block, sub, start, table in rows:
                 step = None if best is None else best[:, None] + np.array(table).reshape(3, 3)
                 best = np.array(start) if best is None else step.max(0)
                 back.append(None if step is None else step.argmax(0).astype(np.int8))
-                blocks.append(block)
+                blocks.append((block, sub))
             state = int(best.argmax())
             for k in range(len(blocks) - 1, -1, -1):
                 before = None if back[k] is None else int(back[k][state])
-                yield conv, blocks[k], before, state, k == len(blocks) - 1
+                yield conv, *blocks[k], before, state, k == len(blocks) - 1
                 state = before
 
     return _chunks(ends(), _ENDS)
@@ -140,10 +141,10 @@ def _chain(batches):
 
 def _trace(model):
     def decoded(batches):
-        for (conv, _), group in _stream(batches, 2):
-            rows, best, back = list(group), None, []  # at most a block's rows
-            before, end, closes = rows[0][6:9]
-            for _, _, _, mark, shape, *_ in rows:
+        for (conv, *_), group in _stream(batches, 3):
+            rows, best, back = list(group), None, []  # at most BLOCK rows
+            before, end, closes = rows[0][7:10]
+            for _, _, _, _, mark, shape, *_ in rows:
                 seen = _emission(model, mark, shape)
                 if best is None:
                     best = (model[0] if before is None else model[1][before]) + seen
@@ -159,19 +160,36 @@ def _trace(model):
                 opens = state != last
                 head = ("" if last is None else "<|end|>\n") + f"<|{ROLES[state]}|>\n" if opens else "\n"
                 tail = "<|end|>\n" if closes and k == len(rows) - 1 else ""
-                yield conv, row[2], ROLES[state], opens, head + row[5] + tail
+                yield conv, row[3], ROLES[state], opens, head + row[6] + tail
                 last = state
 
     return lambda batches: _chunks(decoded(batches), _LINE)
 
 
+def blocked(read: DataFrame) -> DataFrame:
+    """read with column sub: 0, or the place of a row's part in a block that has more than BLOCK rows. Such blocks alone are ranked."""
+    many = read.groupBy("conv_id", "block").count().where(F.col("count") > BLOCK).select(F.col("conv_id").alias("c"), F.col("block").alias("b"))
+    none = F.lit(0).cast("long")
+    if not many.limit(1).count():
+        return read.withColumn("sub", none)
+    on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
+    rank = F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(*_in_block()))
+    return read.join(many, on, "left_anti").withColumn("sub", none).union(read.join(many, on, "left_semi").withColumn("sub", F.floor((rank - 1) / BLOCK)))
+
+
+def _in_block() -> list[Column]:
+    return [F.asc_nulls_first(c) for c in ("turn", "text", "mark")]
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role (recovered), opens (the row opens a canonical turn) and rendered of each row of turns."""
     read = lines(turns)
     model = fit(read)
-    columns, key = ["conv_id", "block", "turn", "mark", "shape", "text"], ["conv_id", "block"]
-    order = [F.asc_nulls_first(c) for c in (*key, "turn", "text", "mark")]
-    tables = map_arrow(read.select(*columns).repartition(*key).sortWithinPartitions(*order), _reduce(model), "conv_id long, block long, start array<double>, table array<double>")
-    ends = map_arrow(tables.repartition("conv_id").sortWithinPartitions(*key), _chain, "conv_id long, block long, before int, end int, closes boolean")
-    fixed = read.select(*columns).join(ends.toDF("c", "b", "before", "end", "closes"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
+    read, key = blocked(read), ["conv_id", "block", "sub"]
+    columns = [*key, "turn", "mark", "shape", "text"]
+    order = [*(F.asc_nulls_first(c) for c in key), *_in_block()]
+    tables = map_arrow(read.select(*columns).repartition(*key).sortWithinPartitions(*order), _reduce(model), "conv_id long, block long, sub long, start array<double>, table array<double>")
+    ends = map_arrow(tables.repartition("conv_id").sortWithinPartitions(*key), _chain, "conv_id long, block long, sub long, before int, end int, closes boolean")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")) & (F.col("sub") == F.col("s"))
+    fixed = read.select(*columns).join(ends.toDF("c", "b", "s", "before", "end", "closes"), same).drop("c", "b", "s")
     return map_arrow(fixed.repartition(*key).sortWithinPartitions(*order), _trace(model), "conv_id long, turn long, role string, opens boolean, rendered string")
