@@ -195,6 +195,17 @@ def needle_entities(text: Column) -> Column:
     return _firsts(every, lambda x: x["name"])
 
 
+def temporal_intent(query: Column) -> Column:
+    """"historical", "recency" or "neutral" (D4)."""
+    q = _some(query)
+    one = lambda cond, points=1: F.when(cond, points).otherwise(0)
+    dated = q.rlike(fixed.ISO_DATE)
+    historical = one(dated, 3) + one(q.rlike(fixed.MONTH_YEAR), 2) + one(q.rlike(fixed.YEAR) & ~dated)
+    historical += sum((one(q.rlike(p), 2) for p in fixed.HISTORICAL_PATTERNS), F.lit(0)) + sum((one(F.contains(F.lower(q), F.lit(w))) for w in fixed.HISTORICAL_WORDS), F.lit(0))
+    recency = sum((one(q.rlike(p), 2) for p in fixed.RECENCY_PATTERNS), F.lit(0)) + sum((one(F.contains(F.lower(q), F.lit(w))) for w in fixed.RECENCY_WORDS), F.lit(0))
+    return F.when((historical >= 3) & (historical > recency), "historical").when((recency >= 2) & (recency > historical), "recency").otherwise("neutral")
+
+
 def agent_of_path(path: Column) -> Column:
     """The part of a path after its first "agents", or else its first "memories" (F33)."""
     parts = F.split(_some(path), "/")

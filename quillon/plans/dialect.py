@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Fixed values, in both: the pattern of REDACTED, and what it puts in place of a credential.
 _SPARK = {
     "EXPLODE": "explode({0})",
     "TOKENS": "filter(split(lower({0}), '[^a-z0-9]+'), x -> x <> '')",

@@ -20,22 +20,11 @@ QUERIES = {
       e as (select space, class as class_a, class as class_b, cast(1 as double) as jaccard from c union all select space, class_a, class_b, jaccard from v)
       select least(a.doc_id, b.doc_id) as a, greatest(a.doc_id, b.doc_id) as b, e.jaccard from e join m a on e.space = a.space and e.class_a = a.class join m b on e.space = b.space and e.class_b = b.class
       where a.source is distinct from b.source and (a.doc_id < b.doc_id or (a.doc_id > b.doc_id and e.class_a <> e.class_b))""",
-    "j19_supersede_overlap": """with f as (select o_custkey, o_orderkey, TOKENS(o_orderpriority) as words from {orders}) select a.o_custkey as entity_id, a.o_orderkey as old_fact, min(b.o_orderkey) as superseded_by
-      from f a join f b on a.o_custkey = b.o_custkey and b.o_orderkey > a.o_orderkey where COMMON(a.words, b.words) >= 0.6 * ITEMS(a.words) group by a.o_custkey, a.o_orderkey""",
-    "j24_two_hop": """with edges as (select distinct l_suppkey as s, l_partkey as p from {lineitem}), hop1 as (select p from edges where s = 1), hop2 as (select distinct e.s from edges e join hop1 on e.p = hop1.p where e.s <> 1) select s, s_name from hop2 join {supplier} on s = s_suppkey""",
-    "j25_ngram_entities": """with q as (select item_id, TOKENS(text) as w from {benchmark}), g as (select distinct item_id, EXPLODE(w) as gram from q), e as (select p_partkey, EXPLODE(TOKENS(p_name)) as gram from {part})
-      select g.item_id, count(distinct e.p_partkey) as entities from g join e on g.gram = e.gram group by g.item_id""",
     "j29_lineage": """with v as (select JSON_K(props) as memory_id, 'version' as edge, count(*) as n from {events} where event_type in ('signup', 'purchase') group by 1), a as (select JSON_K(props) as memory_id, 'audit' as edge, count(*) as n from {events} where event_type in ('error', 'click') group by 1),
       r as (select JSON_K(props) as memory_id, 'retrieval' as edge, count(*) as n from {events} where event_type = 'view' group by 1) select * from v union all select * from a union all select * from r""",
-    "m1_entity_upsert": """with seen as (select o_custkey as id, count(*) as mentions, max(o_orderdate) as last_seen from {orders} group by o_custkey) select c_custkey as id, coalesce(mentions, 0) + 1 as mention_count, last_seen from {customer} left join seen on c_custkey = id""",
     "m7_decay_facts": """select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then true when o_orderstatus = 'F' and o_orderdate < timestamp '1998-07-01 00:00:00' then false when o_orderdate < timestamp '1998-05-01 00:00:00' then false else true end as is_active from {orders}""",
-    "m9_forget_candidates": """with h as (select JSON_K(props) as memory_id, count(*) / 1000.0 as hot from {events} group by 1), c as (select d.doc_id, hot, (d.doc_id % 10) / 10.0 as importance, d.doc_id % 30 as age from {documents} d left join h on d.doc_id = h.memory_id)
-      select doc_id, case when hot is null and age >= 14 then 'unscored_aged_low_importance' else 'cold_low_importance' end as rule from c where importance <= 0.4 and (hot <= 0.05 or (hot is null and age >= 14)) order by coalesce(hot, 0), importance, doc_id limit 20""",
     "m13_merge_concat": "select conv_id, LISTED(turn, text, ' / ') as merged, count(*) as parts from {conversations} group by conv_id",
     "m23_pin": "select doc_id, case when doc_id % 10 = 0 then 1.0 else 0.5 end as importance, case when doc_id % 10 = 0 then 'permanent' else 'standard' end as retention from {documents}",
-    "f5_needles": """select doc_id, HITS(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') as ips, HITS(text, '[A-Z][A-Z]+-[0-9]+') as tickets from {documents}""",
-    "f21_thought_type": """with v as (select doc_id, HITS(lower(text), 'decid|chose|choice') as decision, HITS(lower(text), 'error|fail|bug') as problem, HITS(lower(text), 'how|what|why') as question from {documents})
-      select doc_id, case when greatest(decision, problem, question) < 2 then 'general' when decision >= problem and decision >= question then 'decision' when problem >= question then 'problem' else 'question' end as thought_type from v""",
     "f26_tokens": "select doc_id, greatest(1, cast(floor(length(text) / 4) as bigint)) as tokens from {documents}",
     "f27_message_tokens": "select conv_id, cast(sum(4 + greatest(1, floor(length(text) / 4))) + 2 as bigint) as tokens from {conversations} group by conv_id",
     "f29_uuid_ids": "select doc_id, concat(substr(md5(cast(doc_id as string)), 1, 8), '-', substr(md5(cast(doc_id as string)), 9, 4), '-', substr(md5(cast(doc_id as string)), 13, 4), '-', substr(md5(cast(doc_id as string)), 17, 4), '-', substr(md5(cast(doc_id as string)), 21, 12)) as point_id from {documents}",
@@ -44,7 +33,6 @@ QUERIES = {
     "w21_context_hint": """with t as (select conv_id, sum(4 + greatest(1, floor(length(text) / 4))) + 2 as tokens from {conversations} group by conv_id) select conv_id, case when tokens / 800.0 * 100 <= 70 then 'ok' when tokens / 800.0 * 100 <= 90 then 'compress' else 'critical' end as hint from t""",
     "z1_audit_trail": "select event_id, event_type from {events} where user_id = 7 order by ts desc, event_id desc limit 20",
     "z3_owner": """with a as (select JSON_K(props) as memory_id, max(user_id) as agent from {events} group by 1) select d.doc_id, coalesce(nullif(d.source, ''), cast(a.agent as string)) as owner from {documents} d left join a on d.doc_id = a.memory_id""",
-    "z13_session_summary": "with r as (select conv_id, turn, concat('- [', role, '] ', substr(text, 1, 60)) as line from {conversations}) select conv_id, LISTED(turn, line, ' | ') as summary from r group by conv_id",
 }
 
 #: What j18 has to find, without its filters: all pairs of a namespace.

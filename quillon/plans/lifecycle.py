@@ -35,11 +35,8 @@ QUERIES = {
       select conv_id, turn, case when ITEMS(a) = 0 or ITEMS(b) = 0 then cast(0 as double) else cast(COMMON(a, b) as double) / EITHER(a, b) end as jaccard from p where b is not null""",
     "f14_normalized_names": "select c_custkey, trim(SWAP(lower(c_name), '[^a-z0-9_ \t\n-]', '')) as name from {customer}",
     "m2_relationship_upsert": "select l_suppkey as source_id, l_partkey as target_id, least(cast(1 as double), round(0.9 + 0.1 * count(*), 4)) as confidence, max(l_orderkey) as evidence from {lineitem} group by l_suppkey, l_partkey",
-    "m12_reflect_outcome": """with r as (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from {events})
-      select user_id as trajectory_id, case event_type when 'error' then 'recovery' when 'purchase' then 'strategy' else 'optimization' end as lesson from r where rn = 1""",
     "m14_suppression_state": """with a as (select JSON_K(props) as memory_id, event_type, row_number() over (partition by JSON_K(props) order by ts desc, event_id desc) as rn from {events} where event_type in ('click', 'purchase'))
       select doc_id, coalesce(event_type = 'purchase', false) as suppressed from {documents} left join a on doc_id = memory_id and rn = 1""",
-    "m15_cascade_delete": "select vec_id from {embeddings} where not exists (select 1 from {labels} l where l.doc_id = vec_id and l.toxic = 1)",
     "m18_needle_register": "with t as (select doc_id, EXPLODE(TOKENS(text)) as token from {documents}) select distinct token, doc_id as memory_id from t where length(token) >= 4 and MATCHES(token, '^[0-9]+$')",
     "m21_conflict_gate": f"with {COSINE} select item_id, doc_id, case when score >= 0.95 then 'manual_review' when score >= 0.85 then 'merge' else 'store' end as action from vectors where rn = 1",
     "r14_topic_fallback": f"""with {COSINE}, t as (select v.item_id, v.doc_id, lang = 'en' as topical from vectors v join {{documents}} d on v.doc_id = d.doc_id where rn <= 20),

@@ -3,12 +3,8 @@
 from .observability import AUDIT, LOGS
 from .retrieval import COSINE, TERMS
 
-# Opposing keywords, words and patterns of temporal intent, phrases of exact questions.
+# Opposing keywords, phrases of exact questions.
 OPPOSING = (("enabled", "disabled"), ("active", "inactive"), ("yes", "no"), ("true", "false"), ("success", "failure"), ("up", "down"), ("running", "stopped"), ("allow", "deny"), ("open", "closed"))
-RECENCY_WORDS = ("recent", "recently", "latest", "newest", "current", "today", "this week", "this month", "right now", "just now", "last hour")
-HISTORICAL_WORDS = ("when did", "when was", "what happened", "history", "historical", "previously", "past", "back then", "timeline", "chronolog", "incident on", "outage on", "event on", "on the date")
-RECENCY_PHRASES = ("(latest|newest|most recent|current|up.to.date)", "last[ \t\n]+(week|day|hour|few)")
-HISTORICAL_PHRASES = ("when[ \t\n]+(did|was|were|is)", "what[ \t\n]+happened", "(incident|outage|event|issue)[ \t\n]+(on|from|in|during)", "histor(y|ical)")
 EXACT_PHRASES = ("exact", "specific", "what is the", "what was the", "what are the", "find the", "who is", "when is", "when was", "where is", "ip[ \t\n]+address", "port", "cron", "password", "budget", "launch date")
 IP = "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+"
 ISO_DATE = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
@@ -19,14 +15,6 @@ def _phrase(pattern: str) -> str:
     return f"(^|[^a-z0-9_]){pattern}([^a-z0-9_]|$)"
 
 
-def _sum(text: str, patterns, points: int) -> str:
-    return " + ".join(f"case when MATCHES({text}, '{_phrase(p)}') then {points} else 0 end" for p in patterns)
-
-
-def _words(text: str, words) -> str:
-    return " + ".join(f"case when contains({text}, '{w}') then 1 else 0 end" for w in words)
-
-
 _OPPOSED = " ".join(f"when (contains(a, '{x}') and contains(b, '{y}')) or (contains(a, '{y}') and contains(b, '{x}')) then '{x}/{y}'" for x, y in OPPOSING)
 FACTS = "f as (select o_orderkey as fact_id, o_custkey as entity_id, o_orderpriority as topic, o_orderdate as valid_from, case o_orderpriority when '1-URGENT' then 'permanent' when '2-HIGH' then 'durable' else 'standard' end as retention, o_totalprice as weight from {orders})"
 
@@ -39,7 +27,6 @@ QUERIES = {
     "j2_entity_either_side": "select s.s_name as source, p.p_name as target, count(*) as mentions from {lineitem} join {supplier} s on l_suppkey = s.s_suppkey join {part} p on l_partkey = p.p_partkey where l_suppkey = 7 or l_partkey = 7 group by s.s_name, p.p_name",
     "j10_superseded_anti": f"with {FACTS} select fact_id from f where not exists (select 1 from f n where n.entity_id = f.entity_id and n.topic = f.topic and n.valid_from > f.valid_from)",
     "j14_hit_metadata_left": "select d.doc_id, coalesce(l.quality, 0) as quality, coalesce(l.toxic, 0) as toxic from {documents} d left join {labels} l on d.doc_id = l.doc_id",
-    "j20_vector_conflicts": "with n as (select vec_id, label, embedding as e from {embeddings} where vec_id % 100 = 0), s as (select n.vec_id as new_id, o.vec_id as old_id, COSINE(e, o.embedding) as score from n join {embeddings} o on n.label = o.label and n.vec_id <> o.vec_id) select new_id, old_id, round(score, 5) as score from s where score >= 0.5",
     "j22_facts_at_dates": f"with {FACTS}, v as (select *, lead(valid_from) over (partition by entity_id order by valid_from, fact_id) as valid_until from f), q as (select * from (values (1994), (1995), (1996), (1997)) t(year)) select year, count(*) as facts, count(distinct entity_id) as entities from v join q on year(valid_from) < q.year and (valid_until is null or year(valid_until) >= q.year) group by year",
     "j23_token_lookup": f"with {TERMS}, p as (select doc_id, EXPLODE(TOKENS(text)) as term from {{documents}}) select q.item_id, q.term, min(doc_id) as first_doc, count(distinct doc_id) as docs from q join p on q.term = p.term group by q.item_id, q.term",
     "a5_dashboard_stats": f"with {LOGS} select count(*) as n, cast(sum(cache_hit) as bigint) as hits, round(avg(duration_ms), 2) as avg_ms, round(cast(sum(cache_hit) as double) / count(*), 3) as hit_rate from logs",
@@ -54,9 +41,6 @@ QUERIES = {
     "w1_latest_action": f"with {AUDIT}, r as (select *, row_number() over (partition by memory_id order by ts desc, event_id desc) as rn from audit) select memory_id, action, agent_id from r where rn = 1",
     "w9_merge_keep_top": f"with {COSINE}, b as (select item_id, doc_id, score, case when rn <= 3 then 0 else 1 end as late from vectors where rn <= 10), w as (select item_id, doc_id, greatest(0.2, score) as score, 1 as late from vectors v where rn > 10 and rn <= 20), m as (select * from b union all select * from w), o as (select *, row_number() over (partition by item_id order by late, round(score, 6) desc, doc_id) as place from m) select item_id, doc_id, place from o",
     "w18_timeline": f"with {COSINE}, t as (select item_id, v.doc_id, substr(text, 1, 500) as excerpt, row_number() over (partition by item_id order by n_chars, v.doc_id) as place from vectors v join {{documents}} d on v.doc_id = d.doc_id where rn <= 50) select item_id, doc_id, excerpt, place from t where place <= 30",
-    "f6_literal_tokens": "with t as (select item_id, EXPLODE(TOKENS(text)) as token from {benchmark}) select item_id, token, count(*) as n from t where length(token) >= 3 group by item_id, token",
-    "f10_exact_tokens": f"select doc_id, MATCHES(text, '{IP}|[A-Z][A-Z]+-[0-9][0-9][0-9][0-9]+') as exact from {{documents}}",
-    "f12_word_sets": "select doc_id, ITEMS(SORTEDSET(WORDS(lower(text)))) as n_words from {documents}",
     "f15_opposing_keywords": f"with p as (select conv_id, turn, lower(text) as a, lower(lead(text) over (partition by conv_id order by turn)) as b from {{conversations}}) select conv_id, turn, case {_OPPOSED} end as trigger_pair from p",
     "f16_redact": "select doc_id, REDACTED(text) as redacted from {documents}",
     "f24_needle_query": f"select item_id, {' or '.join(f'''MATCHES(lower(text), '{_phrase(p)}')''' for p in EXACT_PHRASES)} or MATCHES(text, '{IP}') as needle from {{benchmark}}",
@@ -66,9 +50,6 @@ QUERIES = {
     "f32_dedupe_keys": "select doc_id, substr(SHA256(concat(lang, '|', source, '|', text)), 1, 24) as dedupe_key from {documents}",
     "f34_uris": "select doc_id, concat('memory://', lang, '/doc/', cast(doc_id as string), '?agent=', source) as uri from {documents}",
     "d2_days_since": "select event_id, round(greatest(cast(0 as double), cast(MICROS(timestamp '2024-01-31 00:00:00') - MICROS(ts) as double) / 86400000000), 6) as days from {events}",
-    "d4_temporal_intent": f"""with q as (select conv_id, turn, lower(text) as t from {{conversations}}), s as (select conv_id, turn, case when MATCHES(t, '{ISO_DATE}') then 3 when MATCHES(t, '{_phrase("(19|20)[0-9][0-9]")}') then 1 else 0 end
-      + {_sum("t", HISTORICAL_PHRASES, 2)} + {_words("t", HISTORICAL_WORDS)} as historical, {_sum("t", RECENCY_PHRASES, 2)} + {_words("t", RECENCY_WORDS)} as recency from q)
-      select conv_id, turn, case when historical >= 3 and historical > recency then 'historical' when recency >= 2 and recency > historical then 'recency' else 'neutral' end as intent from s""",
     "d5_dates": f"select doc_id, HITS(text, '{ISO_DATE}') as dates from {{documents}}",
     "d6_ttl": "select doc_id, case when doc_id % 10 = 9 then null else MICROS(timestamp '2024-01-31 00:00:00' + DAYS(doc_id % 60)) end as expires from {documents}",
     "m26_checkpoint_state": "with c as (select user_id as checkpoint_id, event_type, ts, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rn, count(*) over (partition by user_id) as steps from {events}) select checkpoint_id, case event_type when 'signup' then 'created' when 'purchase' then 'approved' when 'error' then 'interrupted' else 'running' end as state, steps from c where rn = 1",

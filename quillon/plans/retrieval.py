@@ -22,7 +22,6 @@ QUERIES = {
       select item_id, doc_id, round(score, 6) as score, rn from o where rn <= 10""",
     "r8_fuse_vector_bm25": f"""with {FUSED}, f as (select r.item_id, r.doc_id, case when v.rn <= 8 then greatest(r.score, v.score + 0.5) else r.score end as score from rrf r left join vectors v on r.item_id = v.item_id and r.doc_id = v.doc_id),
       o as (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rn from f) select item_id, doc_id, round(score, 5) as score, rn from o where rn <= 20""",
-    "r6_literal_search": "select q.item_id, d.doc_id, 0.0 as score from (select item_id, substr(text, 1, 40) as head from {benchmark}) q join {documents} d on contains(d.text, q.head)",
     "r18_entity_facts": """with f as (select o_custkey as entity_id, o_orderkey as fact_id, concat(o_orderstatus, ' ', o_orderpriority) as fact_text, o_totalprice, case o_orderpriority when '1-URGENT' then 'permanent' when '2-HIGH' then 'durable' else 'standard' end as retention from {orders}),
       r as (select *, case when retention in ('durable', 'permanent') then 0.55 else 0.5 end as score, case when retention = 'permanent' then 1.0 else 0.7 end as importance, row_number() over (partition by entity_id, fact_text order by o_totalprice desc, fact_id) as rn from f),
       k as (select *, row_number() over (partition by entity_id order by score desc, fact_id) as place from r where rn = 1) select entity_id, fact_id, fact_text, cast(score as double) as score, cast(importance as double) as importance, place from k where place <= 15""",

@@ -94,6 +94,16 @@ def f23_query_kind(spark, sf_dir):
     return _topical(spark, sf_dir).select("o_orderkey", kind["type"].alias("type"), kind["subcategory"].alias("subcategory"))
 
 
+#: Questions about orders: their dates, months and words vary.
+_ASKED = """concat_ws(' ', case o_orderkey % 4 when 0 then 'When was the outage on' when 1 then 'What is the latest status, before' when 2 then 'the history of' else 'anything' end,
+  case o_orderkey % 3 when 0 then substr(cast(o_orderdate as string), 1, 10) when 1 then substr(cast(o_orderdate as string), 1, 7) else 'March 2024' end, case when o_orderkey % 5 = 0 then 'right now, last week' else '' end)"""
+
+
+def d4_temporal_intent(spark, sf_dir):
+    asked = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ASKED).alias("asked"))
+    return asked.select("o_orderkey", text.temporal_intent(F.col("asked")).alias("intent"))
+
+
 def f33_paths_and_fences(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/data/memories/"), F.col("lang"), F.lit("/agents/"), F.col("source"), F.lit("/a.md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("memories/"), F.col("source"))).otherwise(F.lit("notes/a.md"))
@@ -132,7 +142,7 @@ def f3_level_chunks(spark, sf_dir):
     return chunking.level_chunks(_paragraphed(spark, sf_dir).withColumn("id", F.concat(F.lit("notes/"), F.col("id"))))
 
 
-QUERIES = {f.__name__: f for f in (f1_chunk_text, f2_section_chunks, f3_level_chunks, f5_needles, f6_literal_tokens, f7_search_expressions, f8_lexeme_expressions, f10_exact_tokens, f12_word_sets, f19_entities, f20_needle_entities, f21_thought_type, f22_topics, f23_query_kind, f33_paths_and_fences, f38_safe_labels, p11_safe_provenance)}
+QUERIES = {f.__name__: f for f in (d4_temporal_intent, f1_chunk_text, f2_section_chunks, f3_level_chunks, f5_needles, f6_literal_tokens, f7_search_expressions, f8_lexeme_expressions, f10_exact_tokens, f12_word_sets, f19_entities, f20_needle_entities, f21_thought_type, f22_topics, f23_query_kind, f33_paths_and_fences, f38_safe_labels, p11_safe_provenance)}
 
 _PORT = r"(?m)(?:^|\s):\d{2,5}\b"
 _COUNTED = {k: (_PORT if k == "port" else v) for k, v in fixed.NEEDLES.items()}
@@ -159,7 +169,12 @@ _TOPIC_HITS = [(topic, _hits("note", words)) for topic, words in fixed.TOPICS.it
 _KIND_HITS = [(kind, sub, f"len(regexp_extract_all(note, '(?i)\\b(?:{words})\\b'))") for kind, sub, words in fixed.QUERY_KINDS]
 _KINDS = [(kind, "(" + " + ".join(n for k, _, n in _KIND_HITS if k == kind) + ")") for kind in ("experience", "skill", "general")]
 
+_POINTS = lambda patterns, n: " + ".join(f"case when regexp_matches(asked, '{p}') then {n} else 0 end" for p in patterns)
+_SAID = lambda words: " + ".join(f"case when contains(lower(asked), '{w}') then 1 else 0 end" for w in words)
 ORACLES = {
+    "d4_temporal_intent": f"""with q as (select o_orderkey, {_ASKED.replace('as string', 'as varchar')} as asked from orders), s as (select o_orderkey, case when regexp_matches(asked, '{fixed.ISO_DATE}') then 3 when regexp_matches(asked, '{fixed.YEAR}') then 1 else 0 end
+      + {_POINTS([fixed.MONTH_YEAR, *fixed.HISTORICAL_PATTERNS], 2)} + {_SAID(fixed.HISTORICAL_WORDS)} as h, {_POINTS(fixed.RECENCY_PATTERNS, 2)} + {_SAID(fixed.RECENCY_WORDS)} as r from q)
+      select o_orderkey, case when h >= 3 and h > r then 'historical' when r >= 2 and r > h then 'recency' else 'neutral' end as intent from s""",
     "f5_needles": f"select doc_id, {', '.join(f'''cast(len(regexp_extract_all(text, '{p}')) as bigint) as {k}''' for k, p in _COUNTED.items())} from documents",
     "f6_literal_tokens": f"select doc_id, array_to_string(list_filter(list_transform(list_concat({', '.join(f'''regexp_extract_all(text, '{p}')''' for p in _COUNTED.values())}), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31))), lambda x: length(x) >= 3), '|') as tokens from documents",
     "f7_search_expressions": f"""with t as (select conv_id, turn, {_PARTS} as raw from conversations), c as (select *, {_CONTENT} as content from t)
