@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,6 +34,8 @@ def scratch_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/quillon-{spark.sparkContext.applicationId}"
 
@@ -57,12 +60,16 @@ def forget(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Edges that one part of a round's table holds.
+EDGES_A_PART = 100_000
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star rounds (Kiveris et al. 2014).
 
     Returns (node, component) for every linked node, component being the smallest node of its component. Each round is
-    two aggregations with map-side combine and two joins that AQE can split, and is written to the shared folder; no
-    round gathers a component in one place.
+    two aggregations with map-side combine and two joins that AQE can split, and is written to the shared folder, in parts
+    of EDGES_A_PART edges or so, however many partitions are set; no round gathers a component in one place.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     edges = scratch(links.where(F.col(a) != F.col(b)).select(u, v).distinct(), "edges")
@@ -71,14 +78,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         digest = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if digest == mark or digest[0] == 0:
             break
-        mark = digest
+        mark, parts = digest, 1 + 2 * digest[0] // EDGES_A_PART
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch(large, "large-star")
+        large = scratch(large.coalesce(parts), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = scratch(small.union(least).distinct(), "small-star")
+        small = scratch(small.union(least).distinct().coalesce(parts), "small-star")
         forget(edges, large)
         edges = small
     stars = edges.groupBy("u").agg(F.min("v").alias("v"))

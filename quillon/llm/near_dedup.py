@@ -19,8 +19,8 @@ So a group of linked copies costs as much as its documents; what is near in a bu
 of blocks. No link between parts is lost, and rows handed on are linear.
 
 Defined results: null, empty or wordless text has no shingles and links with nothing; a text of under five words is one
-shingle; repeated rows are one document and each keeps its row; where one doc_id has several texts the least stands for it
-in confirmation; a null doc_id links with nothing and is kept; an empty table gives no rows; other columns are ignored.
+shingle; repeated rows are one document and each keeps its row; where one doc_id has several texts, those of which it is the
+least doc_id are one document, and each row has the component of its own text; a null doc_id links with nothing and is kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
