@@ -38,4 +38,14 @@ SECRETS = f"""with d as (select doc_id, coalesce(text, '') as t from documents),
   coalesce(string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, place) filter (where place < {len(BASE_RULES)}), '') as base, string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, place) as spans from s group by doc_id)
   select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a on a.doc_id = d.doc_id"""
 
-ORACLES = {"op2_minmax_near_dedup": NEAR_DUPLICATES, "op5_secret_ledger": SECRETS, "op7_line_frequency_quality": QUALITY}
+#: Every document scored for every item.
+RANKED = r"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+  x as (select doc_id, ts, len(ts) as n, row_number() over () as row from d where len(ts) > 0), c as (select count(*) as nn, cast(sum(n) as bigint) as ll from x),
+  q as (select item_id, row_number() over () as item, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+  p as (select row, t, count(*) as tf from (select row, unnest(ts) as t from x) group by all), f as (select t, count(*) as df from p group by t),
+  w as (select t, cast(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) as bigint) as w from f, c),
+  s as (select item, item_id, x.row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) as score from q join p on q.t = p.t join w on w.t = q.t join x on x.row = p.row, c group by all),
+  r as (select *, row_number() over (partition by item order by score desc, doc_id) as rank from s where score > 0)
+  select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from r where rank <= 20"""
+
+ORACLES = {"op2_minmax_near_dedup": NEAR_DUPLICATES, "op5_secret_ledger": SECRETS, "op7_line_frequency_quality": QUALITY, "op12_wand_search": RANKED}

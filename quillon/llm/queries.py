@@ -1,10 +1,10 @@
-"""The ten operators as queries over the tables of a folder, with their SQL where SQL can say it."""
+"""The operators as queries over the tables of a folder, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, imatch, mixing, near_dedup, packing, quality, secret_scan, sharding, suffix_dedup, toxicity
+from . import bpe, chat, imatch, mixing, near_dedup, packing, quality, secret_scan, sharding, suffix_dedup, toxicity, wand, whitening
 from .common import documents
 from .oracles import ORACLES
 
@@ -53,8 +53,20 @@ def op10_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op11_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand.search(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_batched_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    own = (op1_chat_formatting, op2_minmax_near_dedup, op3_suffix_array_dedup, op4_imatch_fingerprints, op5_secret_ledger, op6_sainte_lague_mixing, op7_line_frequency_quality, op8_cutting_stock_packing, op9_counterfactual_toxicity, op10_differencing_shards)
+    own = (op1_chat_formatting, op2_minmax_near_dedup, op3_suffix_array_dedup, op4_imatch_fingerprints, op5_secret_ledger, op6_sainte_lague_mixing, op7_line_frequency_quality, op8_cutting_stock_packing, op9_counterfactual_toxicity, op10_differencing_shards, op11_chan_whitening, op12_wand_search, op13_batched_bpe)
     return {f.__name__: f for f in own}
 
 
