@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,19 +58,68 @@ def test_outbox(spark, tmp_path):
     assert [(r.status, r.delay_s) for r in tries.orderBy("event_id").collect()] == [("applied", None), ("pending", 4.0), ("dead", None)]
 
 
-def test_stream_is_drained_in_order_with_retries(spark, tmp_path):
-    """Three files, one a micro-batch, two changes applied in each: 4 fails once, 2 always."""
-    for k, ids in enumerate([(1, 2, 3), (4,), (5, 1), (6,), (7,), (8,), (9,)]):
-        spark.createDataFrame([(i, i) for i in ids], "id long, s long").selectExpr("id", "timestamp_seconds(s) as created_at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, created_at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    fails = lambda rows: rows.where("id = 2 or (id = 4 and tries = 0)").select("id")
-    for _ in range(2):  # the second run finds nothing new
-        outbox.drain(stream, str(tmp_path / "out"), str(tmp_path / "mark"), fails, lambda n: F.timestamp_seconds(F.lit(1000 * (n + 1))), 3).awaitTermination()
-    state = {r.id: (r.status, r.tries) for r in spark.read.parquet(str(tmp_path / "out/outbox/6")).collect()}
-    assert state[2] == ("dead", 5) and state[4] == ("applied", 1) and all(state[i][0] == "applied" for i in (1, 3, 5, 6, 7))
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out/dead")).collect()) == [2]
-    applied = [r.id for r in spark.read.parquet(str(tmp_path / "out/applied")).collect()]
-    assert len(applied) == len(set(applied)) and {1, 3, 4, 5} <= set(applied)
+def _until(query, done, seconds=240):
+    """Let a stream run until a condition holds, then stop it."""
+    end = time.time() + seconds
+    while time.time() < end and query.isActive and not done():
+        time.sleep(0.3)
+    query.stop()
+    assert done(), query.exception()
+
+
+def test_outbox_stream_ends_with_all_settled(spark, tmp_path):
+    """130 changes in one micro-batch: all are applied but one, without new data; a restart applies nothing twice."""
+    put = lambda ids: spark.createDataFrame([(i, f"p{i}") for i in ids], "id long, payload string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(range(130))
+
+    def attempt(change, tries):
+        if change.id == 7 or (change.id % 10 == 3 and tries < 2):
+            raise ValueError(f"{change.payload} at {tries}")
+        return change.id != 50 or tries > 0
+
+    def start():
+        stream = spark.readStream.schema("id long, payload string").parquet(str(tmp_path / "in"))
+        out = outbox.drain(stream, attempt, tries=4, delay=0.05).writeStream.format("parquet").outputMode("append")
+        return out.option("checkpointLocation", str(tmp_path / "mark")).trigger(processingTime="200 milliseconds").start(str(tmp_path / "out"))
+
+    def outcomes():
+        return spark.read.schema(outbox.OUTCOMES).parquet(str(tmp_path / "out")).collect() if (tmp_path / "out").exists() else []
+
+    _until(start(), lambda: sum(r.status != "pending" for r in outcomes()) == 130)
+    first = outcomes()
+    ended = {r.id: (r.status, r.tries, r.error) for r in first if r.status != "pending"}
+    assert ended[7] == ("dead", 4, "p7 at 3") and ended[3] == ("applied", 2, None) and ended[50] == ("applied", 1, None)
+    assert all(s == "applied" and n == (2 if i % 10 == 3 else i == 50) for i, (s, n, _) in ended.items() if i != 7)
+    assert sorted(r.tries for r in first if r.id == 7) == [1, 2, 3, 4]
+    put([1, 7, 13, 500, 501])  # three of them again
+    _until(start(), lambda: len(outcomes()) >= len(first) + 2)
+    assert {r.id for r in outcomes()} - set(ended) == {500, 501} and len(outcomes()) == len(first) + 2
+
+
+def test_session_stream(spark, tmp_path):
+    put = lambda rows: spark.createDataFrame(rows, "key string, op string, value string, s long").selectExpr("key", "op", "value", "timestamp_seconds(s) as at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([("a", "put", "1", 1), ("a", "get", None, 2), ("a", "put", "2", 3), ("a", "promote", None, 4), ("a", "get", None, 5), ("b", "put", "x", 1), ("b", "flush", None, 2), ("b", "promote", None, 3), ("c", "put", "y", 1)])
+    stream = spark.readStream.schema("key string, op string, value string, at timestamp").parquet(str(tmp_path / "in"))
+    query = outbox.session_stream(stream, 3).writeStream.format("memory").queryName("sessions_seen").outputMode("append").option("checkpointLocation", str(tmp_path / "mark")).trigger(processingTime="200 milliseconds").start()
+    seen = lambda: sorted(((r.key, r.op, r.value) for r in spark.table("sessions_seen").collect()), key=repr)
+    end = time.time() + 120
+    while time.time() < end and len(seen()) < 3:
+        time.sleep(0.3)
+    assert seen() == [("a", "get", "1"), ("a", "get", None), ("a", "promote", "2")]
+    time.sleep(4)  # c's value has run out
+    put([("c", "get", None, 9)])
+    _until(query, lambda: spark.table("sessions_seen").where("key = 'c'").count() == 1)
+    assert spark.table("sessions_seen").where("key = 'c'").first().value is None
+
+
+def test_applied_changes(spark):
+    rows = [
+        (1, 1, "upsert", "n", {"a": "1", "b": "2"}), (2, 1, "set_payload", None, {"b": "3", "c": "4"}), (3, 2, "upsert", "n", {"a": "x"}), (4, 2, "delete", None, None), (5, 2, "set_payload", None, {"a": "lost"}),
+        (6, 3, "upsert", "m", {"a": "y"}), (7, None, "delete_filter", "m", None), (8, 4, "upsert", "m", None), (9, 5, "set_payload", "n", {"a": "no point"}), (10, 6, "upsert", None, {"a": "no namespace"}), (11, 1, "upsert", "n", {"d": "5"}), (12, 1, "set_payload", None, {"d": None}),
+    ]
+    changes = spark.createDataFrame(rows, "seq long, point_id long, op string, namespace string, payload map<string,string>")
+    assert {r.point_id: (r.namespace, r.payload) for r in outbox.applied(changes).collect()} == {1: ("n", {"d": None}), 4: ("m", {})}
+    assert outbox.applied(changes.limit(0)).count() == 0
 
 
 def test_sessions_end(spark):
