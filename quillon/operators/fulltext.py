@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import stemming, text
 from ..ship import ship
 from ..sources.commits import Commits, latest
@@ -145,15 +146,18 @@ class Index:
         one = _each(self.commits.read("postings", version).withColumn("positions", F.transform("positions", F.size))).join(live, ["id", "seq"])
         return one.groupBy("term", "stem").agg(F.count("*").alias("chunks"), F.sum("positions").alias("places"))
 
-    def _found(self, tokens: DataFrame, exact: bool, version: int, live: DataFrame) -> DataFrame:
-        """(token, id, length, positions) of the live chunks that hold tokens(token)."""
+    def _matched(self, tokens: DataFrame, exact: bool, version: int) -> DataFrame:
+        """Rows of postings with the terms of tokens(token, ...), and its columns."""
         terms = tokens.withColumn("stem", stemming.stemmed(F.col("token"))).withColumn("hash", F.hash("stem")).persist()  # small: the queries' words
         n, held = terms.count(), self.commits.read("postings", version)
         if n <= PUSHED_TOKENS:
             held = held.where(F.col("hash").isin([r.hash for r in terms.select("hash").distinct().collect()]))
-        same = F.broadcast(terms) if n <= BROADCAST_TOKENS else terms
-        found = held.join(same, ["hash", "stem"]).where(F.col("token") == F.col("term")) if exact else held.join(same, ["hash", "stem"])
-        found = _each(found).join(live.select("id", F.col("posted").alias("seq"), "length"), ["id", "seq"])
+        found = held.join(F.broadcast(terms) if n <= BROADCAST_TOKENS else terms, ["hash", "stem"])
+        return found.where(F.col("token") == F.col("term")) if exact else found
+
+    def _found(self, tokens: DataFrame, exact: bool, version: int, live: DataFrame) -> DataFrame:
+        """(token, id, length, positions) of the live chunks that hold tokens(token)."""
+        found = _each(self._matched(tokens, exact, version)).join(live.select("id", F.col("posted").alias("seq"), "length"), ["id", "seq"])
         if exact:
             return found.select("token", "id", "length", "positions")
         return found.groupBy("token", "id", "length").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
@@ -171,31 +175,58 @@ class Index:
         several = several.select("part", "id", "length", F.aggregate(F.slice("b", 2, 2**30), F.col("b")[0], F.array_intersect).alias("positions"))
         return single.union(several).select("part", "id", "length", F.size("positions").alias("tf"), "positions").where("tf > 0")
 
+    def _counted(self, parts: list[list[str]], exact: bool, version: int, live: DataFrame) -> DataFrame:
+        """(id, length, live's columns, parts, tfs) of live chunks that hold parts, by the parts' numbers; a number may stand several times. Only numbers and counts
+        are moved; places are where a part has several tokens."""
+        numbered = self.spark.createDataFrame(list(enumerate(parts)), "number int, part array<string>")
+        single = numbered.where("size(part) = 1").select("number", F.col("part")[0].alias("token"))
+        found = self._matched(single, exact, version).withColumn("positions", F.transform("positions", F.size))
+        found = _each(found).select("id", "seq", F.struct("number", F.col("positions").alias("tf")).alias("held"))
+        if any(len(p) > 1 for p in parts):
+            several = self.hits(numbered.where("size(part) > 1"), exact, version).join(F.broadcast(numbered), "part").join(live.select("id", F.col("posted").alias("seq")), "id")
+            found = found.union(several.select("id", "seq", F.struct("number", "tf")))
+        held = found.groupBy("id", "seq").agg(F.collect_list("held").alias("held"))
+        both = held.join(live.drop("seq").withColumnRenamed("posted", "seq"), ["id", "seq"])
+        return both.select("*", F.col("held.number").alias("parts"), F.col("held.tf").alias("tfs")).drop("held", "seq")
+
     def search(self, queries: DataFrame, k: int, mode: str = "any", exact: bool = False, where: Column | None = None, by: str = "bm25", version: int | None = None, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
         """(query, id, score, rank) of queries(query, text), the first k of each by lifted score (R3, R4, J6, W14). `where` is a condition on the chunks'
-        attributes; `by` is "bm25" or "density"."""
+        attributes; `by` is "bm25" or "density". Queries with a null id are left out."""
         version = self.commits.version() if version is None else version
         live = self._live(version)
-        asked = queries.select("query", F.explode(F.array_distinct(parts_of(F.col("text"), mode))).alias("part")).persist()
-        found = self.hits(asked, exact, version)
-        visible = live.where(~F.col("excluded") if where is None else ~F.col("excluded") & where)
+        asked = queries.where("query is not null").select(F.col("query").cast("long").alias("query"), F.array_distinct(parts_of(F.col("text"), mode)).alias("parts"))
+        shown = ~F.col("excluded") if where is None else ~F.col("excluded") & F.coalesce(where, F.lit(False))
         lift = 1 + LIFT * F.coalesce(F.col("importance"), F.lit(IMPORTANCE)) if "importance" in live.columns else F.lit(1 + LIFT * IMPORTANCE)
-        wanted = asked.groupBy("query").agg(F.count("*").alias("n_parts"))
+        live = live.select("id", "posted", "length", shown.alias("shown"), lift.cast("double").alias("lift"))
         if by == "density":
-            order = asked.withColumn("number", F.row_number().over(Window.partitionBy("query").orderBy("part")) - 1)
-            both = found.join(F.broadcast(order), "part").groupBy("query", "id").agg(F.count("*").alias("n"), F.collect_list(F.struct("number", "part", "positions")).alias("held"))
-            score = density(F.col("held"), F.col("n_parts"), mode)
-        else:
-            counts = live.where("length > 0").agg(F.count("*").alias("n_live"), F.avg("length").alias("mean"))
-            df = found.groupBy("part").agg(F.count("*").alias("df"))
-            worth = F.log(1 + (F.col("n_live") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-            scored = found.drop("positions").join(F.broadcast(df.crossJoin(counts)), "part").select("part", "id", worth.alias("worth"))
-            both = scored.join(F.broadcast(asked), "part").groupBy("query", "id").agg(F.count("*").alias("n"), F.sum("worth").alias("worth"))
-            score = F.col("worth")
+            return self._dense(asked.select("query", F.explode("parts").alias("part")), k, mode, exact, version, live)
+        n, total = live.where("length > 0").agg(F.count("*"), F.sum("length")).first()
+        out = []
+        for block in ranking._blocks(asked.toLocalIterator(), lambda r: sum(map(len, r.parts)), ranking.TERMS_AT_A_TIME) if n else ():
+            place: dict[tuple, int] = {}
+            numbers = [[place.setdefault(tuple(p), len(place)) for p in r.parts] for r in block]
+            if not place:
+                continue
+            path = scratch.folder(self.spark, "matched")
+            self._counted([list(p) for p in place], exact, version, live).write.option("compression", "zstd").parquet(path)
+            matched = self.spark.read.parquet(path)
+            df = np.zeros(len(place))
+            for r in matched.select(F.explode(F.array_distinct("parts")).alias("part")).groupBy("part").count().toLocalIterator():  # a row for each part of the block
+                df[r.part] = r["count"]
+            scored = _scored(numbers, np.log(1 + (n - df + 0.5) / (df + 0.5)), np.array([r.query for r in block], np.int64), total / n, k, mode == "all", k1, b)
+            out.append(matched.where("shown").select("id", "length", "lift", "parts", "tfs").mapInArrow(scored, "query long, id long, score double, plain double"))
+        hits = ranking._union(out, self.spark.createDataFrame([], "query long, id long, score double, plain double"))
+        return ranking.ranked(hits, k).select("query", "id", F.col("plain").alias("score"), "rank")
+
+    def _dense(self, asked: DataFrame, k: int, mode: str, exact: bool, version: int, live: DataFrame) -> DataFrame:
+        found = self.hits(asked, exact, version)
+        wanted = asked.groupBy("query").agg(F.count("*").alias("n_parts"))
+        order = asked.withColumn("number", F.row_number().over(Window.partitionBy("query").orderBy("part")) - 1)
+        both = found.join(F.broadcast(order), "part").groupBy("query", "id").agg(F.count("*").alias("n"), F.collect_list(F.struct("number", "part", "positions")).alias("held"))
         both = both.join(F.broadcast(wanted), "query").where(F.col("n") == F.col("n_parts") if mode == "all" else F.lit(True))
-        scored = both.join(visible.select("id", lift.alias("lift")), "id").select("query", "id", score.alias("score"), (score * F.col("lift")).alias("lifted"))
-        out = ranking.ranked(scored.select("query", "id", F.col("lifted").alias("score"), F.col("score").alias("plain")), k)
-        return out.select("query", "id", F.col("plain").alias("score"), "rank")
+        score = density(F.col("held"), F.col("n_parts"), mode)
+        scored = both.join(live.where("shown").select("id", "lift"), "id").select("query", "id", score.alias("plain"), (score * F.col("lift")).alias("score"))
+        return ranking.ranked(scored, k).select("query", "id", F.col("plain").alias("score"), "rank")
 
     def dual(self, queries: DataFrame, k: int, where: Column | None = None, many: int = MANY) -> DataFrame:
         """(query, id, score, rank): any part; and where that gives `many` hits, all parts and the phrase; and, for queries that hold an exact token,
@@ -207,6 +238,27 @@ class Index:
         return ranking.ranked(ranking.rrf(lists, DUAL_K).select("query", "id", "score"), k)
 
 
+def _scored(numbers: list[list[int]], idf: np.ndarray, queries: np.ndarray, mean: float, k: int, whole: bool, k1: float, b: float):
+    """Scores of matched chunks for all queries, the best k of each; with `whole` only of queries whose every part is there."""
+    asked, wanted = ranking.Asked(numbers, len(idf)), np.array(list(map(len, numbers)))
+
+    def run(batches):
+        top = ranking.Top(queries, k)
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(3)]
+            for id_, length, lift, parts, tfs in zip(*columns, batch.column(3), batch.column(4)):
+                part, at = np.unique(parts.values.to_numpy(), return_inverse=True)
+                tf = np.bincount(at, tfs.values.to_numpy())
+                plain = asked.sums(part, ranking.bm25_worth(idf[part], tf, length, mean, k1, b))
+                hit = asked.sums(part, np.ones(len(part))) == wanted if whole else plain > 0
+                top.add(id_, plain * lift, hit & (wanted > 0), plain)
+        columns = top.columns()
+        plain = columns[3] if len(columns) > 3 else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(plain)], names=["query", "id", "score", "plain"])
+
+    return run
+
+
 def _each(blocks: DataFrame) -> DataFrame:
     """A row for each chunk of rows of blocks."""
     one = blocks.withColumn("_one", F.explode(F.arrays_zip("ids", "positions"))).drop("ids", "positions")

@@ -42,6 +42,41 @@ def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+class Top:
+    """The best k of each query among scores that come document by document: candidates that reach a query's present k-th score, thinned out when they are
+    many. Memory: a few times queries x k rows and one score for each query, whatever the documents."""
+
+    def __init__(self, queries: np.ndarray, k: int, room: int = 1 << 18):
+        self.queries, self.k, self.room = queries, k, max(room, 2 * k * len(queries))
+        self.least, self.held, self.size = np.full(len(queries), -np.inf), [], 0
+
+    def add(self, id_: int, scores: np.ndarray, hit: np.ndarray, *more: np.ndarray) -> None:
+        """A document's scores of all queries; `more` are values that are handed on."""
+        at = np.flatnonzero(hit & (scores >= self.least))
+        if len(at):
+            self.held.append((at, np.full(len(at), id_), scores[at], *(m[at] for m in more)))
+            self.size += len(at)
+            if self.size > self.room:
+                self._thin()
+
+    def _thin(self) -> tuple:
+        columns = [np.concatenate(c) for c in zip(*self.held)] if self.held else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        order = np.lexsort((columns[1], -np.round(columns[2], SCALE), columns[0]))
+        query = columns[0][order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order = order[place < self.k]
+        columns = [c[order] for c in columns]
+        full = place[place < self.k] == self.k - 1
+        self.least[columns[0][full]] = columns[2][full] - 10.0**-SCALE  # scores are compared as rounded
+        self.held, self.size = [tuple(columns)], len(order)
+        return columns
+
+    def columns(self) -> list[np.ndarray]:
+        """query, id, score and what was handed on, of the best."""
+        query, *rest = self._thin()
+        return [self.queries[query], *rest]
+
+
 class _Best:
     """The best k of each query among blocks of scores."""
 
@@ -87,55 +122,74 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() < cores else rows
 
 
-def _bm25(terms: dict[str, int], held: tuple[np.ndarray, np.ndarray], idf: np.ndarray, queries: np.ndarray, mean: float, k: int, k1: float, b: float):
-    """held: the queries that hold a term, laid end to end, and where each term's begin; idf: inverse document frequencies."""
-    of, starts = held
+class Asked:
+    """Queries by the terms that they hold: for each term the queries, laid end to end."""
+
+    def __init__(self, terms_of: list[list[int]], n_terms: int):
+        pairs = np.array([(t, q) for q, terms in enumerate(terms_of) for t in terms], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        self.of, self.starts, self.n = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(n_terms + 1)), len(terms_of)
+
+    def sums(self, terms: np.ndarray, worth: np.ndarray) -> np.ndarray:
+        """For each query the sum of what its terms are worth."""
+        size = self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(self.starts[terms] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.of[at], np.repeat(worth, size), self.n)
+
 
-    def scores_of(text: str) -> np.ndarray:
-        found = _TOKEN.findall(text.lower())
-        hit = sorted((terms[t], n) for t, n in Counter(found).items() if t in terms)
-        if not hit:
-            return np.zeros(len(queries))
-        term, n = np.array(hit).T
-        size = starts[term + 1] - starts[term]
-        at = np.repeat(starts[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        worth = idf[term] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(found) / mean))
-        return np.bincount(of[at], np.repeat(worth, size), len(queries))
+def bm25_worth(idf: np.ndarray, tf: np.ndarray, length: float, mean: float, k1: float, b: float) -> np.ndarray:
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
+def _counts(terms: dict[str, int]):
+    """How many texts hold each term; at -1 the texts with a token, at -2 their tokens."""
 
     def run(batches):
-        best = _Best(queries, k)
+        df, n, total = np.zeros(len(terms), np.int64), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                scores = np.stack([scores_of(text.as_py() or "") for text in part.column(1)], 1)
-                best.add(part.column(0).to_numpy(zero_copy_only=False), scores, scores > 0)
-        yield best.batch()
+            for text in batch.column(0):
+                found = _TOKEN.findall((text.as_py() or "").lower())
+                n, total = n + bool(found), total + len(found)
+                df[[terms[t] for t in terms.keys() & found]] += 1
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[held, -1, -2]), pa.array(np.r_[df[held], n, total])], names=["term", "n"])
+
+    return run
+
+
+def _bm25(terms: dict[str, int], asked: Asked, idf: np.ndarray, queries: np.ndarray, mean: float, k: int, k1: float, b: float):
+    def run(batches):
+        top = Top(queries, k)
+        for batch in batches:
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = _TOKEN.findall((text.as_py() or "").lower())
+                hit = sorted((terms[t], n) for t, n in Counter(filter(terms.__contains__, found)).items())
+                if hit:
+                    term, tf = np.array(hit).T
+                    scores = asked.sums(term, bm25_worth(idf[term], tf, len(found), mean, k1, b))
+                    top.add(id_, scores, scores > 0)
+        query, ids, scores = top.columns()
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids, pa.int64()), pa.array(scores)], schema=_HITS)
 
     return run
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """Hits of docs(id, text) for each of queries(query, text), searched by any of their distinct tokens."""
+    """Hits of docs(id, text) for each of queries(query, text), searched by any of their distinct tokens (R2, R3, W14). Texts are read twice for each block of
+    queries: for the counts of their terms and for the scores."""
     ship(docs.sparkSession)
-    spark, docs = docs.sparkSession, docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    spark, docs = docs.sparkSession, spread(docs.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")))
     asked = queries.select(F.col("query").cast("long").alias("query"), F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    counted = docs.select(tokens(F.col("text")).alias("terms"))
-    n, mean = counted.where(F.size("terms") > 0).agg(F.count("*"), F.avg(F.size("terms"))).first()
     parts = []
-    for block in _blocks(asked.toLocalIterator(), lambda r: len(r.terms), TERMS_AT_A_TIME) if n else ():
-        wanted = sorted({t for r in block for t in r.terms})
-        place = {t: i for i, t in enumerate(wanted)}
-        asked_for = F.broadcast(spark.createDataFrame([(t,) for t in wanted], "term string"))
-        df = counted.select(F.explode(F.array_distinct("terms")).alias("term")).join(asked_for, "term").groupBy("term").agg(F.count("*").alias("df"))
-        df = {r.term: r.df for r in df.toLocalIterator()}  # a row for each term of the block
-        of = [[] for _ in wanted]
-        for i, r in enumerate(block):
-            for t in r.terms:
-                of[place[t]].append(i)
-        held = np.array([i for x in of for i in x], np.int64), np.cumsum([0, *map(len, of)])
-        idf = np.array([np.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in wanted])
-        found = spread(docs).mapInArrow(_bm25(place, held, idf, np.array([r.query for r in block], np.int64), mean, k, k1, b), _HIT_KINDS)
-        parts.append(found)
+    for block in _blocks(asked.toLocalIterator(), lambda r: len(r.terms), TERMS_AT_A_TIME):
+        place = {t: i for i, t in enumerate(sorted({t for r in block for t in r.terms}))}
+        counts = docs.select("text").mapInArrow(_counts(place), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counts = {r.term: r.n for r in counts.toLocalIterator()}  # a row for each term of the block
+        n, df = counts.get(-1, 0), np.array([counts.get(i, 0) for i in range(len(place))])
+        if n and place:
+            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+            numbered = Asked([[place[t] for t in r.terms] for r in block], len(place))
+            parts.append(docs.mapInArrow(_bm25(place, numbered, idf, np.array([r.query for r in block], np.int64), counts[-2] / n, k, k1, b), _HIT_KINDS))
     return ranked(_union(parts, spark.createDataFrame([], _HIT_KINDS)), k)
 
 
