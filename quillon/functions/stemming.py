@@ -43,14 +43,21 @@ def _double(stem: str) -> bool:
     return len(stem) > 1 and stem[-1] == stem[-2] and _shape(stem)[-1] == "c"
 
 
-def _replaced(word: str, table, least: int) -> str:
+def _by_length(table) -> list[tuple[int, dict[str, str]]]:
+    """A step's suffixes by their lengths, longest first."""
+    return [(n, {s: r for s, r in table if len(s) == n}) for n in sorted({len(s) for s, _ in table}, reverse=True)]
+
+
+_STEPS = ((_by_length(STEP2), 0), (_by_length(STEP3), 0), (_by_length([(s, "") for s in STEP4]), 1))
+
+
+def _replaced(word: str, table: list[tuple[int, dict[str, str]]], least: int) -> str:
     """The word with its longest suffix of the table replaced, if what is before it has a measure over `least`."""
-    fit = [(s, r) for s, r in table if word.endswith(s)]
-    if fit:
-        suffix, other = max(fit, key=lambda x: len(x[0]))
-        stem = word[: -len(suffix)]
-        if _measure(stem) > least and (suffix != "ion" or stem[-1:] in ("s", "t")):
-            return stem + other
+    for n, of in table:
+        other = of.get(word[-n:])
+        if other is not None and len(word) >= n:
+            stem = word[:-n]
+            return stem + other if _measure(stem) > least and (word[-n:] != "ion" or stem[-1:] in ("s", "t")) else word
     return word
 
 
@@ -78,11 +85,17 @@ def _inflected(word: str) -> str:
     return word[:-1] + "i" if word.endswith("y") and "v" in _shape(word[:-1]) else word
 
 
+#: Last characters that no suffix has.
+_NEVER = frozenset("abfhjkopqvwxz0123456789")
+
+
 @lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
-    if not SHORTEST <= len(word) <= LONGEST:
+    if not SHORTEST <= len(word) <= LONGEST or word[-1] in _NEVER:
         return word
-    word = _replaced(_replaced(_replaced(_inflected(word), STEP2, 0), STEP3, 0), [(s, "") for s in STEP4], 1)
+    word = _inflected(word)
+    for table, least in _STEPS:
+        word = _replaced(word, table, least)
     if word.endswith("e"):
         n = _measure(word[:-1])
         if n > 1 or (n == 1 and not _short_end(word[:-1])):

@@ -41,45 +41,36 @@ _POSTING = pa.schema([("stem", pa.string()), ("term", pa.string()), ("ids", pa.l
 _TOKEN = re.compile("[a-z0-9]+")
 
 
-def _lists(values: list[list]) -> np.ndarray:
-    return np.cumsum([0, *map(len, values)], dtype=np.int32)
-
-
-def _block(held: dict[str, tuple[list, list]]) -> pa.RecordBatch:
-    """A row for each term of a block: held has, for each, its chunks' ids and places."""
-    ids, places = [x for x, _ in held.values()], [p for _, each in held.values() for p in each]
-    flat = pa.array(np.fromiter(chain.from_iterable(places), np.int32))
-    inner = pa.ListArray.from_arrays(pa.array(_lists(places)), flat)
-    outer = pa.array(_lists(ids))
-    every = pa.array(np.fromiter(chain.from_iterable(ids), np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(map(stemming.stem, held), pa.string()), pa.array(held, pa.string()), pa.ListArray.from_arrays(outer, every), pa.ListArray.from_arrays(outer, inner)], schema=_POSTING)
+def _block(ids: list[int], tokens: list[list[str]]) -> pa.RecordBatch:
+    """A row for each term of a block of chunks: the chunks' ids, and the term's places in each."""
+    flat, sizes = list(chain.from_iterable(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens))
+    number = {t: k for k, t in enumerate(dict.fromkeys(flat))}
+    term = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+    chunk, place = np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.argsort(term, kind="stable")
+    term, chunk, place = term[order], chunk[order], place[order].astype(np.int32)
+    begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (chunk[1:] != chunk[:-1])])
+    terms = np.searchsorted(term[begins], np.arange(len(number)))
+    places = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(flat)].astype(np.int32)), pa.array(place))
+    outer = pa.array(np.r_[terms, len(begins)].astype(np.int32))
+    found = pa.array(np.array(ids, np.int64)[chunk[begins]])
+    return pa.RecordBatch.from_arrays([pa.array(map(stemming.stem, number), pa.string()), pa.array(number, pa.string()), pa.ListArray.from_arrays(outer, found), pa.ListArray.from_arrays(outer, places)], schema=_POSTING)
 
 
 def _posted(batches):
-    held: dict[str, tuple[list, list]] = {}
-    size = chunks = 0
+    ids, tokens, size = [], [], 0
     for batch in batches:
         for id_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            at: dict[str, list] = {}
             found = _TOKEN.findall((value.as_py() or "").lower())
-            for k, token in enumerate(found):
-                if token in at:
-                    at[token].append(k)
-                else:
-                    at[token] = [k]
-            for term, places in at.items():
-                if term in held:
-                    ids, each = held[term]
-                    ids.append(id_)
-                    each.append(places)
-                else:
-                    held[term] = [id_], [places]
-            size, chunks = size + len(found), chunks + 1
-            if size >= TOKENS or chunks >= BLOCK:
-                yield _block(held)
-                held, size, chunks = {}, 0, 0
-    if held:
-        yield _block(held)
+            if found:
+                ids.append(id_)
+                tokens.append(found)
+                size += len(found)
+            if size >= TOKENS or len(ids) >= BLOCK:
+                yield _block(ids, tokens)
+                ids, tokens, size = [], [], 0
+    if ids:
+        yield _block(ids, tokens)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -102,8 +93,11 @@ class Index:
 
     def upsert(self, chunks: DataFrame) -> int:
         """chunks(id, text, ...) take the place of those with their ids; other columns are attributes that searches can filter by (M17). Rows with a
-        null id are left out; of several with one id, any one is taken."""
-        chunks = chunks.where("id is not null").withColumn("id", F.col("id").cast("long")).dropDuplicates(["id"])
+        null id are left out; of several with one id, any one is taken; texts are only exchanged for ids that stand several times."""
+        chunks = chunks.where("id is not null").withColumn("id", F.col("id").cast("long"))
+        often = chunks.groupBy("id").count().where("count > 1").select("id")
+        if not often.isEmpty():
+            chunks = chunks.join(often, "id", "left_anti").unionByName(chunks.join(often, "id", "left_semi").dropDuplicates(["id"]))
 
         def make(base: int):
             number = base + 1
@@ -176,18 +170,18 @@ class Index:
         return single.union(several).select("part", "id", "length", F.size("positions").alias("tf"), "positions").where("tf > 0")
 
     def _counted(self, parts: list[list[str]], exact: bool, version: int, live: DataFrame) -> DataFrame:
-        """(id, length, live's columns, parts, tfs) of live chunks that hold parts, by the parts' numbers; a number may stand several times. Only numbers and counts
-        are moved; places are where a part has several tokens."""
+        """(id, length, live's columns, held) of live chunks that hold parts: held has a part's number and its count there, as one 64-bit number; a part may
+        stand several times. Nothing else is moved, but for places where a part has several tokens."""
         numbered = self.spark.createDataFrame(list(enumerate(parts)), "number int, part array<string>")
         single = numbered.where("size(part) = 1").select("number", F.col("part")[0].alias("token"))
         found = self._matched(single, exact, version).withColumn("positions", F.transform("positions", F.size))
-        found = _each(found).select("id", "seq", F.struct("number", F.col("positions").alias("tf")).alias("held"))
+        packed = F.shiftleft(F.col("number").cast("long"), 32)
+        found = _each(found).select("id", "seq", (packed + F.col("positions")).alias("held"))
         if any(len(p) > 1 for p in parts):
             several = self.hits(numbered.where("size(part) > 1"), exact, version).join(F.broadcast(numbered), "part").join(live.select("id", F.col("posted").alias("seq")), "id")
-            found = found.union(several.select("id", "seq", F.struct("number", "tf")))
+            found = found.union(several.select("id", "seq", packed + F.col("tf")))
         held = found.groupBy("id", "seq").agg(F.collect_list("held").alias("held"))
-        both = held.join(live.drop("seq").withColumnRenamed("posted", "seq"), ["id", "seq"])
-        return both.select("*", F.col("held.number").alias("parts"), F.col("held.tf").alias("tfs")).drop("held", "seq")
+        return held.join(live.withColumnRenamed("posted", "seq"), ["id", "seq"])
 
     def search(self, queries: DataFrame, k: int, mode: str = "any", exact: bool = False, where: Column | None = None, by: str = "bm25", version: int | None = None, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
         """(query, id, score, rank) of queries(query, text), the first k of each by lifted score (R3, R4, J6, W14). `where` is a condition on the chunks'
@@ -211,10 +205,10 @@ class Index:
             self._counted([list(p) for p in place], exact, version, live).write.option("compression", "zstd").parquet(path)
             matched = self.spark.read.parquet(path)
             df = np.zeros(len(place))
-            for r in matched.select(F.explode(F.array_distinct("parts")).alias("part")).groupBy("part").count().toLocalIterator():  # a row for each part of the block
+            for r in matched.select(F.explode(F.array_distinct(F.transform("held", lambda h: F.shiftright(h, 32)))).alias("part")).groupBy("part").count().toLocalIterator():  # a row for each part of the block
                 df[r.part] = r["count"]
             scored = _scored(numbers, np.log(1 + (n - df + 0.5) / (df + 0.5)), np.array([r.query for r in block], np.int64), total / n, k, mode == "all", k1, b)
-            out.append(matched.where("shown").select("id", "length", "lift", "parts", "tfs").mapInArrow(scored, "query long, id long, score double, plain double"))
+            out.append(matched.where("shown").select("id", "length", "lift", "held").mapInArrow(scored, "query long, id long, score double, plain double"))
         hits = ranking._union(out, self.spark.createDataFrame([], "query long, id long, score double, plain double"))
         return ranking.ranked(hits, k).select("query", "id", F.col("plain").alias("score"), "rank")
 
@@ -246,9 +240,10 @@ def _scored(numbers: list[list[int]], idf: np.ndarray, queries: np.ndarray, mean
         top = ranking.Top(queries, k)
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(3)]
-            for id_, length, lift, parts, tfs in zip(*columns, batch.column(3), batch.column(4)):
-                part, at = np.unique(parts.values.to_numpy(), return_inverse=True)
-                tf = np.bincount(at, tfs.values.to_numpy())
+            for id_, length, lift, held in zip(*columns, batch.column(3)):
+                held = held.values.to_numpy()
+                part, at = np.unique(held >> 32, return_inverse=True)
+                tf = np.bincount(at, held & 0xFFFFFFFF)
                 plain = asked.sums(part, ranking.bm25_worth(idf[part], tf, length, mean, k1, b))
                 hit = asked.sums(part, np.ones(len(part))) == wanted if whole else plain > 0
                 top.add(id_, plain * lift, hit & (wanted > 0), plain)

@@ -16,11 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
-    """All documents; then the English ones again with a note, the shortest deleted, the newswire ones excluded."""
+    """All documents; then the Spanish ones again with a note, the shortest deleted, long German ones excluded."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("namespace"), (F.length("source") / 10).alias("importance"), "lang", "n_chars")
     index = fulltext.Index(spark, scratch.folder(spark, "fulltext"))
     index.upsert(docs)
-    index.upsert(docs.where("lang = 'en'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" Revised editions of "), F.coalesce("namespace", F.lit("")))))
+    index.upsert(docs.where("lang = 'es'").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" Revised editions of "), F.coalesce("namespace", F.lit("")))))
     index.delete(docs.where("n_chars < 60"))
     index.exclude(docs.where("lang = 'de' and n_chars > 5000"))
     return index
@@ -60,8 +60,8 @@ def r2_dual_search(spark, sf_dir):
     return _shown(_index(spark, sf_dir).dual(_items(spark, sf_dir), 10))
 
 
-def m17_index_vocabulary(spark, sf_dir):
-    """Terms that stand in the index after its changes: their stems, chunks and places."""
+def index_vocabulary(spark, sf_dir):
+    """Terms that stand in the index after its changes: their stems, chunks and places."""
     return _index(spark, sf_dir).vocabulary()
 
 
@@ -105,7 +105,7 @@ _WORDS = "list_filter(string_split_regex(lower(x), '[^a-z0-9]+'), lambda y: y <>
 _STOPS = ", ".join(f"'{w}'" for w in fixed.SEARCH_STOP_WORDS)
 _EDGES = fixed.TOKEN_EDGES.replace("'", "''")
 #: What stands after the changes: chunk(id, text, excluded, importance, lang), its words with their places, and how many.
-_CHUNKS = r"""chunk as (select doc_id as id, case when lang = 'en' then coalesce(text, '') || ' Revised editions of ' || coalesce(source, '') else coalesce(text, '') end as x, coalesce(lang = 'de' and n_chars > 5000, false) as excluded, length(source) / 10 as importance, lang
+_CHUNKS = r"""chunk as (select doc_id as id, case when lang = 'es' then coalesce(text, '') || ' Revised editions of ' || coalesce(source, '') else coalesce(text, '') end as x, coalesce(lang = 'de' and n_chars > 5000, false) as excluded, length(source) / 10 as importance, lang
   from documents where not coalesce(n_chars < 60, false)), listed as (select *, {words} as ws from chunk), sized as (select id, excluded, importance, lang, len(ws) as size from listed), total as (select count(*) as n, avg(size) as mean from sized where size > 0),
   word as (select id, unnest(ws) as term, unnest(range(len(ws))) as spot from listed)""".format(words=_WORDS)
 #: Queries' search tokens, cleaned.
@@ -165,12 +165,12 @@ _DUAL = f"""with {_CHUNKS}, {_BY_ITEM}, {_ASKED}, {_PARTS["any"]}, {_PARTS["all"
   run as (select * from lists where list = 'a' or (list in ('b', 'c') and query in (select query from (select query, count(*) as n from lists where list = 'a' group by query) where n >= 200)) or (list = 'e' and query in (select query from asked where regexp_matches(x, '{_EXACT}')))),
   hit as (select query, id, sum(1 / (20 + rank)) as score, sum(1 / (20 + rank)) as lifted from run group by query, id) {_ranked("hit", 10)}"""
 
-QUERIES = {f.__name__: f for f in (r3_stemmed_search, r3_exact_search, r4_cover_density, r4_phrases, r2_dual_search, m17_index_vocabulary)}
+QUERIES = {f.__name__: f for f in (r3_stemmed_search, r3_exact_search, r4_cover_density, r4_phrases, r2_dual_search, index_vocabulary)}
 ORACLES = {
     "r3_stemmed_search": _search(_BY_ITEM, "any", False),
     "r3_exact_search": _search(_BY_ITEM, "any", True, "lang = 'en'"),
     "r4_cover_density": _DENSITY,
     "r4_phrases": _search(_BY_SENTENCE, "phrase", False),
     "r2_dual_search": _DUAL,
-    "m17_index_vocabulary": f"with {_CHUNKS}, {_stem_of('word')} select term, stem, count(distinct id) as chunks, count(*) as places from word join stems using (term) group by term, stem",
+    "index_vocabulary": f"with {_CHUNKS}, {_stem_of('word')} select term, stem, count(distinct id) as chunks, count(*) as places from word join stems using (term) group by term, stem",
 }
