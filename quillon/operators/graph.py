@@ -57,15 +57,16 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 1, most: int = MOST_
 
 def with_graph(hits: DataFrame, items: DataFrame, weight: float = GRAPH_WEIGHT, most: int = MOST_SYNTHETIC) -> DataFrame:
     """hits(query, id, file, score, rank) moved by items(query, file, text): each item of a hit's file lifts the file's first hit by half the
-    weight; items of no hit's file become hits without an id, texts told apart by 80 characters, the first `most` (J26). Gives (query, id, file, score, text)."""
+    weight, and their first 300 characters are its context, in order of text; items of no hit's file become hits without an id, texts told apart by 80 characters, the
+    first `most` (J26). Gives (query, id, file, score, text, context)."""
     items = items.where(F.col("text") != "")
     first = hits.groupBy("query", "file").agg(F.min("rank").alias("rank"))
-    lifted = items.join(first, ["query", "file"]).groupBy("query", "file", "rank").agg(F.count("*").alias("n"))
+    lifted = items.join(first, ["query", "file"]).groupBy("query", "file", "rank").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.substring("text", 1, 300))).alias("context"))
     moved = hits.join(lifted, ["query", "file", "rank"], "left").withColumn("score", F.col("score") + F.coalesce("n", F.lit(0)) * weight * 0.5)
     others = items.join(first, ["query", "file"], "left_anti").groupBy("query", F.substring("text", 1, 80).alias("head")).agg(F.min(F.struct("text", "file")).alias("x"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("head"))
-    made = others.withColumn("place", place).where(F.col("place") <= most).select("query", F.lit(None).cast(hits.schema["id"].dataType).alias("id"), "x.file", F.lit(weight).alias("score"), F.substring("x.text", 1, 500).alias("text"))
-    return moved.select("query", "id", "file", "score", F.lit(None).cast("string").alias("text")).union(made)
+    made = others.withColumn("place", place).where(F.col("place") <= most).select("query", F.lit(None).cast(hits.schema["id"].dataType).alias("id"), "x.file", F.lit(weight).alias("score"), F.substring("x.text", 1, 500).alias("text"), F.array().cast("array<string>").alias("context"))
+    return moved.select("query", "id", "file", "score", F.lit(None).cast("string").alias("text"), F.coalesce("context", F.array().cast("array<string>")).alias("context")).union(made)
 
 
 def lineage(edges: list[DataFrame], most: int = MOST_EDGES) -> DataFrame:

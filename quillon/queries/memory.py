@@ -38,10 +38,13 @@ def j25_ngram_entities(spark, sf_dir):
 
 
 def j26_graph_hits(spark, sf_dir):
+    """Of each hundred documents the even ones are a query's hits and the odd ones what the graph gives, half of these from another file."""
     docs = _table(spark, sf_dir, "documents")
-    hits = docs.where("doc_id % 100 < 20").select(F.floor(F.col("doc_id") / 100).alias("query"), F.col("doc_id").alias("id"), F.col("source").alias("file"), (1 - F.col("doc_id") % 100 / 100).alias("score"), (F.col("doc_id") % 100 + 1).alias("rank"))
-    items = docs.where("doc_id % 100 >= 70").select(F.floor(F.col("doc_id") / 100).alias("query"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.lit("other.md")).alias("file"), F.substring("text", 1, 600).alias("text"))
-    return graph.with_graph(hits, items).select("query", F.coalesce("id", F.lit(-1)).alias("id"), "file", F.round("score", 6).alias("score"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"))
+    query = F.floor(F.col("doc_id") / 100).alias("query")
+    hits = docs.where("doc_id % 2 = 0").select(query, F.col("doc_id").alias("id"), F.col("source").alias("file"), (1 - F.col("doc_id") % 100 / 100).alias("score"), (F.col("doc_id") % 100 + 1).alias("rank"))
+    items = docs.where("doc_id % 2 = 1").select(query, F.when(F.col("doc_id") % 4 == 1, F.col("source")).otherwise(F.lit("other.md")).alias("file"), "text")
+    shown = [F.sha2(c, 256).alias(n) for n, c in (("text", F.coalesce("text", F.lit(""))), ("context", F.array_join("context", "|")))]
+    return graph.with_graph(hits, items).select("query", F.coalesce("id", F.lit(-1)).alias("id"), "file", F.round("score", 6).alias("score"), *shown)
 
 
 def z4_lineage(spark, sf_dir):
@@ -123,7 +126,7 @@ def t1_outbox_cycle(spark, sf_dir):
 def a34_bootstrap(spark, sf_dir):
     """Intervals of documents' quality by source, from hashes of rows; see the tests for what holds of them."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return memory.bootstrap(docs.select("doc_id", "source").distinct().join(labels.dropDuplicates(["doc_id"]), "doc_id").select(F.coalesce("source", F.lit("")).alias("key"), F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("value")), rounds=200)
+    return memory.bootstrap(docs.select("doc_id", "source").distinct().join(labels.dropDuplicates(["doc_id"]), "doc_id").select(F.coalesce("source", F.lit("")).alias("key"), F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("value")))
 
 
 QUERIES = {f.__name__: f for f in (j24_two_hop, j25_ngram_entities, j26_graph_hits, z4_lineage, z6_replay, m1_entity_upsert, j19_supersede_overlap, m10_resolutions, m9_forget_candidates, m15_cascade_delete, z10_ttl_invalidation, m13_merge_memories, m12_reflect_outcome, z13_session_summary, t1_outbox_cycle, a34_bootstrap)}
@@ -141,13 +144,13 @@ ORACLES = {
       p as (select * from ph where length(phrase) >= 2 and not (n = 1 and phrase in ({_STOP}))), e as (select p_partkey as id, lower(p_name || ' ' || p_size) as name, count(*) as mentions from part join lineitem on p_partkey = l_partkey where l_quantity > 45 group by all),
       f as (select phrase, id, name, mentions, row_number() over (partition by phrase order by mentions desc, id) as place from (select distinct phrase from p) join e on contains(name, phrase))
       select distinct query, id from p join f on p.phrase = f.phrase where place <= 3 and (n > 1 or mentions <= 20 or name = p.phrase)""",
-    "j26_graph_hits": """with h as (select doc_id // 100 as query, doc_id as id, source as file, 1 - (doc_id % 100) / 100 as score, doc_id % 100 + 1 as rank from documents where doc_id % 100 < 20),
-      i as (select doc_id // 100 as query, case when doc_id % 2 = 0 then source else 'other.md' end as file, substr(text, 1, 600) as text from documents where doc_id % 100 >= 70 and text <> ''),
-      f as (select *, row_number() over (partition by query, file order by rank) as nth from h), n as (select query, file, count(*) as n from i group by all),
-      m as (select f.query, id, f.file, score + case when nth = 1 then coalesce(n, 0) * 0.15 else 0 end as score, '' as text from f left join n on f.query = n.query and f.file is not distinct from n.file),
+    "j26_graph_hits": """with h as (select doc_id // 100 as query, doc_id as id, source as file, 1 - (doc_id % 100) / 100 as score, doc_id % 100 + 1 as rank from documents where doc_id % 2 = 0),
+      i as (select doc_id // 100 as query, case when doc_id % 4 = 1 then source else 'other.md' end as file, text from documents where doc_id % 2 = 1 and text <> ''),
+      f as (select *, row_number() over (partition by query, file order by rank) as nth from h), n as (select query, file, count(*) as n, string_agg(substr(text, 1, 300), '|' order by substr(text, 1, 300)) as context from i group by all),
+      m as (select f.query, id, f.file, score + case when nth = 1 then coalesce(n, 0) * 0.15 else 0 end as score, '' as text, case when nth = 1 then coalesce(context, '') else '' end as context from f left join n on f.query = n.query and f.file = n.file),
       s as (select query, substr(text, 1, 80) as head, min({'a': text, 'b': file}) as x from i where not exists (select 1 from h where h.query = i.query and h.file = i.file) group by all),
       k as (select *, row_number() over (partition by query order by head) as place from s)
-      select query, id, file, round(score, 6) as score, sha256(text) as text from m union all select query, -1, x.b, 0.3, sha256(substr(x.a, 1, 500)) from k where place <= 20""",
+      select query, id, file, round(score, 6) as score, sha256(text) as text, sha256(context) as context from m union all select query, -1, x.b, 0.3, sha256(substr(x.a, 1, 500)), sha256('') from k where place <= 20""",
     "z4_lineage": """with e as (select cast(json_extract_string(props, '$.k') as bigint) as memory, case when event_type in ('signup', 'purchase') then 'version' when event_type in ('error', 'click') then 'audit' when event_type = 'view' then 'retrieval' end as kind, event_id, ts from events)
       select memory, least(count(*), 200) as edge_count, (select string_agg(distinct k.kind, ',' order by k.kind) from (select kind, row_number() over (order by ts desc, kind, event_id) as rn from e x where x.memory = e.memory and kind is not null) k where rn <= 200) as sources, epoch_us(max(ts)) as newest from e where kind is not null group by memory""",
     "z6_replay": """with recursive s as (select o_orderkey as id, o_custkey, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as before, max(o_orderkey) over (partition by o_custkey) as last, count(*) over (partition by o_custkey) as n from orders),

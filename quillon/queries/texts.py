@@ -50,12 +50,12 @@ def _note():
     head = F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 6 + 1).cast("int"))
     marked = F.concat(F.lit("**Prod-"), F.col("source"), F.lit("** and `db.main` and `"), F.col("source"), F.lit(".yaml` on web-0"), (F.col("doc_id") % 7).cast("string"), F.lit("-eu at 10.0."), (F.col("doc_id") % 9).cast("string"), F.lit(".1, **TODO**, `DB.main`\n"))
     body = F.when(F.col("doc_id") % 4 == 0, F.lit("We decided it. Deployed, fixed; turns out it cannot. Actually fixed.\n")).otherwise(F.lit(""))
-    return F.concat(F.lit("# "), head, F.lit("\n"), marked, body, F.substring("text", 1, 300))
+    return F.concat(F.lit("# "), head, F.lit("\n"), marked, body, F.col("text"))
 
 
 NOTE_SQL = """'# ' || list_extract(['Decisions', 'Lessons learned', 'Constraints', 'Observations', 'Fixes', 'Plain'], doc_id % 6 + 1) || chr(10)
   || '**Prod-' || source || '** and `db.main` and `' || source || '.yaml` on web-0' || (doc_id % 7) || '-eu at 10.0.' || (doc_id % 9) || '.1, **TODO**, `DB.main`' || chr(10)
-  || case when doc_id % 4 = 0 then 'We decided it. Deployed, fixed; turns out it cannot. Actually fixed.' || chr(10) else '' end || substr(text, 1, 300)"""
+  || case when doc_id % 4 = 0 then 'We decided it. Deployed, fixed; turns out it cannot. Actually fixed.' || chr(10) else '' end || text"""
 
 
 def notes(spark, sf_dir):
@@ -107,8 +107,8 @@ def d4_temporal_intent(spark, sf_dir):
 def f33_paths_and_fences(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/data/memories/"), F.col("lang"), F.lit("/agents/"), F.col("source"), F.lit("/a.md"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("memories/"), F.col("source"))).otherwise(F.lit("notes/a.md"))
-    fenced = F.concat(F.lit(" ```json\n"), F.substring("text", 1, 40), F.lit("\n``` "))
-    return docs.select("doc_id", text.agent_of_path(path).alias("agent"), text.without_fences(F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.substring("text", 1, 40))).alias("body"))
+    fenced = F.concat(F.lit(" ```json\n"), F.col("text"), F.lit("\n``` "))
+    return docs.select("doc_id", text.agent_of_path(path).alias("agent"), text.without_fences(F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.col("text"))).alias("body"))
 
 
 def f38_safe_labels(spark, sf_dir):
@@ -200,7 +200,7 @@ ORACLES = {
       r as (select *, row_number() over (partition by o_orderkey order by n desc, place) as rank from v) select o_orderkey, coalesce(string_agg(label, ',' order by rank) filter (where n >= 2 and rank <= 2), '') as topics, coalesce(max(label) filter (where rank = 1 and n > 0), '') as query_topic from r group by o_orderkey""",
     "f23_query_kind": f"""with n as (select o_orderkey, {_TOPICAL} as note from orders), b as (select o_orderkey, {_least('type', _KINDS)}, {_least('sub', [(s, n) for _, s, n in _KIND_HITS])} from n)
       select o_orderkey, type, case when (type, sub) in ({', '.join(f"('{k}', '{s}')" for k, s, _ in fixed.QUERY_KINDS)}) then sub else '' end as subcategory from b""",
-    "f33_paths_and_fences": """select doc_id, case when doc_id % 3 < 2 then source else '' end as agent, case when doc_id % 2 = 0 then trim(regexp_replace(substr(text, 1, 40), '^\\s+$', ''), ' ' || chr(10)) else trim(substr(text, 1, 40), ' ' || chr(10)) end as body from documents""",
+    "f33_paths_and_fences": """select doc_id, case when doc_id % 3 < 2 then source else '' end as agent, case when doc_id % 2 = 0 then trim(regexp_replace(text, '^\\s+$', ''), ' ' || chr(10)) else trim(text, ' ' || chr(10)) end as body from documents""",
     "f38_safe_labels": "select c_custkey, substr(regexp_replace(c_name || '/' || c_mktsegment, '[^A-Za-z0-9_-]', '_', 'g'), 1, 48) as label from customer",
     "p11_safe_provenance": """select doc_id, array_to_string(list_filter(['agent_id=' || nullif(lang, ''), case when doc_id % 2 = 0 then 'date=2024-01-01' end, 'source=' || nullif(source, '')], lambda x: x is not null), ',') as shown from documents""",
 }
