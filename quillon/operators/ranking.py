@@ -289,15 +289,16 @@ def search(
 
     docs(id, text, agent, age_days, importance), vectors(id, vector), queries(query, text, vector, own). Gives (query, id, score, place, rescued).
     """
-    lexical = bm25_topk(docs, queries, coarse)
+    # rankings of queries x coarse rows, which several steps read
+    lexical = bm25_topk(docs, queries, coarse).persist()
     vector = cosine_topk(vectors.join(docs.select("id"), "id", "left_semi"), queries, coarse)
     fused = fuse(vector, lexical, coarse)
     about = docs.select("id", "agent", "age_days", "importance")
     scored = fused.join(about, "id").withColumn("score", decay(F.col("score"), F.col("age_days"), half_life) * (1 + 0.3 * (F.coalesce("importance", F.lit(0.5)) - 0.5)))
-    scored = ranked(scored.select("query", "id", "score"))
+    scored = ranked(scored.select("query", "id", "score")).persist()
     limits = dynamic_threshold(scored, static)
-    kept = scored.join(limits, "query").where((F.col("score") >= F.col("threshold")) | (F.col("rank") <= ALWAYS))
-    saved = rescue(kept, lexical).join(limits, "query").select("query", "id", F.col("threshold").alias("score"), F.lit(True).alias("rescued"))
+    kept = scored.join(limits, "query").where((F.col("score") >= F.col("threshold")) | (F.col("rank") <= ALWAYS)).persist()
+    saved = rescue(kept, lexical).join(limits, "query").select("query", "id", F.col("threshold").alias("score"), F.lit(True).alias("rescued")).persist()
     merged = merge_keep_top(kept.select("query", "id", "score", "rank"), saved.select("query", "id", "score"))
     out = merged.join(saved.select("query", "id", "rescued"), ["query", "id"], "left").join(about.select("id", "agent"), "id")
     return agent_cap(out).where(F.col("place") <= k).select("query", "id", "score", "place", F.coalesce("rescued", F.lit(False)).alias("rescued"))

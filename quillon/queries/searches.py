@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..functions import fixed
 from ..functions.stemming import STEP2, STEP3, STEP4
-from ..operators import fulltext
+from ..operators import fulltext, ordered, ranking
+from ..plans import retrieval
+from ..plans.dialect import duck_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,3 +176,45 @@ ORACLES = {
     "r2_dual_search": _DUAL,
     "index_vocabulary": f"with {_CHUNKS}, {_stem_of('word')} select term, stem, count(distinct id) as chunks, count(*) as places from word join stems using (term) group by term, stem",
 }
+
+
+#: The search path over documents with vectors: agents are sources, ages and importances fields that vary; budget of a context in tokens.
+BUDGET, SHOWN = 2_000, 20
+
+
+def r12_search(spark, sf_dir):
+    """The whole path (R12, R13, R20): both rankings fused, aged, lifted, cut, rescued, capped, and packed into the budget in order of place."""
+    docs = _table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("id"), "text", F.coalesce("source", F.lit("")).alias("agent"), (F.col("n_chars") % 45).cast("double").alias("age_days"), (F.col("n_chars") % 11 / 10).alias("importance"))
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = _items(spark, sf_dir).join(vectors.withColumnRenamed("id", "query"), "query", "left").withColumn("own", F.col("query"))
+    hits = ranking.search(chunks, vectors, asked, SHOWN).join(docs.select(F.col("doc_id").alias("id"), F.greatest(F.lit(1), F.floor(F.length("text") / 4)).alias("tokens")), "id")
+    packed = ordered.pack_greedy(hits.select("query", F.col("place").alias("rank"), "id", "tokens"), BUDGET)
+    return hits.join(packed.select("query", "id", "packed"), ["query", "id"]).select("query", "id", F.round("score", 5).alias("score"), "place", "rescued", "packed")
+
+
+_BOTH = duck_text(f"{retrieval.BM25}, {retrieval.COSINE}")
+_SEARCH_PATH = f"""with recursive {_BOTH}, lex as (select item_id, doc_id, score, rn from lexical where rn <= 64),
+  near as (select item_id, doc_id, score, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rn from cos where doc_id in (select doc_id from documents)), vec as (select * from near where rn <= 64),
+  every as (select item_id, doc_id, rn from lex union all select item_id, doc_id, rn from vec), r as (select item_id, doc_id, sum(cast(1 as double) / (20 + rn)) as rrf from every group by all),
+  k as (select r.item_id, count(vec.doc_id) as nv, count(lex.doc_id) as nl from r left join vec on vec.item_id = r.item_id and vec.doc_id = r.doc_id left join lex on lex.item_id = r.item_id and lex.doc_id = r.doc_id group by r.item_id),
+  f as (select r.item_id, r.doc_id, case when nl = 0 then v.score when nv = 0 then l.score * 0.3 when v.rn <= 8 then greatest(rrf, v.score + 0.5) else rrf end as score
+    from r join k using (item_id) left join vec v on v.item_id = r.item_id and v.doc_id = r.doc_id left join lex l on l.item_id = r.item_id and l.doc_id = r.doc_id),
+  fused as (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rn from f),
+  aged as (select item_id, doc_id, coalesce(source, '') as agent, score * exp(-ln(2.0) * (n_chars % 45) / 30) * (1 + 0.3 * (n_chars % 11 / 10 - 0.5)) as score from fused join documents using (doc_id) where rn <= 64),
+  ranked as (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rn from aged),
+  s as (select item_id, count(*) as n, max(score) as top, median(score) as med, stddev_samp(score) as sd from ranked group by item_id),
+  t as (select item_id, case when n < 4 then least(0.4, top * 0.55) else least(0.4, greatest(0.25, top * 0.55, case when sd = 0 then med * 0.5 else med - 1.5 * sd end)) end as threshold from s),
+  kept as (select ranked.*, threshold from ranked join t using (item_id) where score >= threshold or rn <= 3),
+  good as (select lex.item_id, lex.doc_id, row_number() over (partition by lex.item_id order by round(lex.score, 6) desc, lex.doc_id) as nth from lex where lex.score >= 0.6 * (select max(score) from lex x where x.item_id = lex.item_id)
+    and not exists (select 1 from kept where kept.item_id = lex.item_id and kept.doc_id = lex.doc_id)),
+  merged as (select item_id, doc_id, score, false as rescued from kept union all select item_id, doc_id, threshold, true from good join t using (item_id) where nth <= 3),
+  placed as (select item_id, doc_id, score, rescued, coalesce(source, '') as agent, greatest(1, length(text) // 4) as tokens, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rn from merged join documents using (doc_id)),
+  c as (select *, row_number() over (partition by item_id, agent order by rn) as of_agent, greatest(1, floor(count(*) over (partition by item_id) * 0.6)) as cap from placed),
+  o as (select *, row_number() over (partition by item_id order by case when of_agent > cap then 1 else 0 end, rn) as place from c),
+  walk as (select item_id, cast(0 as bigint) as place, cast(0 as bigint) as used, cast(0 as bigint) as n, false as packed from (select distinct item_id from o)
+    union all select w.item_id, o.place, case when used + tokens <= {BUDGET} or n < 3 then used + tokens else used end, case when used + tokens <= {BUDGET} or n < 3 then n + 1 else n + 1 end, used + tokens <= {BUDGET} or n < 3
+    from walk w join o on o.item_id = w.item_id and o.place = w.place + 1 where o.place <= {SHOWN})
+  select o.item_id as query, doc_id as id, round(score, 5) as score, o.place, rescued, packed from o join walk w on w.item_id = o.item_id and w.place = o.place"""
+QUERIES["r12_search"] = r12_search
+ORACLES["r12_search"] = _SEARCH_PATH
