@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..ship import ship
 
@@ -23,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(cores) if 2 * docs.rdd.getNumPartitions() < cores else docs
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """mapInArrow with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

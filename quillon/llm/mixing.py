@@ -123,7 +123,7 @@ def mixed_texts(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, blo
     beyond that, if any; a block taken in part counts if half of it or more is."""
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    held = docs.select(F.struct(*names).alias("_doc"), _draw(F.col("doc_id"), text), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), F.monotonically_increasing_id().alias("_id"))
+    held = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in names]).alias("_doc"), _draw(F.col("doc_id"), text), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_size"), F.monotonically_increasing_id().alias("_id"))
     held = scratch(held, "mixed")
     rows = held.select(F.col("_id").alias("row"), "draw", F.col("_doc.source").cast("string").alias("source"), F.col("_size").alias("size"))
     cut = blocks_taken(rows, weights, most, block, shard, seed)

@@ -54,7 +54,7 @@ def measures(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
         "host",
-        F.xxhash64("text", F.crc32(F.col("text").cast("binary"))).alias("content"),
+        F.unhex(F.md5("text")).alias("content"),
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),

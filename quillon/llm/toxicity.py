@@ -8,7 +8,7 @@ The classifier is fit on at most MOST_LABELLED labelled rows, taken in hash orde
 crc32(doc_id) mod 5 other than 0; scores are given to all rows by one pass without an exchange.
 
 Defined results: null or empty text has the score of a text without known features; repeated rows score alike; labels
-that are null, or rows without a document, are not learnt from; without both classes every score is the share of
+that are null, a doc_id whose labels differ, or rows without a document, are not learnt from; of a doc_id's rows one is, whichever has the least features; without both classes every score is the share of
 toxic labels, 0 if there are none; an empty table gives no rows; other columns are ignored. Language, source, doc_id and
 labels are no inputs.
 """
@@ -72,17 +72,17 @@ def swapped(found: list[bytes]) -> list[bytes] | None:
     return [_SWAPS[w][k % len(_SWAPS[w])] if w in _SWAPS else w for k, w in enumerate(found)]
 
 
-_ROW = pa.schema([("toxic", pa.int32()), ("present", pa.binary()), ("other", pa.binary())])
+_ROW = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("present", pa.binary()), ("other", pa.binary())])
 
 
 def _read(batches):
     for batch in batches:
         out = []
-        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+        for doc, text, toxic in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("toxic").to_pylist()):
             found = words(text.as_py() or "")
             other = swapped(found)
-            out.append((toxic, np.unique(features(found)).tobytes(), None if other is None else np.unique(features(other)).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * 3, _ROW)], schema=_ROW)
+            out.append((doc, toxic, np.unique(features(found)).tobytes(), None if other is None else np.unique(features(other)).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [[]] * len(_ROW), _ROW)], schema=_ROW)
 
 
 def _dense(rows: list[np.ndarray], column: np.ndarray, n: int) -> np.ndarray:
@@ -129,10 +129,12 @@ def fit(rows) -> tuple[float, np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[float, np.ndarray, np.ndarray]:
     """Fit on at most `most` rows of labels(doc_id, toxic) that aren't held out. Their ids, so many at most, are broadcast to the texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).dropDuplicates(["doc_id"])
+    known = known.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = map_arrow(texts.join(F.broadcast(known), "doc_id").select("text", "toxic"), _read, "toxic int, present binary, other binary")
+    read = map_arrow(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"), _read, "doc_id long, toxic int, present binary, other binary")
+    sample = read.groupBy("doc_id").agg(F.min(F.struct("toxic", "present", "other")).alias("row")).select("row.*")  # one row a doc_id, so `most` at most
     rows = [(r.toxic, np.frombuffer(r.present, np.int32), None if r.other is None else np.frombuffer(r.other, np.int32)) for r in sample.toLocalIterator(prefetchPartitions=True)]
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))  # the same sums whatever the order of partitions
     return fit(rows)

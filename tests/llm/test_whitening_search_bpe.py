@@ -224,3 +224,37 @@ def test_merges_that_interact():
         return symbols
 
     assert ids.tolist() == queue([0, 1, 2, 0, 1, 2]) + queue([0, 1]) and counts.tolist() == [len(queue([0, 1, 2, 0, 1, 2])), 2]
+
+
+def test_stages_keep_columns_of_any_name(spark, small):
+    """Names with spaces, dots and quotes, maps, and a doc_id with several texts."""
+    from quillon.llm import stages
+
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, words, "en", "a", 10, {"k": 1}, "x"), (2, words + " w60", "en", "a", 10, {"k": 2}, "y"), (2, "other text of five words more", "en", "a", 10, None, "z"), (2, "other text of five words more", "en", "a", 10, None, "a"), (None, words, "en", None, 10, None, "n"), (3, None, "en", "b", 0, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `my col` map<string,int>, `a.b``c` string")
+    for stage in (stages.drop_toxic, stages.drop_near_copies, stages.mask_secrets, stages.mix_sources):
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+        assert out.count() > 0 and stage(spark, docs.limit(0), small).count() == 0
+    kept = sorted((tuple(r) for r in stages.drop_near_copies(spark, docs, small).collect()), key=repr)
+    assert kept == sorted([tuple(rows[0]), (*rows[3][:6], "a"), tuple(rows[4]), tuple(rows[5])], key=repr)
+    assert stages.pack_sequences(spark, docs, small).count() == 6
+
+
+def test_toxicity_bound_holds(spark):
+    """Repeated rows and doc_ids with two labels do not raise what is gathered."""
+    from quillon.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"text number {i} with words {'bad' if i % 2 else 'good'} word", k) for i in range(60) for k in range(9)], "doc_id long, text string, k int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, 0), (7, 0), (9, None)], "doc_id long, toxic int")
+    seen, fit = [], toxicity.fit
+    try:
+        toxicity.fit = lambda rows: seen.append(rows) or fit(rows)
+        model = toxicity.train(docs, labels, 20)
+        every = toxicity.train(docs, labels)
+    finally:
+        toxicity.fit = fit
+    assert len(seen[0]) == 20 and len(model[1]) and len(every[1])
+    held = {i for i in range(60) if __import__("zlib").crc32(str(i).encode()) % 5}
+    assert len(seen[1]) == len(held - {5, 7})
