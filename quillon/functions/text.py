@@ -110,6 +110,16 @@ def letter_word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(matches(F.lower(text), "[a-z0-9_]+"), lambda x: F.char_length(x) > 2))
 
 
+def tip_tokens(text: Column) -> Column:
+    """Lower-cased runs of two or more letters, digits and underscores, repeats included, that tell something of a task."""
+    return F.filter(matches(F.lower(_some(text)), "[a-z0-9_]{2,}"), lambda x: ~F.array_contains(_strings(*fixed.TIP_STOP_WORDS), x))
+
+
+def task_fingerprint(text: Column) -> Column:
+    """The same for tasks that differ in case and white space only."""
+    return F.substring(F.sha2(F.array_join(blank_parts(F.lower(_some(text))), " "), 256), 1, 16)
+
+
 def headings(text: Column) -> Column:
     return F.transform(matches(text, fixed.HEADING, 1), lambda x: F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", ""))
 

@@ -35,14 +35,16 @@ DENSITY_SCALE, WORD_WEIGHT = 32, 0.1
 MANY, DUAL_K = 200, 20
 #: Distinct tokens of queries up to which they are broadcast to the postings; and whose hashes are sent down to the scan.
 BROADCAST_TOKENS, PUSHED_TOKENS = 100_000, 2_000
+#: Replaced or deleted chunks up to which they are broadcast.
+BROADCAST_DEAD = 1_000_000
 #: Tokens of a block of chunks, and chunks of one at most.
 TOKENS, BLOCK = 1_000_000, 4_096
-_POSTING = pa.schema([("stem", pa.string()), ("term", pa.string()), ("ids", pa.list_(pa.int64())), ("positions", pa.list_(pa.list_(pa.int32())))])
+_POSTING = pa.schema([("stem", pa.string()), ("term", pa.string()), ("ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())), ("positions", pa.list_(pa.list_(pa.int32())))])
 _TOKEN = re.compile("[a-z0-9]+")
 
 
 def _block(ids: list[int], tokens: list[list[str]]) -> pa.RecordBatch:
-    """A row for each term of a block of chunks: the chunks' ids, and the term's places in each."""
+    """A row for each term of a block of chunks: the chunks' ids, how often each holds it, and where."""
     flat, sizes = list(chain.from_iterable(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens))
     number = {t: k for k, t in enumerate(dict.fromkeys(flat))}
     term = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
@@ -51,10 +53,11 @@ def _block(ids: list[int], tokens: list[list[str]]) -> pa.RecordBatch:
     term, chunk, place = term[order], chunk[order], place[order].astype(np.int32)
     begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (chunk[1:] != chunk[:-1])])
     terms = np.searchsorted(term[begins], np.arange(len(number)))
-    places = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(flat)].astype(np.int32)), pa.array(place))
+    ends = np.r_[begins, len(flat)].astype(np.int32)
+    places, tfs = pa.ListArray.from_arrays(pa.array(ends), pa.array(place)), pa.array(np.diff(ends))
     outer = pa.array(np.r_[terms, len(begins)].astype(np.int32))
     found = pa.array(np.array(ids, np.int64)[chunk[begins]])
-    return pa.RecordBatch.from_arrays([pa.array(map(stemming.stem, number), pa.string()), pa.array(number, pa.string()), pa.ListArray.from_arrays(outer, found), pa.ListArray.from_arrays(outer, places)], schema=_POSTING)
+    return pa.RecordBatch.from_arrays([pa.array(map(stemming.stem, number), pa.string()), pa.array(number, pa.string()), pa.ListArray.from_arrays(outer, found), pa.ListArray.from_arrays(outer, tfs), pa.ListArray.from_arrays(outer, places)], schema=_POSTING)
 
 
 def _posted(batches):
@@ -74,10 +77,10 @@ def _posted(batches):
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(hash, stem, term, ids, positions) of chunks(id, text), made and sorted where they are read."""
+    """(hash, stem, term, ids, tfs, positions) of chunks(id, text), made and sorted where they are read."""
     ship(chunks.sparkSession)
     texts = chunks.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_posted, "stem string, term string, ids array<bigint>, positions array<array<int>>")
+    found = texts.mapInArrow(_posted, "stem string, term string, ids array<bigint>, tfs array<int>, positions array<array<int>>")
     return found.select(F.hash("stem").alias("hash"), "*").sortWithinPartitions("hash", "term")
 
 
@@ -129,16 +132,18 @@ class Index:
         one = _each(self.commits.read("postings", base)).join(live.select("id", F.col("posted").alias("seq")), ["id", "seq"], "left_semi")
         block = F.pmod(F.hash("id"), F.lit(1 + live.count() // BLOCK))
         both = one.groupBy("hash", "stem", "term", "seq", block).agg(F.array_sort(F.collect_list(F.struct("id", "positions"))).alias("b"))
-        held = both.select("hash", "stem", "term", F.col("b.id").alias("ids"), F.col("b.positions").alias("positions"), "seq").sortWithinPartitions("hash", "term")
+        held = both.select("hash", "stem", "term", F.col("b.id").alias("ids"), F.transform("b.positions", F.size).alias("tfs"), F.col("b.positions").alias("positions"), "seq").sortWithinPartitions("hash", "term")
         tables = {"chunks": live, "postings": held}
         names = {t: self.commits.read(t, base).columns for t in tables}
         return self.commits.commit(base, {t: rows.select(*names[t]) for t, rows in tables.items()}, whole=tuple(tables))
 
     def vocabulary(self, version: int | None = None) -> DataFrame:
         """(term, stem, chunks, places) of all terms of live chunks."""
-        live = self._live(version).select("id", F.col("posted").alias("seq"))
-        one = _each(self.commits.read("postings", version).withColumn("positions", F.transform("positions", F.size))).join(live, ["id", "seq"])
-        return one.groupBy("term", "stem").agg(F.count("*").alias("chunks"), F.sum("positions").alias("places"))
+        every = self.commits.read("chunks", version).where("posted = seq and not gone").select("id", "seq")
+        dead = every.join(self._live(version).select("id", F.col("posted").alias("seq")), ["id", "seq"], "left_anti")  # replaced or deleted since
+        dead = F.broadcast(dead) if dead.count() <= BROADCAST_DEAD else dead
+        one = _each(self.commits.read("postings", version), "tfs").join(dead, ["id", "seq"], "left_anti")
+        return one.groupBy("term", "stem").agg(F.count("*").alias("chunks"), F.sum("tfs").alias("places"))
 
     def _matched(self, tokens: DataFrame, exact: bool, version: int) -> DataFrame:
         """Rows of postings with the terms of tokens(token, ...), and its columns."""
@@ -175,12 +180,12 @@ class Index:
         numbered = self.spark.createDataFrame(list(enumerate(parts)), "number int, part array<string>")
         single = numbered.where("size(part) = 1").select("number", F.col("part")[0].alias("token"))
         found = self._matched(single, exact, version).withColumn("positions", F.transform("positions", F.size))
-        packed = F.shiftleft(F.col("number").cast("long"), 32)
-        found = _each(found).select("id", "seq", (packed + F.col("positions")).alias("held"))
+        ship(self.spark)
+        found = self._matched(single, exact, version).select("number", "seq", "ids", "tfs").mapInArrow(_gathered, "id long, seq long, held array<bigint>")
         if any(len(p) > 1 for p in parts):
             several = self.hits(numbered.where("size(part) > 1"), exact, version).join(F.broadcast(numbered), "part").join(live.select("id", F.col("posted").alias("seq")), "id")
-            found = found.union(several.select("id", "seq", packed + F.col("tf")))
-        held = found.groupBy("id", "seq").agg(F.collect_list("held").alias("held"))
+            found = found.union(several.select("id", "seq", F.array(F.shiftleft(F.col("number").cast("long"), 32) + F.col("tf"))))
+        held = found.groupBy("id", "seq").agg(F.flatten(F.collect_list("held")).alias("held"))  # a few lists for each chunk
         return held.join(live.withColumnRenamed("posted", "seq"), ["id", "seq"])
 
     def search(self, queries: DataFrame, k: int, mode: str = "any", exact: bool = False, where: Column | None = None, by: str = "bm25", version: int | None = None, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
@@ -254,10 +259,41 @@ def _scored(numbers: list[list[int]], idf: np.ndarray, queries: np.ndarray, mean
     return run
 
 
-def _each(blocks: DataFrame) -> DataFrame:
-    """A row for each chunk of rows of blocks."""
-    one = blocks.withColumn("_one", F.explode(F.arrays_zip("ids", "positions"))).drop("ids", "positions")
-    return one.select("*", F.col("_one.ids").alias("id"), F.col("_one.positions").alias("positions")).drop("_one")
+#: Counts that a task gathers by chunk before it hands them on.
+GATHERED = 4_000_000
+
+
+def _by_chunk(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+    seq, ids, held = (np.concatenate(c) for c in columns)
+    order = np.lexsort((seq, ids))
+    seq, ids, held = seq[order], ids[order], held[order]
+    begins = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (seq[1:] != seq[:-1])])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(ids)].astype(np.int32)), pa.array(held))
+    return pa.RecordBatch.from_arrays([pa.array(ids[begins]), pa.array(seq[begins]), lists], names=["id", "seq", "held"])
+
+
+def _gathered(batches):
+    """Rows of blocks as (id, seq, held): a chunk's counts of all parts, with their numbers, in one list for each time that GATHERED counts have come."""
+    columns, size = [[], [], []], 0
+    for batch in batches:
+        if batch.num_rows:
+            ids, tfs = (batch.column(c).flatten().to_numpy() for c in (2, 3))
+            each = np.diff(batch.column(2).offsets.to_numpy())
+            number, seq = (np.repeat(batch.column(c).to_numpy().astype(np.int64), each) for c in (0, 1))
+            for column, values in zip(columns, (seq, ids, (number << 32) + tfs)):
+                column.append(values)
+            size += len(ids)
+        if size >= GATHERED:
+            yield _by_chunk(columns)
+            columns, size = [[], [], []], 0
+    if size:
+        yield _by_chunk(columns)
+
+
+def _each(blocks: DataFrame, what: str = "positions") -> DataFrame:
+    """A row for each chunk of rows of blocks, with its positions or tfs."""
+    one = blocks.withColumn("_one", F.explode(F.arrays_zip("ids", what))).drop("ids", "tfs", "positions")
+    return one.select("*", F.col("_one.ids").alias("id"), F.col(f"_one.{what}").alias(what)).drop("_one")
 
 
 def parts_of(query: Column, mode: str) -> Column:

@@ -59,6 +59,14 @@ class Top:
             if self.size > self.room:
                 self._thin()
 
+    def extend(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, hit: np.ndarray) -> None:
+        """scores and hit are (query, document), of some queries by their numbers."""
+        q, d = np.nonzero(hit & (scores >= self.least[queries][:, None]))
+        self.held.append((queries[q], ids[d], scores[q, d]))
+        self.size += len(q)
+        if self.size > self.room:
+            self._thin()
+
     def _thin(self) -> tuple:
         columns = [np.concatenate(c) for c in zip(*self.held)] if self.held else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         order = np.lexsort((columns[1], -np.round(columns[2], SCALE), columns[0]))
