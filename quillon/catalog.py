@@ -9,10 +9,10 @@ from .operators import catalog as own
 from .operators import ranking
 from .plans import graph, lifecycle, observability, records, retrieval
 from .plans.dialect import duck_text, spark_frame, tables_of, with_frames
-from .queries import memory, rules, searches, texts, tips
+from .queries import learnt, memory, rules, searches, texts, tips
 
 _TEXTS = observability.QUERIES | retrieval.QUERIES | graph.QUERIES | records.QUERIES | lifecycle.QUERIES
-_MODULES = (own, texts, memory, rules, searches, tips)
+_MODULES = (own, texts, memory, rules, searches, tips, learnt)
 
 
 #: Best hits of a query that queries over shared rankings look at.
