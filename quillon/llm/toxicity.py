@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tupl
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = map_arrow(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic"), _read, "doc_id long, toxic int, present binary, other binary")
-    sample = read.groupBy("doc_id").agg(F.min(F.struct("toxic", "present", "other")).alias("row")).select("row.*")  # one row a doc_id, so `most` at most
+    sample = read.groupBy("doc_id").agg(F.min(F.struct("toxic", "present", "other")).alias("row")).select("row.*").coalesce(8)  # one row a doc_id, so `most` at most
     rows = [(r.toxic, np.frombuffer(r.present, np.int32), None if r.other is None else np.frombuffer(r.other, np.int32)) for r in sample.toLocalIterator(prefetchPartitions=True)]
     rows.sort(key=lambda r: (r[0], r[1].tobytes()))  # the same sums whatever the order of partitions
     return fit(rows)
