@@ -39,6 +39,8 @@ def _vectors(frames: dict[str, DataFrame]) -> DataFrame:
 def framed(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A query text over the tables of a folder; rankings in it come from the ranking operators."""
     spoken = with_frames(text, _SHARED)
+    if "bm25 as (" in spoken or "cos as (" in spoken:  # else it would be run as it is spelled out for the checking SQL
+        raise ValueError(f"a ranking is spelled out in other words than the shared part: {text[:80]}")
     needs = {"_lexical": (_lexical, ("benchmark", "documents")), "_vectors": (_vectors, ("benchmark", "embeddings"))}
     rankings = {name: of for name, of in needs.items() if f"{{{name}}}" in spoken}
     names = {*tables_of(spoken), *(t for _, tables in rankings.values() for t in tables)} - set(needs)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.fixed import OPPOSING
 from ..ship import ship
 from . import ranking
 
@@ -17,8 +18,6 @@ from . import ranking
 TOKENS_AT_A_TIME = 200_000
 # Literal tokens of a query that are searched, hits of a query, likeness and number of suggested names.
 TOKENS_SEARCHED, LITERAL_HITS, SUGGEST_FROM, SUGGESTED = 3, 10, 0.4, 3
-# Opposing keywords.
-OPPOSING = (("enabled", "disabled"), ("active", "inactive"), ("yes", "no"), ("true", "false"), ("success", "failure"), ("up", "down"), ("running", "stopped"), ("allow", "deny"), ("open", "closed"))
 
 _FOUND = pa.schema([("id", pa.int64()), ("token", pa.string())])
 
@@ -73,17 +72,39 @@ def opposed(facts: DataFrame) -> DataFrame:
     return first.select("entity", "a", "b", F.get(names, F.col("pair")).alias("trigger"))
 
 
+def _conflicts(queries: list, least: float, most: int):
+    """Of rows (id, vector, namespace, agent) the nearest ones of each query's namespace that are of another agent."""
+    spaces, agents = ({v: k for k, v in enumerate(dict.fromkeys(r[at] for r in queries))} for at in ("namespace", "agent"))
+    space, agent = np.array([spaces[r.namespace] for r in queries]), np.array([agents[r.agent] for r in queries])
+    matrix = np.array([r.vector for r in queries], float)
+    matrix /= np.maximum(np.sqrt((matrix * matrix).sum(1, keepdims=True)), 1e-300)
+
+    def run(batches):
+        top, every = ranking.Top(np.array([r.query for r in queries], np.int64), most), np.arange(len(queries))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                x = np.asarray(part.column(1).flatten(), float).reshape(part.num_rows, -1)
+                length = np.sqrt((x * x).sum(1))
+                scores = (matrix @ x.T) / np.where(length > 0, length, np.inf)
+                of_space, of_agent = (np.array([known.get(v, -1) for v in part.column(c).to_pylist()]) for c, known in ((2, spaces), (3, agents)))
+                hit = (space[:, None] == of_space) & (agent[:, None] != of_agent) & (length > 0) & (scores >= least)
+                top.extend(every, part.column(0).to_numpy(zero_copy_only=False), scores, hit)
+        query, ids, scores = top.columns()
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids, pa.int64()), pa.array(scores)], schema=ranking._HITS)
+
+    return run
+
+
 def vector_conflicts(new: DataFrame, held: DataFrame, least: float, most: int = 20) -> DataFrame:
     """(query, id, score): the nearest vectors of held(id, vector, namespace, agent) of another agent in the namespace of new(query, vector, namespace,
-    agent), `least` or nearer (J20)."""
-    out = []
-    for r in new.select("namespace").distinct().orderBy("namespace").toLocalIterator():  # a row a namespace
-        mine = F.col("namespace").eqNullSafe(F.lit(r.namespace))
-        for s in new.where(mine).select("agent").distinct().orderBy("agent").toLocalIterator():
-            of = F.col("agent").eqNullSafe(F.lit(s.agent))
-            hits = ranking.cosine_topk(held.where(mine & ~of).select("id", "vector"), new.where(mine & of).select("query", "vector", F.lit(None).cast("long").alias("own")), most)
-            out.append(hits.where(F.col("score") >= least).select("query", "id", "score"))
-    return ranking._union(out, new.sparkSession.createDataFrame([], "query long, id long, score double"))
+    agent), `least` or nearer (J20). Null is a namespace, and an agent, of its own. One pass for each block of queries, however many agents they have."""
+    ship(new.sparkSession)
+    kinds = [F.col("vector").cast("array<double>").alias("vector"), F.col("namespace").cast("string"), F.col("agent").cast("string")]
+    asked = new.where("vector is not null").select(F.col("query").cast("long"), *kinds).toLocalIterator()
+    rows = held.where("vector is not null and id is not null").select(F.col("id").cast("long"), *kinds)
+    out = [rows.mapInArrow(_conflicts(block, least, most), ranking._HIT_KINDS) for block in ranking._blocks(asked, lambda r: len(r.vector), ranking.NUMBERS_AT_A_TIME)]
+    return ranking.ranked(ranking._union(out, new.sparkSession.createDataFrame([], ranking._HIT_KINDS)), most).select("query", "id", "score")
 
 
 def suggestions(asked: DataFrame, names: DataFrame, least: float = SUGGEST_FROM, most: int = SUGGESTED) -> DataFrame:

@@ -1,10 +1,10 @@
 """Record filters, text rules, time rules and the state of checkpoints, grants and outboxes, each as one query."""
 
+from ..functions.fixed import OPPOSING
 from .observability import AUDIT, LOGS
 from .retrieval import COSINE, TERMS
 
-# Opposing keywords, phrases of exact questions.
-OPPOSING = (("enabled", "disabled"), ("active", "inactive"), ("yes", "no"), ("true", "false"), ("success", "failure"), ("up", "down"), ("running", "stopped"), ("allow", "deny"), ("open", "closed"))
+# Phrases of exact questions.
 EXACT_PHRASES = ("exact", "specific", "what is the", "what was the", "what are the", "find the", "who is", "when is", "when was", "where is", "ip[ \t\n]+address", "port", "cron", "password", "budget", "launch date")
 IP = "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+"
 ISO_DATE = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
