@@ -9,7 +9,8 @@ with the stem of a query's token, exact search the token itself among them.
 A query is a list of parts; a part is one token or several that follow each other. In mode "any" one part must be found, in "all" every part, and a "phrase" is
 one part. Chunks rank by BM25 over parts (or by the density of covers), lifted by their importance.
 
-What a search moves: postings of the query terms, once, to their chunks. No step holds a term's postings in one task.
+What a search moves: counts of the query terms, and places where parts have several tokens, packed and once, to their chunks. No step holds a term's postings in one
+task, and parts are met in chunks, so what is moved doesn't grow with the parts that hold a term.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
@@ -154,39 +156,34 @@ class Index:
         found = held.join(F.broadcast(terms) if n <= BROADCAST_TOKENS else terms, ["hash", "stem"])
         return found.where(F.col("token") == F.col("term")) if exact else found
 
-    def _found(self, tokens: DataFrame, exact: bool, version: int, live: DataFrame) -> DataFrame:
-        """(token, id, length, positions) of the live chunks that hold tokens(token)."""
-        found = _each(self._matched(tokens, exact, version)).join(live.select("id", F.col("posted").alias("seq"), "length"), ["id", "seq"])
-        if exact:
-            return found.select("token", "id", "length", "positions")
-        return found.groupBy("token", "id", "length").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-
-    def hits(self, parts: DataFrame, exact: bool = False, version: int | None = None) -> DataFrame:
-        """(part, id, length, tf, positions) of parts(part: array of tokens): how often and where the tokens follow each other in a chunk."""
-        version = self.commits.version() if version is None else version
-        live = self._live(version)
-        placed = parts.select("part").distinct().select("part", F.posexplode("part").alias("place", "token"))
-        found = self._found(placed.select("token").distinct(), exact, version, live).join(F.broadcast(placed), "token")
-        begins = F.transform("positions", lambda p: p - F.col("place"))
-        # several tokens: the places at which each could begin the part, met
-        single = found.where(F.size("part") == 1).select("part", "id", "length", "positions")
-        several = found.where(F.size("part") > 1).groupBy("part", "id", "length").agg(F.collect_list(begins).alias("b")).where(F.size("b") == F.size("part"))
-        several = several.select("part", "id", "length", F.aggregate(F.slice("b", 2, 2**30), F.col("b")[0], F.array_intersect).alias("positions"))
-        return single.union(several).select("part", "id", "length", F.size("positions").alias("tf"), "positions").where("tf > 0")
+    def _gather(self, tokens: DataFrame, what: str, exact: bool, version: int) -> DataFrame:
+        """(id, seq, what) of chunks, live or not, that hold tokens(number, token): a token's number with its counts ("tfs") or places ("positions"), packed."""
+        ship(self.spark)
+        found = self._matched(tokens, exact, version).select("number", "seq", "ids", what)
+        return found.mapInArrow(_gathered(what == "positions"), f"id long, seq long, {what} binary")
+
+    def _placed(self, parts: list[list[str]], exact: bool, version: int) -> tuple[DataFrame, _Phrases]:
+        """(id, seq, positions) of the tokens of parts, and what finds the parts among them. A part with a token that no chunk holds asks for nothing."""
+        every = {t: k for k, t in enumerate(dict.fromkeys(chain.from_iterable(parts)))}
+        tokens = self.spark.createDataFrame([(k, t) for t, k in every.items()], "number int, token string")
+        held = {r.number: r.n for r in self._matched(tokens, exact, version).groupBy("number").agg(F.sum(F.size("ids")).alias("n")).toLocalIterator()}  # a row for each token of the block
+        whole = {k: [every[t] for t in p] for k, p in enumerate(parts) if all(every[t] in held for t in p)}
+        wanted = set(chain.from_iterable(whole.values()))
+        tokens = self.spark.createDataFrame([(k, t) for t, k in every.items() if k in wanted], "number int, token string")
+        return self._gather(tokens, "positions", exact, version), _Phrases(whole, held)
 
     def _counted(self, parts: list[list[str]], exact: bool, version: int, live: DataFrame) -> DataFrame:
-        """(id, length, live's columns, held) of live chunks that hold parts: held has a part's number and its count there, as one 64-bit number; a part may
+        """(id, length, lift, shown, held) of live chunks that hold parts: held has the parts' numbers and counts there, packed; a part may
         stand several times. Nothing else is moved, but for places where a part has several tokens."""
-        numbered = self.spark.createDataFrame(list(enumerate(parts)), "number int, part array<string>")
-        single = numbered.where("size(part) = 1").select("number", F.col("part")[0].alias("token"))
-        found = self._matched(single, exact, version).withColumn("positions", F.transform("positions", F.size))
-        ship(self.spark)
-        found = self._matched(single, exact, version).select("number", "seq", "ids", "tfs").mapInArrow(_gathered, "id long, seq long, held array<bigint>")
-        if any(len(p) > 1 for p in parts):
-            several = self.hits(numbered.where("size(part) > 1"), exact, version).join(F.broadcast(numbered), "part").join(live.select("id", F.col("posted").alias("seq")), "id")
-            found = found.union(several.select("id", "seq", F.array(F.shiftleft(F.col("number").cast("long"), 32) + F.col("tf"))))
-        held = found.groupBy("id", "seq").agg(F.flatten(F.collect_list("held")).alias("held"))  # a few lists for each chunk
-        return held.join(live.withColumnRenamed("posted", "seq"), ["id", "seq"])
+        numbered, several = list(enumerate(parts)), [k for k, p in enumerate(parts) if len(p) > 1]
+        single = self.spark.createDataFrame([(k, p[0]) for k, p in numbered if len(p) == 1], "number int, token string")
+        found, held = self._gather(single, "tfs", exact, version), F.collect_list("tfs").alias("held")
+        if not several:
+            return _live_ones(found.groupBy("id", "seq").agg(held), live).select("id", "length", "lift", "shown", "held")
+        placed, phrases = self._placed([parts[k] for k in several], exact, version)
+        both = found.withColumn("positions", F.lit(None).cast("binary")).unionByName(placed.withColumn("tfs", F.lit(None).cast("binary")))
+        both = _live_ones(both.groupBy("id", "seq").agg(held, F.collect_list("positions").alias("positions")), live)
+        return both.select("id", "length", "lift", "shown", "held", "positions").mapInArrow(_phrased(phrases, np.array(several)), _COUNTED)
 
     def search(self, queries: DataFrame, k: int, mode: str = "any", exact: bool = False, where: Column | None = None, by: str = "bm25", version: int | None = None, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
         """(query, id, score, rank) of queries(query, text), the first k of each by lifted score (R3, R4, J6, W14). `where` is a condition on the chunks'
@@ -196,37 +193,31 @@ class Index:
         asked = queries.where("query is not null").select(F.col("query").cast("long").alias("query"), F.array_distinct(parts_of(F.col("text"), mode)).alias("parts"))
         shown = ~F.col("excluded") if where is None else ~F.col("excluded") & F.coalesce(where, F.lit(False))
         lift = 1 + LIFT * F.coalesce(F.col("importance"), F.lit(IMPORTANCE)) if "importance" in live.columns else F.lit(1 + LIFT * IMPORTANCE)
-        live = live.select("id", "posted", "length", shown.alias("shown"), lift.cast("double").alias("lift"))
-        if by == "density":
-            return self._dense(asked.select("query", F.explode("parts").alias("part")), k, mode, exact, version, live)
+        live = live.select("id", F.col("posted").alias("seq"), "length", shown.alias("shown"), lift.cast("double").alias("lift"))
         n, total = live.where("length > 0").agg(F.count("*"), F.sum("length")).first()
-        out = []
+        out, kinds = [], "query long, id long, score double, plain double"
         for block in ranking._blocks(asked.toLocalIterator(), lambda r: sum(map(len, r.parts)), ranking.TERMS_AT_A_TIME) if n else ():
             place: dict[tuple, int] = {}
             numbers = [[place.setdefault(tuple(p), len(place)) for p in r.parts] for r in block]
             if not place:
                 continue
+            parts, ids = [list(p) for p in place], np.array([r.query for r in block], np.int64)
+            if by == "density":
+                placed, phrases = self._placed(parts, exact, version)
+                held = _live_ones(placed.groupBy("id", "seq").agg(F.collect_list("positions").alias("positions")), live.where("shown"))
+                out.append(held.select("id", "lift", "positions").mapInArrow(_dense(phrases, numbers, list(map(len, parts)), ids, k, mode), kinds))
+                continue
             path = scratch.folder(self.spark, "matched")
-            self._counted([list(p) for p in place], exact, version, live).write.option("compression", "zstd").parquet(path)
+            self._counted(parts, exact, version, live).write.option("compression", "zstd").parquet(path)
             matched = self.spark.read.parquet(path)
             df = np.zeros(len(place))
-            for r in matched.select(F.explode(F.array_distinct(F.transform("held", lambda h: F.shiftright(h, 32)))).alias("part")).groupBy("part").count().toLocalIterator():  # a row for each part of the block
-                df[r.part] = r["count"]
-            scored = _scored(numbers, np.log(1 + (n - df + 0.5) / (df + 0.5)), np.array([r.query for r in block], np.int64), total / n, k, mode == "all", k1, b)
-            out.append(matched.where("shown").select("id", "length", "lift", "held").mapInArrow(scored, "query long, id long, score double, plain double"))
-        hits = ranking._union(out, self.spark.createDataFrame([], "query long, id long, score double, plain double"))
+            for r in matched.select("held").mapInArrow(_dfs(len(place)), "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each part of the block
+                df[r.part] = r.n
+            scored = _scored(numbers, np.log(1 + (n - df + 0.5) / (df + 0.5)), ids, total / n, k, mode == "all", k1, b)
+            out.append(matched.where("shown").select("id", "length", "lift", "held").mapInArrow(scored, kinds))
+        hits = ranking._union(out, self.spark.createDataFrame([], kinds))
         return ranking.ranked(hits, k).select("query", "id", F.col("plain").alias("score"), "rank")
 
-    def _dense(self, asked: DataFrame, k: int, mode: str, exact: bool, version: int, live: DataFrame) -> DataFrame:
-        found = self.hits(asked, exact, version)
-        wanted = asked.groupBy("query").agg(F.count("*").alias("n_parts"))
-        order = asked.withColumn("number", F.row_number().over(Window.partitionBy("query").orderBy("part")) - 1)
-        both = found.join(F.broadcast(order), "part").groupBy("query", "id").agg(F.count("*").alias("n"), F.collect_list(F.struct("number", "part", "positions")).alias("held"))
-        both = both.join(F.broadcast(wanted), "query").where(F.col("n") == F.col("n_parts") if mode == "all" else F.lit(True))
-        score = density(F.col("held"), F.col("n_parts"), mode)
-        scored = both.join(live.where("shown").select("id", "lift"), "id").select("query", "id", score.alias("plain"), (score * F.col("lift")).alias("score"))
-        return ranking.ranked(scored, k).select("query", "id", F.col("plain").alias("score"), "rank")
-
     def dual(self, queries: DataFrame, k: int, where: Column | None = None, many: int = MANY) -> DataFrame:
         """(query, id, score, rank): any part; and where that gives `many` hits, all parts and the phrase; and, for queries that hold an exact token,
         exact search; fused by reciprocal ranks (R2, R5)."""
@@ -237,57 +228,205 @@ class Index:
         return ranking.ranked(ranking.rrf(lists, DUAL_K).select("query", "id", "score"), k)
 
 
+def _live_ones(found: DataFrame, live: DataFrame) -> DataFrame:
+    return found.join(live, ["id", "seq"])
+
+
+def _hits_batch(top: ranking.Top) -> pa.RecordBatch:
+    columns = top.columns()
+    plain = columns[3] if len(columns) > 3 else np.zeros(0)
+    return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(plain)], names=["query", "id", "score", "plain"])
+
+
 def _scored(numbers: list[list[int]], idf: np.ndarray, queries: np.ndarray, mean: float, k: int, whole: bool, k1: float, b: float):
     """Scores of matched chunks for all queries, the best k of each; with `whole` only of queries whose every part is there."""
     asked, wanted = ranking.Asked(numbers, len(idf)), np.array(list(map(len, numbers)))
 
     def run(batches):
         top = ranking.Top(queries, k)
-        for batch in batches:
+        for batch in _sliced(batches):
             columns = [batch.column(c).to_pylist() for c in range(3)]
-            for id_, length, lift, held in zip(*columns, batch.column(3)):
-                held = held.values.to_numpy()
-                part, at = np.unique(held >> 32, return_inverse=True)
-                tf = np.bincount(at, held & 0xFFFFFFFF)
+            bounds, parts, tfs = _unpacked(batch.column(3))
+            for id_, length, lift, begin, end in zip(*columns, bounds[:-1].tolist(), bounds[1:].tolist()):
+                part, at = np.unique(parts[begin:end], return_inverse=True)
+                tf = np.bincount(at, tfs[begin:end])
                 plain = asked.sums(part, ranking.bm25_worth(idf[part], tf, length, mean, k1, b))
                 hit = asked.sums(part, np.ones(len(part))) == wanted if whole else plain > 0
                 top.add(id_, plain * lift, hit & (wanted > 0), plain)
-        columns = top.columns()
-        plain = columns[3] if len(columns) > 3 else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2]), pa.array(plain)], names=["query", "id", "score", "plain"])
+        yield _hits_batch(top)
 
     return run
 
 
-#: Counts that a task gathers by chunk before it hands them on.
-GATHERED = 4_000_000
+def _dfs(n_parts: int):
+    """How many chunks hold each part."""
 
+    def run(batches):
+        df = np.zeros(n_parts, np.int64)
+        for batch in _sliced(batches):
+            bounds, parts, _ = _unpacked(batch.column(0))
+            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            df += np.bincount(np.unique(row * n_parts + parts) % n_parts, minlength=n_parts)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(df[held])], names=["part", "n"])
 
-def _by_chunk(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-    seq, ids, held = (np.concatenate(c) for c in columns)
-    order = np.lexsort((seq, ids))
-    seq, ids, held = seq[order], ids[order], held[order]
-    begins = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (seq[1:] != seq[:-1])])
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(ids)].astype(np.int32)), pa.array(held))
-    return pa.RecordBatch.from_arrays([pa.array(ids[begins]), pa.array(seq[begins]), lists], names=["id", "seq", "held"])
+    return run
 
 
-def _gathered(batches):
-    """Rows of blocks as (id, seq, held): a chunk's counts of all parts, with their numbers, in one list for each time that GATHERED counts have come."""
-    columns, size = [[], [], []], 0
+#: Counts or places that a task gathers by chunk before it hands them on, and chunks that are unpacked at a time.
+GATHERED, AT_A_TIME = 1_000_000, 512
+_COUNTED = "id long, length int, lift double, shown boolean, held array<binary>"
+
+
+def _sliced(batches):
     for batch in batches:
-        if batch.num_rows:
-            ids, tfs = (batch.column(c).flatten().to_numpy() for c in (2, 3))
-            each = np.diff(batch.column(2).offsets.to_numpy())
-            number, seq = (np.repeat(batch.column(c).to_numpy().astype(np.int64), each) for c in (0, 1))
-            for column, values in zip(columns, (seq, ids, (number << 32) + tfs)):
-                column.append(values)
-            size += len(ids)
-        if size >= GATHERED:
-            yield _by_chunk(columns)
-            columns, size = [[], [], []], 0
-    if size:
-        yield _by_chunk(columns)
+        for at in range(0, batch.num_rows, AT_A_TIME):
+            yield batch.slice(at, AT_A_TIME)
+
+
+def _packed(number: np.ndarray, value: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Lists of (number, value), each list ascending by number, as steps of numbers and values of seven bits a byte."""
+    each = np.zeros(2 * len(number), np.int64)
+    each[0::2], each[1::2] = np.diff(number, prepend=0), value
+    each[2 * begins] = number[begins]
+    size = np.ones(len(each), np.int64)
+    for bits in range(7, 63, 7):
+        size += each >> bits > 0
+    ends = np.r_[0, np.cumsum(size)]
+    out = np.zeros(ends[-1], np.uint8)
+    for k in range(size.max(initial=0)):
+        at = np.flatnonzero(size > k)
+        out[ends[at] + k] = (each[at] >> (7 * k) & 127) | np.where(size[at] > k + 1, 128, 0)
+    offsets = ends[np.r_[2 * begins, len(each)]].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def _unpacked(held: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's pairs begin, one bound more than rows, and the numbers and values of all."""
+    lists = np.r_[0, np.cumsum(pc.list_value_length(held).to_numpy())]
+    flat = held.flatten()
+    sizes = np.r_[0, np.cumsum(pc.binary_length(flat).to_numpy())].astype(np.int64)
+    data = np.frombuffer(b"".join(flat.to_pylist()), np.uint8)
+    ends = np.flatnonzero(data < 128)
+    begins = np.r_[0, ends + 1][:-1]
+    each = np.zeros(len(ends), np.int64)
+    for k in range(int((ends - begins).max(initial=-1)) + 1):
+        at = np.flatnonzero(ends - begins >= k)
+        each[at] |= (data[begins[at] + k] & 127).astype(np.int64) << (7 * k)
+    pairs = np.searchsorted(ends, sizes) // 2
+    number = np.cumsum(each[0::2])
+    first = pairs[:-1][np.diff(pairs) > 0]
+    number -= np.repeat(number[first] - each[0::2][first], np.diff(np.r_[first, len(number)]))
+    return pairs[lists], number, each[1::2]
+
+
+def _by_chunk(columns: list[tuple[np.ndarray, ...]], what: str) -> pa.RecordBatch:
+    seq, ids, number, value = (np.concatenate(c) for c in zip(*columns))
+    order = np.lexsort((value, number, seq, ids))
+    seq, ids, number, value = seq[order], ids[order], number[order], value[order]
+    begins = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (seq[1:] != seq[:-1])])
+    return pa.RecordBatch.from_arrays([pa.array(ids[begins]), pa.array(seq[begins]), _packed(number, value, begins)], names=["id", "seq", what])
+
+
+def _gathered(places: bool):
+    """Rows of blocks (number, seq, ids, tfs or positions) as (id, seq, packed): a chunk's numbers with their counts, or their places, in one list for each time
+    that GATHERED of them have come."""
+    what = "positions" if places else "tfs"
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # so that a batch of frequent words doesn't come at once
+                number, seq, ids, values = batch.slice(at, 64).columns
+                each = pc.list_value_length(ids).to_numpy()
+                number, seq, ids, values = np.repeat(number.to_numpy().astype(np.int32), each), np.repeat(seq.to_numpy(), each), ids.flatten().to_numpy(), values.flatten()
+                if places:
+                    each = pc.list_value_length(values).to_numpy()
+                    number, seq, ids, values = np.repeat(number, each), np.repeat(seq, each), np.repeat(ids, each), values.flatten()
+                held.append((seq, ids, number, values.to_numpy()))
+                size += len(ids)
+                if size >= GATHERED:
+                    yield _by_chunk(held, what)
+                    held, size = [], 0
+        if size:
+            yield _by_chunk(held, what)
+
+    return run
+
+
+class _Phrases:
+    """Parts by the token that the fewest chunks hold, so that a chunk is only held against parts whose rarest token it has."""
+
+    def __init__(self, parts: dict[int, list[int]], held: dict[int, int]):
+        self.by: dict[int, list[tuple[int, list[int], int]]] = {}
+        for part, tokens in parts.items():
+            at = min(range(len(tokens)), key=lambda k: held[tokens[k]])
+            self.by.setdefault(tokens[at], []).append((part, tokens, at))
+
+    def found(self, number: np.ndarray, place: np.ndarray) -> dict[int, np.ndarray]:
+        """Of a chunk's tokens, by number and place, the parts whose tokens follow each other, with the places where they begin."""
+        token, at = np.unique(number, return_index=True)
+        spans = dict(zip(token.tolist(), np.split(place, at[1:])))
+        out = {}
+        for t in spans:
+            for part, tokens, k in self.by.get(t, ()):
+                if all(x in spans for x in tokens):
+                    begins = spans[t] - k
+                    for j, x in enumerate(tokens):
+                        if j != k and len(begins):
+                            begins = begins[np.isin(begins + j, spans[x], assume_unique=True)]
+                    if len(begins):
+                        out[part] = begins
+        return out
+
+
+def _chunks(positions: pa.ListArray):
+    """Numbers and places of each row, in order."""
+    bounds, number, place = _unpacked(positions)
+    order = np.lexsort((place, number, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))
+    number, place = number[order], place[order]
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield number[begin:end], place[begin:end]
+
+
+def _phrased(phrases: _Phrases, numbers: np.ndarray):
+    """Rows with positions as rows whose `held` has the counts of the parts found in them too, under their numbers; chunks without any part go."""
+
+    def run(batches):
+        for batch in _sliced(batches):
+            held, kept = [], []
+            for row, (lists, (number, place)) in enumerate(zip(batch.column(4).to_pylist(), _chunks(batch.column(5)))):
+                if found := phrases.found(number, place):
+                    part = np.sort(np.fromiter(found, np.int64, len(found)))
+                    lists += _packed(numbers[part], np.array([len(found[p]) for p in part.tolist()]), np.array([0])).to_pylist()
+                if lists:
+                    held.append(lists)
+                    kept.append(row)
+            rest = batch.take(pa.array(kept, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rest.columns[:4], pa.array(held, pa.list_(pa.binary()))], names=["id", "length", "lift", "shown", "held"])
+
+    return run
+
+
+def _dense(phrases: _Phrases, numbers: list[list[int]], lengths: list[int], queries: np.ndarray, k: int, mode: str):
+    """Cover densities of chunks for all queries, the best k of each; for "all" only of queries whose every part is there."""
+    asked, wanted = ranking.Asked(numbers, len(lengths)), np.array(list(map(len, numbers)))
+
+    def run(batches):
+        top = ranking.Top(queries, k)
+        for batch in _sliced(batches):
+            for id_, lift, (number, place) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _chunks(batch.column(2))):
+                found = phrases.found(number, place)
+                if not found:
+                    continue
+                there = asked.sums(np.fromiter(found, np.int64, len(found)), np.ones(len(found)))
+                hit, plain = (there == wanted if mode == "all" else there > 0) & (wanted > 0), np.zeros(len(queries))
+                for q in np.flatnonzero(hit).tolist():
+                    plain[q] = density([(found[p], lengths[p]) for p in numbers[q] if p in found], mode)
+                top.add(id_, plain * lift, hit, plain)
+        yield _hits_batch(top)
+
+    return run
 
 
 def _each(blocks: DataFrame, what: str = "positions") -> DataFrame:
@@ -305,22 +444,23 @@ def parts_of(query: Column, mode: str) -> Column:
     return some if mode == "all" else F.filter(F.array(F.flatten(some)), lambda x: F.size(x) > 0)
 
 
-def density(held: Column, n_parts: Column, mode: str) -> Column:
-    """Cover density of the parts found in a chunk, held: array of (number, part, positions) (R4). A part alone is a cover for "any" and "phrase". For "all" its
-    places are walked in order of their ends, with the last place of each part: where the first of these moves on, what stands from there on
-    is a cover, worth a word's weight over one and the other words in it."""
+def density(parts: list[tuple[np.ndarray, int]], mode: str) -> float:
+    """Cover density of the parts found in a chunk: where each begins, and its number of words (R4). A part alone is a cover for "any" and "phrase". For "all" the
+    ends of places are walked, with the last place of each part: where the first of these moves on, once all places with that end are seen, what stands from
+    there on is a cover, worth a word's weight over one and the words in it that are of no part. Words of parts in a cover are those that end by its end but for
+    those that begin before it, as no place holds a cover within it."""
+    begin, size = np.concatenate([b for b, _ in parts]), np.repeat([n for _, n in parts], [len(b) for b, _ in parts])
     if mode != "all":
-        return DENSITY_SCALE * WORD_WEIGHT * F.size(F.array_distinct(F.flatten(F.transform(held, lambda h: h["positions"]))))
-    places = F.flatten(F.transform(held, lambda h: F.transform(h["positions"], lambda p: F.struct((p + F.size(h["part"]) - 1).alias("end"), p.alias("begin"), h["number"].alias("number")))))
-    none = F.struct(F.lit(-1).alias("begin"), F.lit(0).alias("before"))
-    start = F.struct(F.transform(F.sequence(F.lit(1), n_parts.cast("int")), lambda _: none).alias("last"), none.alias("first"), F.lit(0).alias("words"), F.lit(0.0).alias("score"))
-
-    def step(s: Column, w: Column) -> Column:
-        here = F.struct(w["begin"].alias("begin"), s["words"].alias("before"))
-        last = F.transform(s["last"], lambda p, i: F.when(i == w["number"], here).otherwise(p))
-        first, words = F.array_min(last), s["words"] + 1 + w["end"] - w["begin"]
-        others = (w["end"] - first["begin"] + 1) - (words - first["before"])
-        cover = F.when(first["begin"] > s["first"]["begin"], WORD_WEIGHT / (1 + F.greatest(F.lit(0), others))).otherwise(0.0)
-        return F.struct(last.alias("last"), first.alias("first"), words.alias("words"), (s["score"] + cover).alias("score"))
-
-    return DENSITY_SCALE * F.aggregate(F.array_sort(places), start, step, lambda s: s["score"])
+        return DENSITY_SCALE * (WORD_WEIGHT * len(np.unique(begin)))
+    part, end = np.repeat(np.arange(len(parts)), [len(b) for b, _ in parts]), begin + size - 1
+    order = np.lexsort((begin, end))
+    ended, began = np.cumsum(size[order]), np.argsort(begin, kind="stable")
+    starts, before = begin[began], np.r_[0, np.cumsum(size[began])]
+    closes = np.r_[end[order][1:] != end[order][:-1], True]
+    last, first, score = [-1] * len(parts), -1, 0.0
+    for b, e, p, words, close in zip(begin[order].tolist(), end[order].tolist(), part[order].tolist(), ended.tolist(), closes.tolist()):
+        last[p] = b
+        if close and (least := min(last)) > first:
+            others = e - least + 1 - (words - int(before[np.searchsorted(starts, least)]))
+            score, first = score + WORD_WEIGHT / (1 + max(0, others)), least
+    return DENSITY_SCALE * score
