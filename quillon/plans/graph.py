@@ -8,18 +8,6 @@ QUERIES = {
     "j7_hotness_left": """with h as (select JSON_K(props) as memory_id, count(*) as n from {events} group by 1) select d.doc_id, coalesce(h.n, 0) as n, case when h.n is null then cast(0.5 as double) else least(cast(1 as double), cast(h.n as double) / 100) end as importance from {documents} d left join h on d.doc_id = h.memory_id""",
     "j11_durable_semi": "select l_orderkey, l_linenumber from {lineitem} where l_suppkey in (select s_suppkey from {supplier} where s_acctbal > 9000) or l_partkey in (select p_partkey from {part} where p_size > 49)",
     "j13_orphans_anti": "select d.doc_id from {documents} d left join {embeddings} e on d.doc_id = e.vec_id where e.vec_id is null",
-    "j18_conflict_pairs": """with w as (select doc_id, coalesce(nullif(lang, ''), 'global') as space, source, SORTEDSET(WORDS(lower(text))) as words from {documents}),
-      m as (select doc_id, space, source, SHA256(JOINED(words, ' ')) as class, words from w where ITEMS(words) > 0), c as (select distinct space, class, words from m),
-      t as (select space, class, ITEMS(words) as n, EXPLODE(words) as word from c), f as (select space, word, count(*) as df from t group by space, word),
-      o as (select t.space, t.class, t.n, t.word, f.df, row_number() over (partition by t.space, t.class order by f.df, t.word) as place from t join f on t.space = f.space and t.word = f.word),
-      p as (select * from o where df > 1 and 10 * (place - 1) <= 3 * n),
-      k as (select distinct a.space, a.class as class_a, b.class as class_b from p a join p b on a.space = b.space and a.word = b.word and a.class < b.class
-        where 10 * a.n >= 7 * b.n and 10 * b.n >= 7 * a.n and 17 * (1 + least(a.n - a.place, b.n - b.place)) >= 7 * (a.n + b.n)),
-      s as (select k.*, COMMON(a.words, b.words) as common, ITEMS(a.words) + ITEMS(b.words) as both from k join c a on k.space = a.space and class_a = a.class join c b on k.space = b.space and class_b = b.class),
-      v as (select space, class_a, class_b, round(cast(common as double) / (both - common), 4) as jaccard from s where 17 * common >= 7 * both),
-      e as (select space, class as class_a, class as class_b, cast(1 as double) as jaccard from c union all select space, class_a, class_b, jaccard from v)
-      select least(a.doc_id, b.doc_id) as a, greatest(a.doc_id, b.doc_id) as b, e.jaccard from e join m a on e.space = a.space and e.class_a = a.class join m b on e.space = b.space and e.class_b = b.class
-      where a.source is distinct from b.source and (a.doc_id < b.doc_id or (a.doc_id > b.doc_id and e.class_a <> e.class_b))""",
     "j29_lineage": """with v as (select JSON_K(props) as memory_id, 'version' as edge, count(*) as n from {events} where event_type in ('signup', 'purchase') group by 1), a as (select JSON_K(props) as memory_id, 'audit' as edge, count(*) as n from {events} where event_type in ('error', 'click') group by 1),
       r as (select JSON_K(props) as memory_id, 'retrieval' as edge, count(*) as n from {events} where event_type = 'view' group by 1) select * from v union all select * from a union all select * from r""",
     "m7_decay_facts": """select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then true when o_orderstatus = 'F' and o_orderdate < timestamp '1998-07-01 00:00:00' then false when o_orderdate < timestamp '1998-05-01 00:00:00' then false else true end as is_active from {orders}""",
@@ -35,7 +23,7 @@ QUERIES = {
     "z3_owner": """with a as (select JSON_K(props) as memory_id, max(user_id) as agent from {events} group by 1) select d.doc_id, coalesce(nullif(d.source, ''), cast(a.agent as string)) as owner from {documents} d left join a on d.doc_id = a.memory_id""",
 }
 
-#: What j18 has to find, without its filters: all pairs of a namespace.
+#: What `search.like_pairs` has to find, without its filters: all pairs of a namespace.
 ORACLES = {
     "j18_conflict_pairs": """with w as (select doc_id, coalesce(nullif(lang, ''), 'global') as space, source, SORTEDSET(WORDS(lower(text))) as words from {documents})
       select a.doc_id as a, b.doc_id as b, round(cast(COMMON(a.words, b.words) as double) / EITHER(a.words, b.words), 4) as jaccard from w a join w b on a.space = b.space and a.doc_id < b.doc_id

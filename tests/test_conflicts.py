@@ -27,3 +27,24 @@ def test_pairs_with_different_first_words(spark, tmp_path):
     got = catalog.queries()["j18_conflict_pairs"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.jaccard for r in got} == want
     assert any(rows[a][1].split()[0] != rows[b][1].split()[0] for a, b in want)
+
+
+def test_moves_each_class_once(spark, tmp_path):
+    """Of many copies one set of words is kept, and only pairs that can be near are written."""
+    from quillon import scratch
+    from quillon.operators import search
+
+    rng = random.Random(5)
+    texts = [" ".join(f"word{rng.randrange(60)}" for _ in range(25)) for _ in range(120)]
+    rows = [(k, texts[k % 120], "en", f"s{k % 7}") for k in range(1200)]
+    at = []
+    kept, scratch.folder = scratch.folder, lambda s, tag: at.append(f"file://{tmp_path}/{tag}") or at[-1]
+    try:
+        pairs = search.like_pairs(spark.createDataFrame(rows, "id long, text string, space string, source string")).count()
+    finally:
+        scratch.folder = kept
+    sets = sorted({tuple(sorted(set(t.split()))) for t in texts})
+    near = sum(10 * len(set(x) & set(y)) >= 7 * len(set(x) | set(y)) for k, x in enumerate(sets) for y in sets[:k])
+    met = spark.read.parquet(f"{at[0]}/met").count()
+    assert spark.read.parquet(f"{at[0]}/classes").count() == len(sets)
+    assert near <= met < len(sets) * (len(sets) - 1) / 8 and pairs >= 120 * 9 * 10 / 2 * 6 / 7 - 120 * 10
