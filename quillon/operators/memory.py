@@ -44,13 +44,12 @@ def upsert_entities(table: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def supersede(facts: DataFrame) -> DataFrame:
-    """facts(id, entity, fact) with superseded_by: the first later fact of the entity that holds SUPERSEDES of its words (M3, J19). Pairs are
-    formed of facts of an entity that share a word, counted word by word."""
+    """facts(id, entity, fact) with superseded_by: the first later fact of the entity that holds SUPERSEDES of its words (M3, J19). Pairs of
+    an entity's facts are held against each other where the facts meet, and only the first of each fact goes on."""
     words = facts.select("id", "entity", text.blank_word_set(F.col("fact")).alias("words"))
-    each = words.select("id", "entity", F.size("words").alias("n"), F.explode("words").alias("word"))
-    old, new = each, each.select(F.col("id").alias("by"), "entity", "word")
-    shared = old.join(new, ["entity", "word"]).where(F.col("by") > F.col("id")).groupBy("id", "n", "by").agg(F.count("*").alias("common"))
-    first = shared.where(F.col("common") >= SUPERSEDES * F.col("n")).groupBy("id").agg(F.min("by").alias("superseded_by"))
+    words = words.where(F.size("words") > 0)
+    met = words.join(words.select(F.col("id").alias("by"), "entity", F.col("words").alias("others")).hint("merge"), "entity").where(F.col("by") > F.col("id"))
+    first = met.where(F.size(F.array_intersect("words", "others")) >= SUPERSEDES * F.size("words")).groupBy("id").agg(F.min("by").alias("superseded_by"))
     return facts.join(first, "id", "left")
 
 
