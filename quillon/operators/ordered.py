@@ -5,6 +5,7 @@ A query's hits are packed in one task; clusters go in rounds over all tasks.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -73,6 +74,27 @@ def _walked(rows: list, least: float) -> list:
     return [(topic, np.array(ids, np.int64), np.stack(x)) for topic, (ids, x) in seeds.items()]
 
 
+def _seeds(least: float):
+    """The seeds among all rows (topic, id, vector) of a task, in their order."""
+
+    def run(batches):
+        rows = [SimpleNamespace(**r) for batch in batches for r in batch.to_pylist()]
+        for topic, ids, x in _walked(rows, least):
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([topic] * len(ids), pa.int64()), pa.array(ids), vectors], names=["topic", "id", "vector"])
+
+    return run
+
+
+def _taken(seeds: list) -> list:
+    """Seeds as they come from tasks, by topic."""
+    by: dict = {}
+    for r in seeds:
+        by.setdefault(r.topic, ([], []))[0].append(r.id)
+        by[r.topic][1].append(np.asarray(r.vector))
+    return [(topic, np.array(ids, np.int64), np.stack(x)) for topic, (ids, x) in by.items()]
+
+
 def _near(seeds: list, least: float):
     """Each row with the first seed of its topic that it is near to, or null."""
     by = {topic: (ids, x) for topic, ids, x in seeds}
@@ -97,15 +119,15 @@ def greedy_clusters(vectors: DataFrame, least: float = 0.85, at_a_time: int = AT
     """vectors(topic, id, vector) with column seed: in order of id each vector joins the first seed of its topic that it is as
     near to, by cosine, or becomes one (J21).
 
-    The walk goes in rounds. The first `at_a_time` undecided rows by id are walked on the driver, which gives seeds; a pass over all undecided rows, wherever
+    The walk goes in rounds. The first `at_a_time` undecided rows by id are walked in a task, which gives seeds, all that the driver gets; a pass over all undecided rows, wherever
     they are, gives each that is near one of these its first one; the rest goes on. Seeds of earlier rounds come before those of later ones, so the result
     is that of one walk, and no topic is held in one task. Rows with a null id or vector are left out; vectors have one length."""
     ship(vectors.sparkSession)
     spark, path = vectors.sparkSession, scratch.folder(vectors.sparkSession, "clusters")
     rest = vectors.where("id is not null and vector is not null").select(F.col("topic").cast("long"), F.col("id").cast("long"), F.col("vector").cast("array<double>"))
     kinds, number = "topic long, id long, vector array<double>, seed long", 0
-    while first := rest.orderBy("id", "topic").limit(at_a_time).collect():
-        marked = rest.mapInArrow(_near(_walked(first, least), least), kinds).withColumn("decided", F.col("seed").isNotNull())
+    while seeds := rest.orderBy("id", "topic").limit(at_a_time).repartition(1).sortWithinPartitions("id", "topic").mapInArrow(_seeds(least), "topic long, id long, vector array<double>").collect():
+        marked = rest.mapInArrow(_near(_taken(seeds), least), kinds).withColumn("decided", F.col("seed").isNotNull())
         marked.write.partitionBy("decided").parquet(f"{path}/round-{number}")
         rest, number = spark.read.schema(f"{kinds}, decided boolean").parquet(f"{path}/round-{number}").where("not decided").select("topic", "id", "vector"), number + 1
     if not number:
