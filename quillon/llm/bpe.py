@@ -31,6 +31,8 @@ from .common import map_arrow
 REMEMBERED, LONG, SLICE, IDS = 400_000, 64, 2_000_000, 1_000_000
 _NONE = np.int32(2**31 - 1)
 _GAP = re.compile(r"[\x20\x09-\x0D]")
+#: White space of any script.
+_GAPS = re.compile(r"\s")
 _PRINTABLE = bytes(range(33, 127))
 #: ASCII in lower case; letters 1, digits 2, other bytes 0.
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -149,13 +151,15 @@ class Bpe:
         return data, np.diff(np.r_[np.flatnonzero(begins), len(data)]), np.add.reduceat(begins, starts) if len(words) else sizes
 
     def _other(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The same of any words, normalised and parted by the file's rules."""
-        normal = self.normal(b" ".join(words).decode())
-        if normal.count(" ") == len(words) - 1:
+        """The same of any words, normalised and parted by the file's rules: together, but for words with white space beyond ASCII, which may be parted in two
+        or run into a neighbour's gap."""
+        texts = [w.decode() for w in words]
+        normal = self.normal(" ".join(texts))
+        if normal.count(" ") == len(words) - 1 and not any(map(_GAPS.search, texts)):
             parts, ends = self.parts(normal), np.cumsum([len(w) + 1 for w in normal.split(" ")])
             counts = np.bincount(np.searchsorted(ends, [at for _, (at, _) in parts], "right"), minlength=len(words))
-        else:  # white space beyond ASCII in a word
-            each = [self.parts(self.normal(w.decode())) for w in words]
+        else:
+            each = [self.parts(self.normal(w)) for w in texts]
             parts, counts = [p for x in each for p in x], np.array([len(x) for x in each])
         letters = np.frombuffer("".join([p for p, _ in parts]).encode("utf-16-le"), "<u2")
         return self.byte_at[letters], np.array([len(p) for p, _ in parts], np.int64), counts
@@ -167,11 +171,15 @@ class Bpe:
             plain = [w for w in plain if not w.translate(None, _PRINTABLE)]
         held = set(plain)
         other = [w for w in words if w not in held] if len(plain) < len(words) else []
-        data, sizes, counts = (np.concatenate(x) for x in zip(*[f(w) for f, w in ((self._plain, plain), (self._other, other)) if w]))
+        spaced = [w for w in other if _GAPS.search(w.decode())]
+        if spaced:
+            held = set(spaced)
+            other = [w for w in other if w not in held]
+        data, sizes, counts = (np.concatenate(x) for x in zip(*[f(w) for f, w in ((self._plain, plain), (self._other, other), (self._other, spaced)) if w]))
         ids, n = self.merge(data, sizes)
         ends = np.r_[0, np.cumsum(n)][np.cumsum(counts)].tolist()
         raw = ids.astype("<u4").tobytes()
-        return {w: raw[4 * a : 4 * b] for w, a, b in zip(plain + other, [0, *ends], ends)}
+        return {w: raw[4 * a : 4 * b] for w, a, b in zip(plain + other + spaced, [0, *ends], ends)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers; all words that are not remembered go through the rounds together."""

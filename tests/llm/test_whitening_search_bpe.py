@@ -1,6 +1,7 @@
 """Whitening against numpy's covariance, WAND against all scores, byte-pair encoding against the tokenizers library."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -190,6 +191,14 @@ def test_bpe_in_slices(library, monkeypatch):
         assert b"".join(parts) == ids_of(library, text or "").tobytes()
 
 
+def test_bpe_wide_spaces(library):
+    """A word parted by white space beyond ASCII and one that is nothing else leave as many gaps as there are words: the words are told apart all the same."""
+    one, words = bpe.Bpe(), ["é", "p\x85q", "\x85", "ñ", "\u3000x"]
+    for order in itertools.permutations(words):
+        learnt = one._learn([w.encode() for w in order])
+        assert learnt == {w.encode(): ids_of(library, w).tobytes() for w in words}
+
+
 def test_bpe_documents(spark, small, library):
     rows = spark.read.parquet(f"{small}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in rows.collect()}
