@@ -1,8 +1,8 @@
 """Full-text search on a positional inverted index: postings kept as tables that change by deltas, stemmed and exact, any, all and phrase.
 
 Two tables stand under one log of commits (`sources.commits`). postings: a row for each term and block of chunks, with the chunks' ids and
-places, in files that are sorted by the hash of the term's stem, so a search reads few pages of each; blocks are made where chunks are read, without an
-exchange, so a frequent term is as many rows as there are blocks. chunks: a row for each change of a chunk with its length and
+places, the rows of a block in the order of their stems, so a search for a few words reads few pages of each; blocks are made where chunks are read, without
+an exchange or a sort of more than a block, so a frequent term is as many rows as there are blocks. chunks: a row for each change of a chunk with its length and
 attributes; `posted` is the commit whose postings are the chunk's, so that older ones are not read. Stemmed search takes all terms
 with the stem of a query's token, exact search the token itself among them.
 
@@ -15,7 +15,6 @@ task, and parts are met in chunks, so what is moved doesn't grow with the parts
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import numpy as np
@@ -35,55 +34,82 @@ LIFT, IMPORTANCE = 0.3, 0.5
 DENSITY_SCALE, WORD_WEIGHT = 32, 0.1
 #: Hits from which the stricter modes run as well, and the constant of their fusion.
 MANY, DUAL_K = 200, 20
-#: Distinct tokens of queries up to which they are broadcast to the postings; and whose hashes are sent down to the scan.
+#: Distinct tokens of queries up to which they are broadcast to the postings; and whose stems are sent down to the scan.
 BROADCAST_TOKENS, PUSHED_TOKENS = 100_000, 2_000
 #: Replaced or deleted chunks up to which they are broadcast.
 BROADCAST_DEAD = 1_000_000
-#: Tokens of a block of chunks, and chunks of one at most.
-TOKENS, BLOCK = 1_000_000, 4_096
+#: Bytes of text in a block of chunks, about a million tokens, and chunks of one at most.
+BYTES, BLOCK = 6_000_000, 4_096
 _POSTING = pa.schema([("stem", pa.string()), ("term", pa.string()), ("ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())), ("positions", pa.list_(pa.list_(pa.int32())))])
-_TOKEN = re.compile("[a-z0-9]+")
 
 
-def _block(ids: list[int], tokens: list[list[str]]) -> pa.RecordBatch:
-    """A row for each term of a block of chunks: the chunks' ids, how often each holds it, and where."""
-    flat, sizes = list(chain.from_iterable(tokens)), np.fromiter(map(len, tokens), np.int64, len(tokens))
-    number = {t: k for k, t in enumerate(dict.fromkeys(flat))}
-    term = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
-    chunk, place = np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+#: Whether a byte of lower-cased UTF-8 is part of a token.
+_OF_TOKEN = np.zeros(256, bool)
+_OF_TOKEN[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of lower-cased texts, which of them are of tokens, where each token begins, and how many each text has."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    held = _OF_TOKEN[data]
+    begins = np.flatnonzero(held & ~np.r_[False, held[:-1]])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return data, held, begins, np.diff(np.searchsorted(begins, ends), prepend=0)
+
+
+def _block(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+    """A row for each term of a block of chunks, by their stems: the chunks' ids, how often each holds it, and where."""
+    data, held, begins, sizes = _tokens(texts)
+    offsets = np.r_[0, np.cumsum(np.flatnonzero(held[:-1] & ~held[1:]) + 1 - begins)].astype(np.int64)
+    flat = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[held])]).dictionary_encode()
+    words = flat.dictionary.cast(pa.string())
+    stems = pa.array(map(stemming.stem, words.to_pylist()), pa.string())
+    by = pc.sort_indices(pa.table([stems, words], names=["stem", "term"]), [("stem", "ascending"), ("term", "ascending")])
+    rank = np.empty(len(by), np.int32)
+    rank[by.to_numpy()] = np.arange(len(by))
+    term = rank[flat.indices.to_numpy()]
+    chunk, place = np.repeat(np.arange(len(ids)), sizes), np.arange(len(term)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     order = np.argsort(term, kind="stable")
     term, chunk, place = term[order], chunk[order], place[order].astype(np.int32)
-    begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (chunk[1:] != chunk[:-1])])
-    terms = np.searchsorted(term[begins], np.arange(len(number)))
-    ends = np.r_[begins, len(flat)].astype(np.int32)
+    begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (chunk[1:] != chunk[:-1])][: len(term)])
+    terms = np.searchsorted(term[begins], np.arange(len(words)))
+    ends = np.r_[begins, len(term)].astype(np.int32)
     places, tfs = pa.ListArray.from_arrays(pa.array(ends), pa.array(place)), pa.array(np.diff(ends))
     outer = pa.array(np.r_[terms, len(begins)].astype(np.int32))
     found = pa.array(np.array(ids, np.int64)[chunk[begins]])
-    return pa.RecordBatch.from_arrays([pa.array(map(stemming.stem, number), pa.string()), pa.array(number, pa.string()), pa.ListArray.from_arrays(outer, found), pa.ListArray.from_arrays(outer, tfs), pa.ListArray.from_arrays(outer, places)], schema=_POSTING)
+    return pa.RecordBatch.from_arrays([stems.take(by), words.take(by), pa.ListArray.from_arrays(outer, found), pa.ListArray.from_arrays(outer, tfs), pa.ListArray.from_arrays(outer, places)], schema=_POSTING)
 
 
 def _posted(batches):
-    ids, tokens, size = [], [], 0
+    ids, texts, size = [], [], 0
     for batch in batches:
         for id_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = _TOKEN.findall((value.as_py() or "").lower())
-            if found:
-                ids.append(id_)
-                tokens.append(found)
-                size += len(found)
-            if size >= TOKENS or len(ids) >= BLOCK:
-                yield _block(ids, tokens)
-                ids, tokens, size = [], [], 0
+            ids.append(id_)
+            texts.append((value.as_py() or "").lower().encode())
+            size += len(texts[-1])
+            if size >= BYTES or len(ids) >= BLOCK:
+                yield _block(ids, texts)
+                ids, texts, size = [], [], 0
     if ids:
-        yield _block(ids, tokens)
+        yield _block(ids, texts)
+
+
+def _lengths(texts: pa.Array) -> pa.Array:
+    found = [_tokens([(t.as_py() or "").lower().encode() for t in texts[at : at + BLOCK]])[3] for at in range(0, len(texts), BLOCK)]
+    return pa.array(np.concatenate([np.zeros(0), *found]).astype(np.int32))
+
+
+def length(text: Column) -> Column:
+    """The number of a text's tokens."""
+    ship(SparkSession.active())
+    return F.arrow_udf(_lengths, "int")(text.cast("string"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(hash, stem, term, ids, tfs, positions) of chunks(id, text), made and sorted where they are read."""
+    """(stem, term, ids, tfs, positions) of chunks(id, text), made where they are read, sorted by stem within a block."""
     ship(chunks.sparkSession)
     texts = chunks.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_posted, "stem string, term string, ids array<bigint>, tfs array<int>, positions array<array<int>>")
-    return found.select(F.hash("stem").alias("hash"), "*").sortWithinPartitions("hash", "term")
+    return texts.mapInArrow(_posted, "stem string, term string, ids array<bigint>, tfs array<int>, positions array<array<int>>")
 
 
 class Index:
@@ -107,8 +133,7 @@ class Index:
         def make(base: int):
             number = base + 1
             attributes = [c for c in chunks.columns if c not in ("id", "text")]
-            length = F.regexp_count(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(_TOKEN.pattern)).alias("length")
-            rows = chunks.select("id", length, F.lit(number).cast("long").alias("posted"), F.lit(False).alias("gone"), F.lit(False).alias("excluded"), *attributes)
+            rows = chunks.select("id", length(F.col("text")).alias("length"), F.lit(number).cast("long").alias("posted"), F.lit(False).alias("gone"), F.lit(False).alias("excluded"), *attributes)
             return {"chunks": rows, "postings": postings(chunks)}, {}
 
         return self.commits.change(make)
@@ -133,8 +158,8 @@ class Index:
         live = self._live(base)
         one = _each(self.commits.read("postings", base)).join(live.select("id", F.col("posted").alias("seq")), ["id", "seq"], "left_semi")
         block = F.pmod(F.hash("id"), F.lit(1 + live.count() // BLOCK))
-        both = one.groupBy("hash", "stem", "term", "seq", block).agg(F.array_sort(F.collect_list(F.struct("id", "positions"))).alias("b"))
-        held = both.select("hash", "stem", "term", F.col("b.id").alias("ids"), F.transform("b.positions", F.size).alias("tfs"), F.col("b.positions").alias("positions"), "seq").sortWithinPartitions("hash", "term")
+        both = one.groupBy("stem", "term", "seq", block).agg(F.array_sort(F.collect_list(F.struct("id", "positions"))).alias("b"))
+        held = both.select("stem", "term", F.col("b.id").alias("ids"), F.transform("b.positions", F.size).alias("tfs"), F.col("b.positions").alias("positions"), "seq").sortWithinPartitions("stem", "term")
         tables = {"chunks": live, "postings": held}
         names = {t: self.commits.read(t, base).columns for t in tables}
         return self.commits.commit(base, {t: rows.select(*names[t]) for t, rows in tables.items()}, whole=tuple(tables))
@@ -149,11 +174,11 @@ class Index:
 
     def _matched(self, tokens: DataFrame, exact: bool, version: int) -> DataFrame:
         """Rows of postings with the terms of tokens(token, ...), and its columns."""
-        terms = tokens.withColumn("stem", stemming.stemmed(F.col("token"))).withColumn("hash", F.hash("stem")).persist()  # small: the queries' words
+        terms = tokens.withColumn("stem", stemming.stemmed(F.col("token"))).persist()  # small: the queries' words
         n, held = terms.count(), self.commits.read("postings", version)
         if n <= PUSHED_TOKENS:
-            held = held.where(F.col("hash").isin([r.hash for r in terms.select("hash").distinct().collect()]))
-        found = held.join(F.broadcast(terms) if n <= BROADCAST_TOKENS else terms, ["hash", "stem"])
+            held = held.where(F.col("stem").isin([r.stem for r in terms.select("stem").distinct().collect()]))
+        found = held.join(F.broadcast(terms) if n <= BROADCAST_TOKENS else terms, "stem")
         return found.where(F.col("token") == F.col("term")) if exact else found
 
     def _gather(self, tokens: DataFrame, what: str, exact: bool, version: int) -> DataFrame:
@@ -273,15 +298,15 @@ def _dfs(n_parts: int):
     return run
 
 
-#: Counts or places that a task gathers by chunk before it hands them on, and chunks that are unpacked at a time.
-GATHERED, AT_A_TIME = 1_000_000, 512
+#: Counts or places that a task gathers by chunk before it hands them on, chunks that are unpacked at a time, and those that are held against phrases together.
+GATHERED, AT_A_TIME, TOGETHER = 1_000_000, 512, 2_048
 _COUNTED = "id long, length int, lift double, shown boolean, held array<binary>"
 
 
-def _sliced(batches):
+def _sliced(batches, rows: int = AT_A_TIME):
     for batch in batches:
-        for at in range(0, batch.num_rows, AT_A_TIME):
-            yield batch.slice(at, AT_A_TIME)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _packed(number: np.ndarray, value: np.ndarray, begins: np.ndarray) -> pa.Array:
@@ -322,7 +347,7 @@ def _unpacked(held: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _by_chunk(columns: list[tuple[np.ndarray, ...]], what: str) -> pa.RecordBatch:
     seq, ids, number, value = (np.concatenate(c) for c in zip(*columns))
-    order = np.lexsort((value, number, seq, ids))
+    order = np.lexsort((number, ids) if seq.min() == seq.max() else (number, seq, ids))
     seq, ids, number, value = seq[order], ids[order], number[order], value[order]
     begins = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (seq[1:] != seq[:-1])])
     return pa.RecordBatch.from_arrays([pa.array(ids[begins]), pa.array(seq[begins]), _packed(number, value, begins)], names=["id", "seq", what])
@@ -379,6 +404,29 @@ class _Phrases:
                         out[part] = begins
         return out
 
+    def counted(self, row: np.ndarray, number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of many chunks' tokens, by row, number and place, the parts whose tokens follow each other, in order of row and part: row, part, and how often."""
+        key = (row << 33) + (1 << 32) + place  # a place less that of a token in a part is still of its row
+        order = np.lexsort((key, number))
+        key = key[order]
+        token, at = np.unique(number[order], return_index=True)
+        spans = dict(zip(token.tolist(), np.split(key, at[1:])))
+        out = []
+        for t in spans:
+            for part, tokens, k in self.by.get(t, ()):
+                if all(x in spans for x in tokens):
+                    begins = spans[t] - k
+                    for j, x in sorted(enumerate(tokens), key=lambda y: len(spans[y[1]])):
+                        if j != k and len(begins):
+                            there = np.searchsorted(spans[x], begins + j)
+                            begins = begins[spans[x][np.minimum(there, len(spans[x]) - 1)] == begins + j]
+                    if len(begins):
+                        rows, n = np.unique(begins >> 33, return_counts=True)
+                        out.append((rows, np.full(len(rows), part), n))
+        row, part, n = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((part, row))
+        return row[order], part[order], n[order]
+
 
 def _chunks(positions: pa.ListArray):
     """Numbers and places of each row, in order."""
@@ -393,17 +441,15 @@ def _phrased(phrases: _Phrases, numbers: np.ndarray):
     """Rows with positions as rows whose `held` has the counts of the parts found in them too, under their numbers; chunks without any part go."""
 
     def run(batches):
-        for batch in _sliced(batches):
-            held, kept = [], []
-            for row, (lists, (number, place)) in enumerate(zip(batch.column(4).to_pylist(), _chunks(batch.column(5)))):
-                if found := phrases.found(number, place):
-                    part = np.sort(np.fromiter(found, np.int64, len(found)))
-                    lists += _packed(numbers[part], np.array([len(found[p]) for p in part.tolist()]), np.array([0])).to_pylist()
-                if lists:
-                    held.append(lists)
-                    kept.append(row)
+        for batch in _sliced(batches, TOGETHER):
+            bounds, number, place = _unpacked(batch.column(5))
+            row, part, n = phrases.counted(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), number, place)
+            rows, at = np.unique(row, return_index=True)
+            found = dict(zip(rows.tolist(), _packed(numbers[part], n, at).to_pylist()))
+            held = [[*lists, found[k]] if k in found else lists for k, lists in enumerate(batch.column(4).to_pylist())]
+            kept = [k for k, lists in enumerate(held) if lists]
             rest = batch.take(pa.array(kept, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rest.columns[:4], pa.array(held, pa.list_(pa.binary()))], names=["id", "length", "lift", "shown", "held"])
+            yield pa.RecordBatch.from_arrays([*rest.columns[:4], pa.array([held[k] for k in kept], pa.list_(pa.binary()))], names=["id", "length", "lift", "shown", "held"])
 
     return run
 

@@ -1,6 +1,7 @@
 """Covers whose parts end at one place, and phrases that share words, on small indexes."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -52,3 +53,38 @@ def test_packed_pairs_come_back():
     bounds, number, value = fulltext._unpacked(pa.array(rows, pa.list_(pa.binary())))
     want = [[], lists[0], [x for one in lists[1:4] for x in one], [], [x for one in lists[4:] for x in one], []]
     assert [list(zip(number[a:b].tolist(), value[a:b].tolist())) for a, b in zip(bounds[:-1], bounds[1:])] == [[tuple(x) for x in one] for one in want]
+
+
+def test_phrases_of_many_chunks_at_once():
+    """Counts of parts in chunks held together are those of each chunk by itself, also where places are near a chunk's ends."""
+    rng, most = random.Random(2), 2**31 - 1
+    parts = {k: [rng.randrange(4) for _ in range(rng.randrange(1, 5))] for k in range(40)}
+    phrases = fulltext._Phrases(parts, {t: rng.randrange(1, 9) for t in range(4)})
+    chunks = [[(t, k) for k, t in enumerate(rng.randrange(5) for _ in range(rng.randrange(30)))] for _ in range(50)] + [[(0, most)], [(k % 4, most - 3 + k) for k in range(4)]]
+    flat = np.array([(row, t, place) for row, one in enumerate(chunks) for t, place in one])
+    row, part, n = phrases.counted(*flat[rng.sample(range(len(flat)), len(flat))].T)
+    want = {}
+    for k, one in enumerate(chunks):
+        at = {place: t for t, place in one}
+        for p, tokens in parts.items():
+            if found := sum(all(at.get(b + j) == t for j, t in enumerate(tokens)) for b in at):
+                want[k, p] = found
+    assert dict(zip(zip(row.tolist(), part.tolist()), n.tolist())) == want and list(zip(row, part)) == sorted(want)
+    assert [len(x) for x in phrases.counted(*np.zeros((3, 0), np.int64))] == [0, 0, 0]
+
+
+def test_postings_are_made_in_one_pass(spark, monkeypatch):
+    """No sort of more than a block: rows come by stem and term in each block, and hold every place of every chunk."""
+    texts = ["Running runs, runİ\n9", None, "run zéro running", "", "the run", "a " * 70]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    made = fulltext.postings(rows)
+    assert "Sort" not in made._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(fulltext, "BYTES", 40)
+    blocks = [b.to_pylist() for b in fulltext._posted([pa.table({"id": list(range(6)), "text": texts}).to_batches()[0]])]
+    assert len(blocks) > 1 and all([(r["stem"], r["term"]) for r in b] == sorted((r["stem"], r["term"]) for r in b) for b in blocks)
+    want = {(t, k, place) for k, text in enumerate(texts) for place, t in enumerate(re.findall("[a-z0-9]+", (text or "").lower()))}
+    for got in ([r for b in blocks for r in b], [r.asDict() for r in made.collect()]):
+        held = [(r["term"], k, place) for r in got for k, places in zip(r["ids"], r["positions"]) for place in places]
+        assert len(held) == len(want) and set(held) == want and all(r["tfs"] == list(map(len, r["positions"])) for r in got)
+    lengths = {r.id: r.n for r in rows.select("id", fulltext.length(F.col("text")).alias("n")).collect()}
+    assert lengths == {k: sum(x[1] == k for x in want) for k in range(6)}
