@@ -44,6 +44,23 @@ def test_places_do_not_grow_with_parts(spark):
     assert len(found) == len(parts) and all(begins.tolist() == [words.index(parts[k][0])] for k, begins in found.items())
 
 
+def test_what_a_dual_search_moves_does_not_grow_with_its_queries(spark):
+    """Counts and places of a chunk are moved packed and once: many phrases of the same words take a small part more than few."""
+    draw, words = random.Random(3), [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    index = indexed(spark, [" ".join(draw.choices(words, k=60)) for _ in range(1500)])
+    context = spark.sparkContext._jsc.sc()
+
+    def moved(n):
+        context.listenerBus().waitUntilEmpty(30_000)
+        before = context.statusStore().executorSummary("driver").totalShuffleWrite()
+        queries = spark.createDataFrame([(k, " ".join(draw.sample(words, 2))) for k in range(n)], "query long, text string")
+        assert index.dual(queries, 5, many=1).select("query").distinct().count() == n
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite() - before
+
+    assert moved(160) < 2 * moved(40)
+
+
 def test_packed_pairs_come_back():
     rng = random.Random(1)
     lists = [sorted((rng.choice((0, 1, 2, 130, 2**21, 2**30)), rng.choice((0, 1, 127, 128, 40_000, 2**31 - 1))) for _ in range(rng.randrange(1, 9))) for _ in range(50)]
