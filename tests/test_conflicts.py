@@ -48,3 +48,21 @@ def test_moves_each_class_once(spark, tmp_path):
     met = spark.read.parquet(f"{at[0]}/met").count()
     assert spark.read.parquet(f"{at[0]}/classes").count() == len(sets)
     assert near <= met < len(sets) * (len(sets) - 1) / 8 and pairs >= 120 * 9 * 10 / 2 * 6 / 7 - 120 * 10
+
+
+def test_large_sets_that_share_few_words_are_not_written_as_pairs(spark, tmp_path):
+    """Signatures grow with the sets, so of large sets whose rarer words meet only those that are near are written and held against each other."""
+    from quillon import scratch
+    from quillon.operators import search
+
+    rng = random.Random(8)
+    texts = [rng.sample([f"word{k}" for k in range(6000)], rng.choice((600, 1000, 1400))) for _ in range(50)]
+    texts += [t[:-40] + [f"edit{k}_{j}" for j in range(30)] for k, t in enumerate(texts[:8])]
+    at = []
+    kept, scratch.folder = scratch.folder, lambda s, tag: at.append(f"file://{tmp_path}/{tag}") or at[-1]
+    try:
+        got = search.like_pairs(spark.createDataFrame([(k, " ".join(t), "en", f"s{k}") for k, t in enumerate(texts)], "id long, text string, space string, source string")).collect()
+    finally:
+        scratch.folder = kept
+    assert {(r.a, r.b): r.jaccard for r in got} == {(k, 50 + k): round((len(texts[k]) - 40) / (len(texts[k]) + 30), 4) for k in range(8)}
+    assert spark.read.parquet(f"{at[0]}/met").count() == 8
