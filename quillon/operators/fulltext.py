@@ -40,6 +40,7 @@ BROADCAST_TOKENS, PUSHED_TOKENS = 100_000, 2_000
 BROADCAST_DEAD = 1_000_000
 #: Bytes of text in a block of chunks, about a million tokens, and chunks of one at most.
 BYTES, BLOCK = 6_000_000, 4_096
+_HIT = "query long, id long, score double, plain double"
 _POSTING = pa.schema([("stem", pa.string()), ("term", pa.string()), ("ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())), ("positions", pa.list_(pa.list_(pa.int32())))])
 
 
@@ -210,46 +211,66 @@ class Index:
         both = _live_ones(both.groupBy("id", "seq").agg(held, F.collect_list("positions").alias("positions")), live)
         return both.select("id", "length", "lift", "shown", "held", "positions").mapInArrow(_phrased(phrases, np.array(several)), _COUNTED)
 
-    def search(self, queries: DataFrame, k: int, mode: str = "any", exact: bool = False, where: Column | None = None, by: str = "bm25", version: int | None = None, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
-        """(query, id, score, rank) of queries(query, text), the first k of each by lifted score (R3, R4, J6, W14). `where` is a condition on the chunks'
-        attributes; `by` is "bm25" or "density". Queries with a null id are left out."""
-        version = self.commits.version() if version is None else version
+    def _shown(self, version: int, where: Column | None) -> tuple[DataFrame, int, float]:
+        """Live chunks (id, seq, length, shown, lift), how many have a token, and their mean length."""
         live = self._live(version)
-        asked = queries.where("query is not null").select(F.col("query").cast("long").alias("query"), F.array_distinct(parts_of(F.col("text"), mode)).alias("parts"))
         shown = ~F.col("excluded") if where is None else ~F.col("excluded") & F.coalesce(where, F.lit(False))
         lift = 1 + LIFT * F.coalesce(F.col("importance"), F.lit(IMPORTANCE)) if "importance" in live.columns else F.lit(1 + LIFT * IMPORTANCE)
         live = live.select("id", F.col("posted").alias("seq"), "length", shown.alias("shown"), lift.cast("double").alias("lift"))
         n, total = live.where("length > 0").agg(F.count("*"), F.sum("length")).first()
-        out, kinds = [], "query long, id long, score double, plain double"
-        for block in ranking._blocks(asked.toLocalIterator(), lambda r: sum(map(len, r.parts)), ranking.TERMS_AT_A_TIME) if n else ():
+        return live, n, total / n if n else 0.0
+
+    def _blocks(self, queries: DataFrame, *modes: str):
+        """Blocks of queries(query, text): their ids, for each mode the numbers of each query's parts, and the parts; those of the first mode hold all others'."""
+        asked = queries.where("query is not null").select(F.col("query").cast("long").alias("query"), *[F.array_distinct(parts_of(F.col("text"), mode)).alias(f"parts{k}") for k, mode in enumerate(modes)])
+        for block in ranking._blocks(asked.toLocalIterator(), lambda r: sum(map(len, r.parts0)), ranking.TERMS_AT_A_TIME):
             place: dict[tuple, int] = {}
-            numbers = [[place.setdefault(tuple(p), len(place)) for p in r.parts] for r in block]
-            if not place:
-                continue
-            parts, ids = [list(p) for p in place], np.array([r.query for r in block], np.int64)
+            numbers = [[[place.setdefault(tuple(p), len(place)) for p in r[1 + k]] for r in block] for k in range(len(modes))]
+            if place:
+                yield np.array([r.query for r in block], np.int64), numbers, [list(p) for p in place]
+
+    def _matches(self, parts: list[list[str]], exact: bool, version: int, live: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+        """Shown chunks that hold parts, with their counts, and what a part weighs by how many live chunks hold it."""
+        path = scratch.folder(self.spark, "matched")
+        self._counted(parts, exact, version, live).write.option("compression", "zstd").parquet(path)
+        matched, df = self.spark.read.parquet(path), np.zeros(len(parts))
+        for r in matched.select("held").mapInArrow(_dfs(len(parts)), "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each part of the block
+            df[r.part] = r.n
+        return matched.where("shown").select("id", "length", "lift", "held"), np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def _best(self, hits: list[DataFrame], k: int) -> DataFrame:
+        return ranking.ranked(ranking._union(hits, self.spark.createDataFrame([], _HIT)), k).select("query", "id", F.col("plain").alias("score"), "rank")
+
+    def search(self, queries: DataFrame, k: int, mode: str = "any", exact: bool = False, where: Column | None = None, by: str = "bm25", version: int | None = None, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
+        """(query, id, score, rank) of queries(query, text), the first k of each by lifted score (R3, R4, J6, W14). `where` is a condition on the chunks'
+        attributes; `by` is "bm25" or "density". Queries with a null id are left out."""
+        version = self.commits.version() if version is None else version
+        live, n, mean = self._shown(version, where)
+        out = []
+        for ids, (numbers,), parts in self._blocks(queries, mode) if n else ():
             if by == "density":
                 placed, phrases = self._placed(parts, exact, version)
                 held = _live_ones(placed.groupBy("id", "seq").agg(F.collect_list("positions").alias("positions")), live.where("shown"))
-                out.append(held.select("id", "lift", "positions").mapInArrow(_dense(phrases, numbers, list(map(len, parts)), ids, k, mode), kinds))
-                continue
-            path = scratch.folder(self.spark, "matched")
-            self._counted(parts, exact, version, live).write.option("compression", "zstd").parquet(path)
-            matched = self.spark.read.parquet(path)
-            df = np.zeros(len(place))
-            for r in matched.select("held").mapInArrow(_dfs(len(place)), "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).toLocalIterator():  # a row for each part of the block
-                df[r.part] = r.n
-            scored = _scored(numbers, np.log(1 + (n - df + 0.5) / (df + 0.5)), ids, total / n, k, mode == "all", k1, b)
-            out.append(matched.where("shown").select("id", "length", "lift", "held").mapInArrow(scored, kinds))
-        hits = ranking._union(out, self.spark.createDataFrame([], kinds))
-        return ranking.ranked(hits, k).select("query", "id", F.col("plain").alias("score"), "rank")
+                out.append(held.select("id", "lift", "positions").mapInArrow(_dense(phrases, numbers, list(map(len, parts)), ids, k, mode), _HIT))
+            else:
+                matched, idf = self._matches(parts, exact, version, live, n)
+                out.append(matched.mapInArrow(_scored(numbers, idf, ids, mean, k, mode == "all", k1, b), _HIT))
+        return self._best(out, k)
 
     def dual(self, queries: DataFrame, k: int, where: Column | None = None, many: int = MANY) -> DataFrame:
-        """(query, id, score, rank): any part; and where that gives `many` hits, all parts and the phrase; and, for queries that hold an exact token,
-        exact search; fused by reciprocal ranks (R2, R5)."""
-        loose = self.search(queries, k, "any", where=where).persist()
-        rich = queries.join(loose.groupBy("query").count().where(F.col("count") >= many), "query", "left_semi")
-        sharp = queries.where(text.asks_exactly(F.col("text")))
-        lists = [loose, self.search(rich, k, "all", where=where), self.search(rich, k, "phrase", where=where), self.search(sharp, k, "any", exact=True, where=where)]
+        """(query, id, score, rank): any part; and where `many` chunks or more hold one, all parts and the phrase; and, for queries that hold an exact token,
+        exact search; the first k of each fused by reciprocal ranks (R2, R5). The counts of any part are read for all parts as well, which are among them."""
+        version = self.commits.version()
+        live, n, mean = self._shown(version, where)
+        most, loose, strict = max(k, many), [], []
+        for ids, (numbers, all_of), parts in self._blocks(queries, "any", "all") if n else ():
+            matched, idf = self._matches(parts, False, version, live, n)
+            loose.append(matched.mapInArrow(_scored(numbers, idf, ids, mean, most, False, ranking.K1, ranking.B), _HIT))
+            strict.append(matched.mapInArrow(_scored(all_of, idf, ids, mean, k, True, ranking.K1, ranking.B), _HIT))
+        found = self._best(loose, most).persist()  # `most` rows of a query at most, so that those with `many` hits are known
+        full = found.where(F.col("rank") == many).select("query")
+        rich, sharp = queries.join(full, "query", "left_semi"), queries.where(text.asks_exactly(F.col("text")))
+        lists = [found.where(F.col("rank") <= k), self._best(strict, k).join(full, "query", "left_semi"), self.search(rich, k, "phrase", where=where, version=version), self.search(sharp, k, "any", exact=True, where=where, version=version)]
         return ranking.ranked(ranking.rrf(lists, DUAL_K).select("query", "id", "score"), k)
 
 

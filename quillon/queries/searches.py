@@ -175,7 +175,7 @@ _DUAL = f"""with {_CHUNKS}, {_BY_ITEM}, {_ASKED}, {_PARTS["any"]}, {_PARTS["all"
   {_found(False)}, {_found(False, "strict", "of_strict")}, {_found(False, "phrase", "of_phrase")}, {_found(True, "part", "literal")},
   {_scored("a", "found", "part", "any")}, {_scored("b", "of_strict", "strict", "all")}, {_scored("c", "of_phrase", "phrase", "phrase")}, {_scored("e", "literal", "part", "any")},
   lists as ({" union all ".join(f"select '{x}' as list, * from ({_ranked(x, 10)})" for x in "abce")}), many as (select query from a group by query having count(*) >= 200),
-  run as (select * from lists where list = 'a' or (list in ('b', 'c') and query in (select query from (select query, count(*) as n from lists where list = 'a' group by query) where n >= 200)) or (list = 'e' and query in (select query from asked where regexp_matches(x, '{_EXACT}')))),
+  run as (select * from lists where list = 'a' or (list in ('b', 'c') and query in (select query from many)) or (list = 'e' and query in (select query from asked where regexp_matches(x, '{_EXACT}')))),
   hit as (select query, id, sum(1 / (20 + rank)) as score, sum(1 / (20 + rank)) as lifted from run group by query, id) {_ranked("hit", 10)}"""
 
 QUERIES = {f.__name__: f for f in (r3_stemmed_search, r3_exact_search, r4_cover_density, r4_phrases, r2_dual_search, index_vocabulary)}

@@ -195,3 +195,24 @@ def test_empty(spark):
     index = fulltext.Index(spark, scratch.folder(spark, "index"))
     index.upsert(spark.createDataFrame([], "id long, text string"))
     assert index.search(spark.createDataFrame([(1, "fox")], "query long, text string"), 5).count() == 0
+
+
+def test_dual_query_counts_hits_before_its_lists_are_cut(spark, tmp_path):
+    """All parts and the phrase are searched where 200 documents hold a part, though lists have ten; the SQL gives the same rows."""
+    import duckdb
+
+    from quillon import catalog
+
+    filler = lambda k: f" filler{k} more{k % 7} plain{k % 11} words without any meaning at all"
+    texts = ["fox fox fox jumps" + filler(k) if k < 240 else "quick badger runs" + filler(k) for k in range(300)]
+    texts[50], texts[60], texts[299] = ["the fox met a quick badger" + filler(1), "a badger, quick, saw no fox" + filler(2), "quick badger sleeps" + filler(3)]
+    spark.createDataFrame([(k, t, "en", "src1", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "fox met a quick badger"), (2, "quick badger")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.query, r.rank): (r.id, r.score) for r in catalog.queries()["r2_dual_search"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    rows = con.execute(catalog.oracle_sql()["r2_dual_search"]).fetchall()
+    assert {(q, rank): (id_, pytest.approx(score, abs=2e-5)) for q, id_, score, rank in rows} == got
+    # of item 1 any part is held by all documents; one holds all parts, and the phrase, so it is first in two lists more. Of item 2 62 hold a part
+    assert got[1, 1][0] == 50 and got[1, 1][1] > 0.095 and got[2, 1][1] < 0.05
